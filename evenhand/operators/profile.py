@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.stats import ratio
@@ -50,17 +50,11 @@ def approval_by_group(df: DataFrame, attributes: Sequence[str], outcome: str = "
 def value_shares(df: DataFrame, attributes: Sequence[str], by: Sequence[str] = ()) -> DataFrame:
     """Share of each value among the non-NULL values of its attribute.
 
-    The total of an attribute is a second, tiny aggregate over the value counts, joined back.
+    The total is a window over the value counts, one pre-aggregated row per value.
     """
     groups = cells_to_groups(cells(df, attributes, {"n": F.lit(1)}, by), attributes, ["n"], by)
-    keys = [*by, "attribute"]
-    totals = groups.groupBy(*keys).agg(F.sum("n").alias("total"))
-    same = F.lit(True)
-    for k in keys:
-        same = same & groups[k].eqNullSafe(totals[k])
-    return groups.join(totals, same).select(
-        *[groups[k] for k in keys], "grp", "n", ratio(F.col("n"), F.col("total")).alias("share")
-    )
+    total = F.sum("n").over(Window.partitionBy(*by, "attribute"))
+    return groups.withColumn("share", ratio(F.col("n"), total))
 
 
 def numeric_profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 GRID = 500
@@ -15,23 +15,32 @@ SETTLE_ROWS = 200_000
 
 @dataclass
 class _Band:
-    """Interval known to hold the wanted ranks, and how many values lie below it."""
+    """Interval that holds the wanted ranks, with what the last scan found in it."""
 
     low: float | None = None
     high: float | None = None
+    open: bool = False
+    ranks: tuple[int, int] | None = None
     below: int = 0
     inside: int = 0
+    at_low: int = 0
+    at_high: int = 0
+    next_up: float | None = None
+    next_down: float | None = None
     grid: list[float] = field(default_factory=list)
-    ranks: tuple[int, int] | None = None
 
-    def condition(self, column: str):
-        x = F.col(column).cast("double")
+    def inside_condition(self, x: Column) -> Column:
         inside = x.isNotNull() & ~F.isnan(x)
         if self.low is not None:
-            inside = inside & (x >= self.low)
-        if self.high is not None:
-            inside = inside & (x <= self.high)
-        return x, inside
+            above_low = x > self.low if self.open else x >= self.low
+            below_high = x < self.high if self.open else x <= self.high
+            inside = inside & above_low & below_high
+        return inside
+
+    def below_condition(self, x: Column) -> Column:
+        if self.low is None:
+            return F.lit(False)
+        return x <= self.low if self.open else x < self.low
 
 
 def exact_medians(
@@ -39,50 +48,67 @@ def exact_medians(
 ) -> dict[str, float | None]:
     """Median of each column, interpolated between the two middle values.
 
-    Each round is one scan that counts the values below and inside the band around every
-    unfinished median and takes a grid of approximate percentiles inside it; only these few
-    numbers reach the driver. Two grid points, moved outward by more than the percentiles' error
-    bound, form the next band, so it shrinks by about two hundred times per round and always
-    holds the middle. Once a band is small, its distinct values are counted and ranked exactly.
+    A first scan only counts, which is enough for small columns. Each further round is one scan
+    that counts the values below and inside the band around every unfinished median and takes a
+    grid of approximate percentiles inside it; only these few numbers reach the driver. Two grid points, moved outward by more than the percentiles' error
+    bound, form the next band, so it shrinks by more than a hundred times per round and always
+    holds the middle. Where frequent values at both ends stop it from shrinking, the ends are
+    resolved by their counts and the band goes on without them. Once a band is small, its distinct
+    values are counted and ranked exactly.
     """
     bands = {c: _Band() for c in columns}
     medians: dict[str, float | None] = {}
+    first = True
     while pending := [c for c in columns if c not in medians]:
-        _measure(df, pending, bands)
+        _measure(df, pending, bands, with_grid=not first)
         settle = []
         for c in pending:
             band = bands[c]
             if band.ranks is None:
-                count = band.below + band.inside
-                band.ranks = ((count - 1) // 2, count // 2)
+                band.ranks = ((band.inside - 1) // 2, band.inside // 2)
             if band.inside == 0:
                 medians[c] = None
-            elif band.low is not None and band.low == band.high:
-                medians[c] = band.low
-            elif band.inside <= settle_rows or not _narrow(band):
+            elif band.inside <= settle_rows:
                 settle.append(c)
+            elif not first and not _narrow(band):
+                resolved = _resolve_ends(band)
+                if resolved is None:
+                    band.open = True
+                else:
+                    medians[c] = resolved
+        first = False
         if settle:
             medians.update(_settle(df, settle, bands))
     return medians
 
 
-def _measure(df: DataFrame, columns: Sequence[str], bands: dict[str, _Band]) -> None:
+def _measure(df: DataFrame, columns: Sequence[str], bands: dict[str, _Band], with_grid: bool) -> None:
     fractions = [i / GRID for i in range(GRID + 1)]
     wanted = []
     for i, c in enumerate(columns):
-        x, inside = bands[c].condition(c)
-        low = bands[c].low
-        below = F.lit(0) if low is None else F.when(x < low, 1).otherwise(0)
+        band, x = bands[c], F.col(c).cast("double")
+        inside = band.inside_condition(x)
+        low, high = F.lit(band.low).cast("double"), F.lit(band.high).cast("double")
         wanted += [
-            F.sum(below).alias(f"below_{i}"),
-            F.count(F.when(inside, 1)).alias(f"inside_{i}"),
+            F.count_if(band.below_condition(x)).alias(f"below_{i}"),
+            F.count_if(inside).alias(f"inside_{i}"),
+        ]
+        if not with_grid:
+            continue
+        wanted += [
+            F.count_if(inside & (x == low)).alias(f"at_low_{i}"),
+            F.count_if(inside & (x == high)).alias(f"at_high_{i}"),
+            F.min(F.when(inside & (x > low), x)).alias(f"next_up_{i}"),
+            F.max(F.when(inside & (x < high), x)).alias(f"next_down_{i}"),
             F.percentile_approx(F.when(inside, x), fractions, ACCURACY).alias(f"grid_{i}"),
         ]
     row = df.agg(*wanted).first()
+    names = ["below", "inside"]
+    if with_grid:
+        names += ["at_low", "at_high", "next_up", "next_down", "grid"]
     for i, c in enumerate(columns):
-        bands[c].below = row[f"below_{i}"] or 0
-        bands[c].inside = row[f"inside_{i}"]
-        bands[c].grid = list(row[f"grid_{i}"] or [])
+        for name in names:
+            setattr(bands[c], name, row[f"{name}_{i}"])
 
 
 def _narrow(band: _Band) -> bool:
@@ -92,16 +118,35 @@ def _narrow(band: _Band) -> bool:
     high = band.grid[min(GRID, int(upper) + 2)]
     if (low, high) == (band.low, band.high):
         return False
-    band.low, band.high = low, high
+    band.low, band.high, band.open = low, high, False
     return True
 
 
+def _resolve_ends(band: _Band) -> float | None:
+    """Median if a wanted rank falls on an end of the band, None if both lie strictly inside."""
+    first_inner = band.below + band.at_low
+    first_high = band.below + band.inside - band.at_high
+    values = []
+    for r in band.ranks:
+        values.append(band.low if r < first_inner else band.high if r >= first_high else None)
+    lower, upper = values
+    if lower is None and upper is None:
+        return None
+    if upper is None:
+        upper = band.next_up
+    if lower is None:
+        lower = band.next_down
+    return (lower + upper) / 2.0
+
+
 def _settle(df: DataFrame, columns: Sequence[str], bands: dict[str, _Band]) -> dict[str, float]:
     """Rank the values left in small bands; equal values are counted together first."""
     in_band = []
     for c in columns:
-        x, inside = bands[c].condition(c)
-        in_band.append(F.struct(F.lit(c).alias("feature"), F.when(inside, x).alias("x")))
+        x = F.col(c).cast("double")
+        in_band.append(
+            F.struct(F.lit(c).alias("feature"), F.when(bands[c].inside_condition(x), x).alias("x"))
+        )
     counts = (
         df.select(F.inline(F.array(*in_band)))
         .where(F.col("x").isNotNull())
@@ -109,13 +154,12 @@ def _settle(df: DataFrame, columns: Sequence[str], bands: dict[str, _Band]) -> d
         .agg(F.count(F.lit(1)).alias("n"))
     )
     running = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
-    last = F.sum("n").over(running)
     hit = F.lit(False)
     for c in columns:
         for rank in set(bands[c].ranks):
             at = rank - bands[c].below
             hit = hit | ((F.col("feature") == c) & (F.col("last") > at) & (F.col("last") - F.col("n") <= at))
     found: dict[str, list[float]] = {c: [] for c in columns}
-    for row in counts.withColumn("last", last).where(hit).collect():
+    for row in counts.withColumn("last", F.sum("n").over(running)).where(hit).collect():
         found[row["feature"]].append(row["x"])
     return {c: (min(v) + max(v)) / 2.0 for c, v in found.items()}
