@@ -156,8 +156,8 @@ class DriftMonitor:
     def process(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         table = snapshot_cells(batch, self.attributes, self.label, self.prediction, by=()).persist()
+        current = snapshots_from_cells(table, self.attributes, by=()).persist()
         try:
-            current = snapshots_from_cells(table, self.attributes, by=()).persist()
             if current.isEmpty():
                 return
             previous = self._previous(spark, batch_id)
@@ -170,6 +170,7 @@ class DriftMonitor:
             updated = smoothed(previous, current).coalesce(1)
             updated.write.mode("overwrite").parquet(self._baseline_path(batch_id))
         finally:
+            current.unpersist()
             table.unpersist()
 
     def run(self, applications: DataFrame) -> None:
