@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.lending import feature_category
@@ -64,15 +64,24 @@ def importance_of(attributions: DataFrame) -> DataFrame:
 def protected_contribution(
     importance: DataFrame, prefixes: Sequence[str] = PROTECTED_PREFIXES
 ) -> DataFrame:
-    """Total importance, and share of all importance, of features named after protected attributes."""
-    total = importance.agg(F.sum("importance")).scalar()
-    matches = [
-        F.when(F.startswith(F.col("feature"), F.lit(p)), F.struct(F.lit(p).alias("attribute"), "importance"))
-        for p in prefixes
+    """Total importance, and share of all importance, of features named after protected attributes.
+
+    One aggregate over the importance table, with a sum per prefix.
+    """
+    sums = [
+        F.sum(F.when(F.startswith(F.col("feature"), F.lit(p)), F.col("importance"))).alias(f"of__{i}")
+        for i, p in enumerate(prefixes)
+    ]
+    totals = importance.agg(F.sum("importance").alias("total"), *sums)
+    rows = [
+        F.struct(
+            F.lit(p).alias("attribute"),
+            F.col(f"of__{i}").alias("importance"),
+            F.coalesce(F.try_divide(F.col(f"of__{i}"), F.col("total")), F.lit(0.0)).alias("share"),
+        )
+        for i, p in enumerate(prefixes)
     ]
-    rows = importance.select(F.inline(F.array_compact(F.array(*matches))))
-    summed = rows.groupBy("attribute").agg(F.sum("importance").alias("importance"))
-    return summed.withColumn("share", F.coalesce(F.try_divide(F.col("importance"), total), F.lit(0.0)))
+    return totals.select(F.inline(F.array(*rows))).where(F.col("importance").isNotNull())
 
 
 def importance_by_category(importance: DataFrame) -> DataFrame:
@@ -116,8 +125,10 @@ def attribution_stability(runs: DataFrame, run: str = "run") -> DataFrame:
     """Spread of each feature's contribution over repeated runs, and the overall stability.
 
     ``runs`` holds (run, feature, contribution); a feature absent from a run counts as 0 there. The
-    zeros are added to the moments of the values present instead of being listed.
+    zeros are added to the moments of the values present instead of being listed. ``runs`` is
+    cached: it is counted before it is summarised.
     """
+    runs = runs.persist()
     n_runs = runs.agg(F.count_distinct(run)).scalar()
     c = F.col("contribution")
     present = runs.groupBy("feature").agg(
@@ -142,11 +153,12 @@ def attribution_stability(runs: DataFrame, run: str = "run") -> DataFrame:
         "appearances",
         variance.alias("variance"),
     )
-    spread = F.avg(F.when(F.col("appearances") > 0, F.col("variance")))
-    size = F.avg(F.abs("mean"))
+    every = Window.partitionBy(F.lit(0))
+    spread = F.avg(F.when(F.col("appearances") > 0, F.col("variance"))).over(every)
+    size = F.avg(F.abs("mean")).over(every)
     stability = (
         F.when(spread.isNull(), 0.0)
         .when(size == 0, 1.0)
         .otherwise(F.lit(1.0) / (F.lit(1.0) + F.try_divide(spread, size)))
     )
-    return features.withColumn("stability_score", features.agg(stability).scalar()).drop("variance")
+    return features.withColumn("stability_score", stability).drop("variance")

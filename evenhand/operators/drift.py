@@ -131,36 +131,43 @@ def _drifts(compared: DataFrame, by: Sequence[str]) -> DataFrame:
     ).where(F.col("severity").isNotNull())
 
 
-def _baseline_values(baseline: DataFrame) -> DataFrame:
-    return baseline.select(*KEYS, F.col("value").alias("baseline"))
+def all_drift(current: DataFrame, baseline: DataFrame, by: Sequence[str] = WINDOW) -> DataFrame:
+    """Statistical and fairness drift of every current segment against one baseline snapshot.
+
+    A group the baseline lacks has baseline 0; a fairness metric it lacks is not compared. Groups
+    only the baseline has are not looked at. An empty baseline gives no drift.
+    """
+    now = current.where(F.col("family").isin("statistical", "share", "fairness"))
+    then = baseline.select(*KEYS, F.col("value").alias("then"))
+    joined = now.join(then, list(KEYS), "left")
+    exists = baseline.agg(F.count(F.lit(1))).scalar() > 0
+    comparable = exists & ((F.col("family") != "fairness") | F.col("then").isNotNull())
+    compared = joined.where(comparable).select(
+        *by, *KEYS, F.coalesce("then", F.lit(0.0)).alias("baseline"), F.col("value").alias("current")
+    )
+    return _drifts(compared, by)
 
 
 def statistical_drift(
     current: DataFrame, baseline: DataFrame, by: Sequence[str] = WINDOW, full: bool = False
 ) -> DataFrame:
-    """Drift of the approval rate and of group shares against one baseline snapshot.
+    """Drift of the approval rate and of group shares.
 
-    A group the baseline lacks has baseline 0. Groups only the baseline has are skipped unless
-    ``full`` (which needs a single current snapshot, ``by=()``). An empty baseline gives no drift.
+    With ``full`` groups that vanished are reported too; this needs a single current snapshot.
     """
-    families = F.col("family").isin("statistical", "share")
-    now = current.where(families).select(*by, *KEYS, F.col("value").alias("current"))
-    then = _baseline_values(baseline.where(families))
-    if full and by:
-        raise ValueError("full comparison needs a single current snapshot")
-    joined = now.join(then, list(KEYS), "full" if full else "left")
-    exists = baseline.agg(F.count(F.lit(1))).scalar() > 0
-    compared = joined.where(exists).withColumns(
-        {c: F.coalesce(c, F.lit(0.0)) for c in ("baseline", "current")}
-    )
-    return _drifts(compared, by)
+    statistics = F.col("family").isin("statistical", "share")
+    now = current.where(statistics)
+    if full:
+        if by:
+            raise ValueError("full comparison needs a single current snapshot")
+        vanished = baseline.where(statistics).join(now, list(KEYS), "left_anti")
+        now = now.unionByName(vanished.withColumn("value", F.lit(0.0)))
+    return all_drift(now, baseline, by)
 
 
 def fairness_drift(current: DataFrame, baseline: DataFrame, by: Sequence[str] = WINDOW) -> DataFrame:
     """Drift of fairness metrics present in both snapshots."""
-    fair = F.col("family") == "fairness"
-    now = current.where(fair).select(*by, *KEYS, F.col("value").alias("current"))
-    return _drifts(now.join(_baseline_values(baseline.where(fair)), list(KEYS)), by)
+    return all_drift(current.where(F.col("family") == "fairness"), baseline, by)
 
 
 def ewma_baseline(

@@ -106,8 +106,11 @@ def location_risk(risk: DataFrame, location: str) -> DataFrame:
 def redlining_hotspots(
     risks: DataFrame, location: str, threshold: float = HOTSPOT_RISK, listed: int = 5
 ) -> DataFrame:
-    """The riskiest locations above the threshold and the number of all such locations."""
-    hot = risks.where(F.col("risk_score") > threshold)
+    """The riskiest locations above the threshold and the number of all such locations.
+
+    The hot locations, one row each, are cached because they are both counted and ranked.
+    """
+    hot = risks.where(F.col("risk_score") > threshold).persist()
     total = hot.agg(F.count(F.lit(1))).scalar()
     return (
         hot.orderBy(F.col("risk_score").desc(), location)

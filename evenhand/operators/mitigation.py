@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.joins import join_small
@@ -15,19 +15,23 @@ from evenhand.operators.models import decide, logistic_fit
 def reweighing_table(df: DataFrame, attribute: str, label: str = "approved") -> DataFrame:
     """Weight P(group) P(label) / P(group, label) of every group and label (Kamiran and Calders).
 
-    Margins are sums over the joint counts, which hold two rows per group.
+    The margins are window sums over the joint counts, which hold one row per group and label.
     """
     joint = (
         df.where(F.col(attribute).isNotNull() & F.col(label).isNotNull())
         .groupBy(attribute, label)
         .agg(F.count(F.lit(1)).alias("n"))
     )
-    per_group = joint.groupBy(attribute).agg(F.sum("n").alias("n_group"))
-    per_label = joint.groupBy(label).agg(F.sum("n").alias("n_label"))
-    total = joint.agg(F.sum("n")).scalar()
-    weighted = joint.join(per_group, attribute).join(F.broadcast(per_label), label)
-    expected = F.col("n_group").cast("double") * F.col("n_label") / total
-    return weighted.select(attribute, label, "n", (expected / F.col("n")).alias("weight"))
+    n = F.sum("n")
+    margins = joint.withColumns(
+        {
+            "n_group": n.over(Window.partitionBy(attribute)),
+            "n_label": n.over(Window.partitionBy(label)),
+            "n_all": n.over(Window.partitionBy(F.lit(0))),
+        }
+    )
+    expected = F.col("n_group").cast("double") * F.col("n_label") / F.col("n_all")
+    return margins.select(attribute, label, "n", (expected / F.col("n")).alias("weight"))
 
 
 def reweigh(df: DataFrame, attribute: str, label: str = "approved", weight: str = "weight") -> DataFrame:

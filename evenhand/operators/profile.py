@@ -122,10 +122,8 @@ def pricing_gap(
         .groupBy(F.col(attribute).cast("string").alias("grp"))
         .agg(F.count(F.lit(1)).alias("n"), F.avg(rate).alias("avg_rate"))
     )
-    if reference is None:
-        base = groups.agg(F.min("avg_rate")).scalar()
-    else:
-        base = groups.agg(F.max(F.when(F.col("grp") == reference, F.col("avg_rate")))).scalar()
-    return groups.select(
-        F.lit(attribute).alias("attribute"), "grp", "n", "avg_rate", (F.col("avg_rate") - base).alias("gap")
+    rate_of = F.col("avg_rate") if reference is None else F.when(F.col("grp") == reference, F.col("avg_rate"))
+    base = F.min(rate_of).over(Window.partitionBy("attribute"))
+    return groups.select(F.lit(attribute).alias("attribute"), "grp", "n", "avg_rate").withColumn(
+        "gap", F.col("avg_rate") - base
     )

@@ -57,25 +57,43 @@ def _missing(df: DataFrame, name: str) -> Column:
     return column.isNull()
 
 
-def _rows(df: DataFrame, counts: Sequence[tuple[Sequence[tuple[str, Column]], Column]]) -> DataFrame:
-    """One aggregate of all counts, turned into rows with the given labels."""
-    aggregates = [c.alias(f"count_{i}") for i, (_, c) in enumerate(counts)]
+def _counted_rows(df: DataFrame, entries: Sequence[tuple[Mapping[str, str | None], Column]]) -> DataFrame:
+    """One aggregate of all counts, turned into one row per count with the given labels."""
+    aggregates = [c.alias(f"count_{i}") for i, (_, c) in enumerate(entries)]
     rows = [
-        F.struct(*[v.alias(k) for k, v in labels], F.col(f"count_{i}").alias("violations"))
-        for i, (labels, _) in enumerate(counts)
+        F.struct(
+            *[F.lit(v).cast("string").alias(k) for k, v in labels.items()],
+            F.col(f"count_{i}").alias("violations"),
+        )
+        for i, (labels, _) in enumerate(entries)
     ]
     return df.agg(*aggregates).select(F.inline(F.array(*rows)))
 
 
-def range_checks(df: DataFrame, ranges: Mapping[str, tuple] = RANGES) -> DataFrame:
-    """Values outside the accepted range, per column; NULL and NaN are not counted."""
-    counts = []
+def _range_counts(df: DataFrame, ranges: Mapping[str, tuple]) -> dict[str, Column]:
+    counts = {}
     for c, (low, high) in ranges.items():
         if c in df.columns:
             x = F.col(c).cast("double")
-            outside = ~F.isnan(x) & ((x < low) | (x > high))
-            counts.append(([("column", F.lit(c))], F.count_if(outside)))
-    return _rows(df, counts)
+            counts[c] = F.count_if(~F.isnan(x) & ((x < low) | (x > high)))
+    return counts
+
+
+def _rule_counts(df: DataFrame) -> dict[tuple[str, str], Column]:
+    present = set(df.columns)
+    return {(n, level): F.count_if(_broken(n)) for n, needs, level in BUSINESS_RULES if set(needs) <= present}
+
+
+def _missing_cells(df: DataFrame) -> Column:
+    cells = F.lit(0)
+    for c in df.columns:
+        cells = cells + _missing(df, c).cast("int")
+    return F.coalesce(F.sum(cells), F.lit(0))
+
+
+def range_checks(df: DataFrame, ranges: Mapping[str, tuple] = RANGES) -> DataFrame:
+    """Values outside the accepted range, per column; NULL and NaN are not counted."""
+    return _counted_rows(df, [({"column": c}, n) for c, n in _range_counts(df, ranges).items()])
 
 
 def domain_checks(df: DataFrame, domains: Mapping[str, Sequence[str]] = DOMAINS) -> DataFrame:
@@ -100,12 +118,7 @@ def domain_checks(df: DataFrame, domains: Mapping[str, Sequence[str]] = DOMAINS)
 
 def business_rules(df: DataFrame) -> DataFrame:
     """Number of rows breaking each rule whose columns are present."""
-    counts = [
-        ([("rule", F.lit(name)), ("level", F.lit(level))], F.count_if(_broken(name)))
-        for name, needs, level in BUSINESS_RULES
-        if set(needs) <= set(df.columns)
-    ]
-    return _rows(df, counts)
+    return _counted_rows(df, [({"rule": r, "level": lv}, n) for (r, lv), n in _rule_counts(df).items()])
 
 
 def duplicate_rows(df: DataFrame) -> DataFrame:
@@ -128,12 +141,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
 def quality_summary(df: DataFrame) -> DataFrame:
     """Rows, columns, missing cells and duplicate rows."""
-    cells = F.lit(0)
-    for c in df.columns:
-        cells = cells + _missing(df, c).cast("int")
-    counts = df.agg(
-        F.count(F.lit(1)).alias("total_rows"), F.coalesce(F.sum(cells), F.lit(0)).alias("missing_values")
-    )
+    counts = df.agg(F.count(F.lit(1)).alias("total_rows"), _missing_cells(df).alias("missing_values"))
     return counts.select(
         "total_rows",
         F.lit(len(df.columns)).alias("total_columns"),
@@ -160,30 +168,31 @@ def quality_findings(
 ) -> DataFrame:
     """Every check that found something: (check, column, violations, level, is_valid).
 
+    All counters share one scan; unexpected values and repeated rows need an exchange of their own.
     ``is_valid`` is the table-wide verdict, false only if a required column is missing. For domain
     checks ``violations`` is the number of distinct unexpected values.
     """
-    def findings(table: DataFrame, check: str, column: Column, count: Column, level: Column) -> DataFrame:
-        return table.select(
-            F.lit(check).alias("check"), column.alias("column"), count.alias("violations"), level.alias("level")
-        )
+    def label(check: str, column: str | None, level: str) -> dict[str, str | None]:
+        return {"check": check, "column": column, "level": level}
 
-    warning = F.lit("warning")
-    parts = []
-    present_ranges = {c: r for c, r in ranges.items() if c in df.columns and c in numeric}
-    if present_ranges:
-        table = range_checks(df, present_ranges)
-        parts.append(findings(table, "range", F.col("column"), F.col("violations"), warning))
+    counters = [
+        (label("range", c, "warning"), n)
+        for c, n in _range_counts(df, {c: r for c, r in ranges.items() if c in numeric}).items()
+    ]
+    counters += [(label("business_rule", r, level), n) for (r, level), n in _rule_counts(df).items()]
+    counters.append((label("missing_values", None, "recommendation"), _missing_cells(df)))
+    columns = ("check", "column", "violations", "level")
+    parts = [_counted_rows(df, counters).select(*columns)]
     if set(domains) & set(df.columns):
-        table = domain_checks(df, domains).groupBy("column").agg(F.count(F.lit(1)).alias("violations"))
-        parts.append(findings(table, "domain", F.col("column"), F.col("violations"), warning))
-    if any(set(needs) <= set(df.columns) for _, needs, _ in BUSINESS_RULES):
-        table = business_rules(df)
-        parts.append(findings(table, "business_rule", F.col("rule"), F.col("violations"), F.col("level")))
-    summary = quality_summary(df)
-    nothing = F.lit(None).cast("string")
-    parts.append(findings(summary, "missing_values", nothing, F.col("missing_values"), F.lit("recommendation")))
-    parts.append(findings(summary, "duplicate_rows", nothing, F.col("duplicate_rows"), F.lit("recommendation")))
+        unexpected = domain_checks(df, domains).groupBy("column").agg(F.count(F.lit(1)).alias("violations"))
+        parts.append(unexpected.withColumns({"check": F.lit("domain"), "level": F.lit("warning")}).select(*columns))
+    repeated = duplicate_rows(df).select(
+        F.lit("duplicate_rows").alias("check"),
+        F.lit(None).cast("string").alias("column"),
+        F.col("duplicate_rows").alias("violations"),
+        F.lit("recommendation").alias("level"),
+    )
+    parts.append(repeated)
     static = schema_findings(df, required, numeric)
     if static:
         schema = "check string, column string, violations bigint, level string"

@@ -301,7 +301,7 @@ diverse AS (SELECT x.application_id, x.candidate_id, any_value(x.proximity) AS p
     coalesce(1e0 - avg(({" + ".join(f"x.{f} * o.{f}" for f in SCORE.weights)}) / (x.norm * o.norm)), 1e0) AS diversity
   FROM normed x LEFT JOIN normed o ON x.application_id = o.application_id AND x.candidate_id <> o.candidate_id
   GROUP BY x.application_id, x.candidate_id),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY application_id ORDER BY score DESC, candidate_id) AS position
+ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY application_id ORDER BY score DESC, candidate_id) AS INT) AS position
   FROM (SELECT *, 0.5e0 * (1e0 / (1e0 + proximity)) + 0.3e0 * diversity + 0.2e0 * confidence AS score FROM diverse))"""
 
 _E = EXPLAINED_SCORE.weights
@@ -449,8 +449,8 @@ CASE WHEN p > 0.5e0 THEN 1 ELSE 0 END AS prediction, {rnd('p', 'prediction_proba
     q["approval_scores"] = sql(f"SELECT application_id, {rnd('predicted_probability', 'score')} FROM applications")
     q["bias_modifiers"] = sql(
         f"""SELECT application_id, {rnd('''predicted_probability * (CASE WHEN gender = 'F' THEN 0.85e0 ELSE 1e0 END)
-  * (CASE WHEN race IN ('BUILDING', 'FURNITURE') THEN 0.75e0 ELSE 1e0 END)''', 'two_switches')},
-{rnd('approval_probability', 'all_switches')} FROM applications"""
+  * (CASE WHEN race IN ('BUILDING', 'FURNITURE') THEN 0.75e0 ELSE 1e0 END)''', 'two_switches', 12)},
+{rnd('approval_probability', 'all_switches', 12)} FROM applications"""
     )
     q["intersection_keys"] = sql("SELECT application_id, race || '_' || gender || '_' || age AS intersection FROM flawed", FLAWED)
     flawed_columns = (
@@ -835,12 +835,13 @@ WHERE family <> 'fairness'""",
         WINDOWED,
     )
     q["stream_snapshots_complete"] = sql(f"{STREAMED} {grouped}", WINDOWED)
-    q["late_events"] = f"""WITH {EVENTS}, arrivals AS (SELECT *, CASE WHEN ts >= TIMESTAMP '2024-01-21' THEN 2 WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS batch,
+    q["late_events"] = f"""WITH {EVENTS}, arrivals AS (SELECT *, CASE WHEN ts >= TIMESTAMP '2024-01-21' THEN 3 WHEN event_id % 10 = 0 THEN 2
+    WHEN ts >= TIMESTAMP '2024-01-11' THEN 1 ELSE 0 END AS batch,
   date_trunc('day', ts) AS w FROM timed)
 SELECT strftime(w, '%Y-%m-%d') AS window_start, strftime(w + INTERVAL '1 day', '%Y-%m-%d') AS window_end, event_type,
   count(*) AS n, CAST(sum(large) AS BIGINT) AS large_n FROM arrivals
-WHERE (batch <> 1 OR w + INTERVAL '1 day' > (SELECT max(ts) FROM arrivals WHERE batch = 0) - INTERVAL '8 days')
-  AND w + INTERVAL '1 day' <= (SELECT max(ts) FROM arrivals) - INTERVAL '8 days' GROUP BY w, event_type"""
+WHERE (batch <> 2 OR w + INTERVAL '1 day' > (SELECT max(ts) FROM arrivals WHERE batch = 0) - INTERVAL '2 days')
+  AND w + INTERVAL '1 day' <= (SELECT max(ts) FROM arrivals) - INTERVAL '2 days' GROUP BY w, event_type"""
     q["sliding_counts"] = f"""WITH {EVENTS}, slid AS (SELECT *, date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS w FROM timed, range(2) t(k))
 SELECT strftime(w, '%Y-%m-%d') AS window_start, strftime(w + INTERVAL '2 days', '%Y-%m-%d') AS window_end, event_type,
   count(*) AS n, CAST(sum(large) AS BIGINT) AS large_n FROM slid GROUP BY w, event_type"""

@@ -151,7 +151,8 @@ def bias_modifiers(spark, base):
             "application_id",
             biased_probability(base_score, ("gender", "race"), ROLES).alias("two_switches"),
             biased_probability(base_score, roles=ROLES).alias("all_switches"),
-        )
+        ),
+        12,
     )
 
 
@@ -643,10 +644,14 @@ def _snapshots(spark, base) -> DataFrame:
     return drift.window_snapshots(windowed_applications(spark, base), ("race", "gender"))
 
 
-def _windowed_drifts(spark, base) -> DataFrame:
-    current = _snapshots(spark, base)
-    baseline = drift.window_snapshots(applications(spark, base), ("race", "gender"), by=())
-    return drift.statistical_drift(current, baseline).unionByName(drift.fairness_drift(current, baseline))
+def _against_history(spark, base) -> tuple[DataFrame, DataFrame]:
+    """Snapshots of all windows, and the snapshot of the whole history as their baseline."""
+    return _snapshots(spark, base), drift.window_snapshots(applications(spark, base), ("race", "gender"), by=())
+
+
+def _alerts(spark, base) -> DataFrame:
+    alerts = drift.drift_alerts(drift.drift_summary(drift.all_drift(*_against_history(spark, base))))
+    return alerts.persist()
 
 
 def _dated(df: DataFrame) -> DataFrame:
@@ -660,34 +665,32 @@ def window_snapshots(spark, base):
 
 @query
 def statistical_drift(spark, base):
-    return _dated(_windowed_drifts(spark, base).where(F.col("type") == "statistical_drift"))
+    return _dated(drift.statistical_drift(*_against_history(spark, base)))
 
 
 @query
 def fairness_drift(spark, base):
-    return _dated(_windowed_drifts(spark, base).where(F.col("type") == "fairness_drift"))
+    return _dated(drift.fairness_drift(*_against_history(spark, base)))
 
 
 @query
 def drift_summary(spark, base):
-    return _dated(drift.drift_summary(_windowed_drifts(spark, base)))
+    return _dated(drift.drift_summary(drift.all_drift(*_against_history(spark, base))))
 
 
 @query
 def drift_alerts(spark, base):
-    return _dated(drift.drift_alerts(drift.drift_summary(_windowed_drifts(spark, base))))
+    return _dated(_alerts(spark, base))
 
 
 @query
 def monitoring_report(spark, base):
-    alerts = drift.drift_alerts(drift.drift_summary(_windowed_drifts(spark, base)))
-    return drift.monitoring_report(alerts, days=365)
+    return drift.monitoring_report(_alerts(spark, base), days=365)
 
 
 @query
 def alert_counts(spark, base):
-    alerts = drift.drift_alerts(drift.drift_summary(_windowed_drifts(spark, base)))
-    return drift.alert_counts(alerts, days=365)
+    return drift.alert_counts(_alerts(spark, base), days=365)
 
 
 @query
@@ -734,14 +737,17 @@ def stream_snapshots_complete(spark, base):
 
 @query
 def stream_alerts(spark, base):
-    """Drift alerts of a monitor fed one region after another."""
-    rows = applications(spark, base).select("application_id", *PROTECTED, "credit_score", "predicted_probability", "predicted", "approved")
+    """Drift alerts of a monitor whose feed delivers one region after another.
+
+    The monitor is stopped and restarted from its checkpoint between deliveries.
+    """
+    columns = ("race", "gender", "region", "credit_score", "predicted_probability", "predicted", "approved")
+    rows = applications(spark, base).select(*columns)
     folder = work_dir(spark, "monitor")
-    for r in sorted(x["r_name"] for x in star_table(spark, base, "region").collect()):
-        rows.where(F.col("region") == r).write.mode("append").parquet(f"{folder}/feed")
-    watcher = monitor.DriftMonitor(folder, ("race", "gender", "age_group"))
-    feed = monitor.table_stream(spark, f"{folder}/feed", "*.parquet", rows.schema)
-    watcher.run(feed)
+    watcher = monitor.DriftMonitor(folder, ("race", "gender", "region"))
+    for r in star_table(spark, base, "region").orderBy("r_name").collect():
+        rows.where(F.col("region") == r["r_name"]).write.mode("append").parquet(f"{folder}/feed")
+        watcher.run(monitor.table_stream(spark, f"{folder}/feed", "*.parquet", rows.schema))
     return watcher.alerts(spark)
 
 
@@ -749,18 +755,20 @@ def stream_alerts(spark, base):
 def late_events(spark, base):
     """Closed daily windows of an event stream whose tenth part arrives late.
 
-    Events of the first twenty days come first, their late tenth next, the remaining days last.
-    Late rows whose day had closed by then are dropped; the others are counted.
+    Punctual events arrive in three batches by day, the late tenth of the first twenty days between
+    the second and the third. Spark drops a late row if its day had closed by the watermark of the
+    batch before; the other late rows are counted.
     """
     events = star_table(spark, base, "events")
     folder = work_dir(spark, "late")
-    early = F.col("ts") < F.lit("2024-01-21").cast("timestamp_ntz")
+    first = F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz")
+    last = F.col("ts") >= F.lit("2024-01-21").cast("timestamp_ntz")
     late = F.col("event_id") % 10 == 0
-    for arriving in (early & ~late, early & late, ~early):
+    for arriving in (first & ~late, ~first & ~last & ~late, ~last & late, last):
         events.where(arriving).coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
     stream = as_timed(monitor.table_stream(spark, f"{folder}/arrivals", "*.parquet", events.schema, 1))
     counts = monitor.windowed_counts(
-        stream, "ts", ["event_type"], {"n": F.lit(1), "large_n": F.col("large")}, "1 day", delay="8 days"
+        stream, "ts", ["event_type"], {"n": F.lit(1), "large_n": F.col("large")}, "1 day", delay="2 days"
     )
     return _counts_by_day(monitor.drain_append(counts, folder))
 

@@ -65,8 +65,20 @@ APPLICATION_SCHEMA = StructType(
 )
 
 
+# Schemas of the tables read, so that no job has to look them up.
+TABLE_SCHEMAS = {
+    "orders": "o_orderkey bigint, o_custkey bigint, o_orderstatus string, o_totalprice double, "
+    "o_orderdate timestamp_ntz, o_orderpriority string",
+    "customer": "c_custkey bigint, c_name string, c_nationkey int, c_acctbal double, c_mktsegment string",
+    "nation": "n_nationkey int, n_name string, n_regionkey int",
+    "region": "r_regionkey int, r_name string",
+    "events": "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string",
+}
+
+
 def star_table(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return pin_utc(spark).read.parquet(f"{base.rstrip('/')}/{name}.parquet")
+    reader = pin_utc(spark).read.schema(TABLE_SCHEMAS[name])
+    return reader.parquet(f"{base.rstrip('/')}/{name}.parquet")
 
 
 def applications(spark: SparkSession, base: str) -> DataFrame:

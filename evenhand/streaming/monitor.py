@@ -16,12 +16,11 @@ from pyspark.sql.types import StructType
 from evenhand.operators.drift import (
     KEYS,
     SMOOTHING,
+    all_drift,
     drift_alerts,
     drift_summary,
-    fairness_drift,
     snapshot_cells,
     snapshots_from_cells,
-    statistical_drift,
 )
 from evenhand.sources.tables import path_exists
 
@@ -162,9 +161,7 @@ class DriftMonitor:
                 return
             previous = self._previous(spark, batch_id)
             if previous is not None:
-                drifts = statistical_drift(current, previous, by=()).unionByName(
-                    fairness_drift(current, previous, by=())
-                )
+                drifts = all_drift(current, previous, by=())
                 alerts = drift_alerts(drift_summary(drifts, by=()), by=())
                 alerts.write.mode("overwrite").parquet(f"{self.folder}/alerts/batch_id={batch_id}")
             updated = smoothed(previous, current).coalesce(1)
