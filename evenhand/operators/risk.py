@@ -36,29 +36,20 @@ def metric_risk(metric: Column, value: Column, threshold: Column) -> Column:
 def assessment(
     metrics: DataFrame, by: Sequence[str] = (), weights: Mapping[str, float] | None = None
 ) -> DataFrame:
-    """Scores, compliance and the facts the rules need, per segment and attribute."""
+    """Scores, compliance and the facts the rules need, per segment and attribute.
+
+    Each metric's risk is picked out by name and the weighted sum is taken in the order of the
+    weights, so that scores do not depend on the order rows arrive in.
+    """
     weights = dict(weights or WEIGHTS)
-    order = {m: i for i, m in enumerate(weights)}
-    pairs = [F.lit(x) for m, w in weights.items() for x in (m, float(w))]
-    ranks = [F.lit(x) for m, i in order.items() for x in (m, i)]
-    scored = metrics.withColumns(
-        {
-            "weight": F.try_element_at(F.create_map(*pairs), F.col("metric")),
-            "ordinal": F.try_element_at(F.create_map(*ranks), F.col("metric")),
-            "risk": metric_risk(F.col("metric"), F.col("value"), F.col("threshold")),
-        }
-    )
-    weighted = F.col("risk") * F.col("weight")
-    score = F.struct("ordinal", "metric", "risk", "weight", weighted.alias("weighted_risk"))
+    scored = metrics.withColumn("risk", metric_risk(F.col("metric"), F.col("value"), F.col("threshold")))
 
     def of(metric: str, column: Column) -> Column:
         return F.max(F.when(F.col("metric") == metric, column))
 
     failed = ~F.col("passed")
     facts = scored.groupBy(*by, "attribute").agg(
-        F.sum(weighted).alias("risk_sum"),
-        F.sum("weight").alias("weight_sum"),
-        F.array_sort(F.collect_list(F.when(F.col("weight").isNotNull(), score))).alias("scores"),
+        *[of(m, F.col("risk")).alias(f"risk_of_{m}") for m in weights],
         of("four_fifths_rule", failed).alias("impact_failed"),
         of("four_fifths_rule", F.col("severity")).alias("impact_severity"),
         of("four_fifths_rule", F.col("impacted_group")).alias("impact_group"),
@@ -67,11 +58,26 @@ def assessment(
         of("demographic_parity", F.col("value") > F.col("threshold") * 1.5).alias("parity_strong"),
         of("equal_opportunity", failed).alias("opportunity_failed"),
     )
+    risk_sum = weight_sum = F.lit(0.0)
+    scores = []
+    for m, w in weights.items():
+        risk, weight = F.col(f"risk_of_{m}"), F.lit(float(w))
+        risk_sum = risk_sum + F.coalesce(risk * weight, F.lit(0.0))
+        weight_sum = weight_sum + F.when(risk.isNotNull(), weight).otherwise(0.0)
+        entry = F.struct(
+            F.lit(m).alias("metric"),
+            risk.alias("risk"),
+            weight.alias("weight"),
+            (risk * weight).alias("weighted_risk"),
+        )
+        scores.append(F.when(risk.isNotNull(), entry))
     flags = ("impact_failed", "parity_failed", "parity_strong", "opportunity_failed")
     facts = facts.withColumns({f: F.coalesce(f, F.lit(False)) for f in flags})
-    facts = facts.withColumn(
-        "overall_risk_score",
-        F.coalesce(F.try_divide(F.col("risk_sum"), F.col("weight_sum")), F.lit(0.0)),
+    facts = facts.withColumns(
+        {
+            "overall_risk_score": F.coalesce(F.try_divide(risk_sum, weight_sum), F.lit(0.0)),
+            "metric_scores": F.array_compact(F.array(*scores)),
+        }
     )
     level = F.col("overall_risk_score")
     violation = "struct<regulation:string,violation:string,severity:string>"
@@ -99,10 +105,6 @@ def assessment(
         {
             "severity": F.when(level < MEDIUM_FROM, "Low").when(level < HIGH_FROM, "Medium").otherwise("High"),
             "color": F.when(level < MEDIUM_FROM, "green").when(level < HIGH_FROM, "yellow").otherwise("red"),
-            "metric_scores": F.transform(
-                "scores",
-                lambda s: F.struct(s["metric"], s["risk"], s["weight"], s["weighted_risk"]),
-            ),
             "ecoa_ok": ~F.col("impact_failed"),
             "fha_ok": ~F.col("parity_failed"),
             "state_ok": F.lit(True),

@@ -218,7 +218,7 @@ weights(metric, weight, ord) AS (VALUES ('four_fifths_rule', 0.4e0, 0), ('demogr
   ('equal_opportunity', 0.2e0, 2), ('predictive_parity', 0.1e0, 3), ('equalized_odds', 0.1e0, 4)),
 risks AS (SELECT m.*, weight, ord, CASE WHEN metric = 'four_fifths_rule' THEN greatest(0e0, 1e0 - value / threshold)
     ELSE least(1e0, value / (threshold * 3e0)) END AS risk FROM metrics m JOIN weights USING (metric)),
-overall AS (SELECT seg, attribute, sum(risk * weight) / sum(weight) AS score,
+overall AS (SELECT seg, attribute, sum(risk * weight ORDER BY ord) / sum(weight ORDER BY ord) AS score,
     string_agg(metric || ':' || CAST(weight AS VARCHAR) || ':' || CAST(CAST(round(risk, 4) AS DECIMAL(10, 4)) AS VARCHAR), ',' ORDER BY ord) AS scores,
     string_agg(CASE WHEN risk > 0.6e0 THEN metric END, ',' ORDER BY ord) AS risky, count(*) FILTER (WHERE risk > 0.6e0) AS n_risky
   FROM risks GROUP BY seg, attribute),

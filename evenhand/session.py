@@ -32,11 +32,12 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``, which every executor can reach. Only
-    where that is unset, as in local tests, is a temporary folder made and recorded.
+    The folder comes from ``spark.checkpoint.dir``, which every executor can reach. Only where that
+    is unset, as in a bare local session, is a temporary folder made and set as checkpoint folder.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    context = spark.sparkContext
+    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
         root = tempfile.mkdtemp(prefix="evenhand-")
-        spark.conf.set("spark.checkpoint.dir", root)
+        context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
