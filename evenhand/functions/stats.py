@@ -61,10 +61,13 @@ def cosine_weight(values: list[Column]) -> Column:
     return F.sqrt(squares)
 
 
-HASH_MODULUS = 1_000_003
+# A prime modulus and a multiplier near its golden section, so that even consecutive
+# keys spread evenly; their product stays within 64 bits.
+HASH_MODULUS = 2_147_483_647
+HASH_MULTIPLIER = 1_327_217_885
 
 
 def key_hash(key: Column, salt: int = 0) -> Column:
     """Repeatable pseudo-random integer in [0, HASH_MODULUS) for an integer key."""
-    folded = F.pmod(key.cast("bigint"), F.lit(HASH_MODULUS))
-    return (folded * F.lit(7919) + F.lit(104729 + salt)) % F.lit(HASH_MODULUS)
+    folded = F.pmod(key.cast("bigint"), F.lit(HASH_MODULUS).cast("bigint"))
+    return (folded * F.lit(HASH_MULTIPLIER) + F.lit(104729 + salt)) % F.lit(HASH_MODULUS).cast("bigint")

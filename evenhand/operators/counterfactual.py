@@ -54,7 +54,9 @@ def counterfactual_grid(
     )
     other = df.where(model.decision() == 1 - target)
     rows = other.select(key, *[F.col(f"`{f}`").cast("double").alias(f) for f in features])
-    placed = rows.repartition(key).withColumn("spread", spread)
+    # A fixed number of partitions: judged by the narrow rows, AQE would merge too many of them.
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = rows.repartition(partitions, key).withColumn("spread", spread)
     tried = placed.select(key, *features, "spread", F.inline(options))
     change = {f: F.col(f"move__{f}") * STEP * F.col("spread")[f] for f in moved}
     squares = F.lit(0.0)

@@ -52,7 +52,8 @@ def intersection_impact(
 
     Combinations nobody belongs to are listed too, with a NULL ratio. They come from exploding the
     attributes' value lists, which are read off the cells: the output has one row per combination
-    by definition, and no two tables are crossed.
+    by definition, and no two tables are crossed. The first attribute's values are spread over the
+    cluster before the others are expanded.
     """
     cell_table = _approval_cells(df, attributes, outcome, by)
     totals = cell_table.groupBy(*by).agg(
@@ -61,8 +62,10 @@ def intersection_impact(
         *[F.collect_set(a).alias(a) for a in attributes],
     )
     combos = totals.select(*by, ratio(F.col("all_approvals"), F.col("all_n")).alias("overall_rate"), *attributes)
-    for a in attributes:
+    for i, a in enumerate(attributes):
         combos = combos.withColumn(a, F.explode(a))
+        if i == 0:
+            combos = combos.repartition(*by, a)
     keys = [*by, *attributes]
     rates = cell_table.where(all_present(attributes)).select(
         *keys, ratio(F.col("approvals"), F.col("n")).alias("group_rate")

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from evenhand.functions.stats import ERFC_COEFFICIENTS, HASH_MODULUS
+from evenhand.functions.stats import ERFC_COEFFICIENTS, HASH_MODULUS, HASH_MULTIPLIER
 from evenhand.plans.inputs import CHECK_DOMAINS, CUTOFFS, EXPLAINED_SCORE, POLICY, RULES, SCORE, STEPS
 
 AGE_BAND = """CASE WHEN age IS NULL THEN NULL WHEN age <= 24 THEN '18-24' WHEN age <= 34 THEN '25-34'
@@ -77,7 +77,7 @@ def sql(select: str, *ctes: str) -> str:
 
 
 def hashed(key: str, salt: int = 0) -> str:
-    return f"((({key} % {HASH_MODULUS}) * 7919 + {104729 + salt}) % {HASH_MODULUS})"
+    return f"((({key} % {HASH_MODULUS}) * {HASH_MULTIPLIER} + {104729 + salt}) % {HASH_MODULUS})"
 
 
 def rnd(expression: str, name: str, digits: int = 6) -> str:

@@ -152,3 +152,15 @@ def applications_from(
         }
     )
     return priced.select(*APPLICATION_SCHEMA.fieldNames())
+
+
+def store_applications(table: DataFrame, path: str) -> str:
+    """Write applications partitioned by month, so that audits of a period read only its files.
+
+    Rows are ranged by month and key: a month of any size is written by as many tasks as it needs,
+    and small months do not scatter over all of them.
+    """
+    dated = table.withColumn("application_month", F.date_format("application_date", "yyyy-MM"))
+    ranged = dated.repartitionByRange("application_month", "application_id")
+    ranged.write.mode("overwrite").partitionBy("application_month").parquet(path)
+    return path

@@ -33,6 +33,10 @@ def test_sample_is_repeatable_and_bounded(spark, tmp_path):
     again = {r[0] for r in tables.sample_rows(df.repartition(7), 50, "application_id").collect()}
     assert first == again and len(first) == 50
     assert tables.sample_rows(df, 1000, "application_id").count() == 500
+    crowded = spark.range(300).select((F.col("id") * 2**40).alias("application_id"), F.lit(1).alias("x"))
+    assert tables.sample_rows(crowded, 7, "application_id").count() == 7
+    same = spark.range(5000).select(F.lit(2**31).alias("application_id"), F.col("id").alias("x"))
+    assert tables.sample_rows(same, 7, "application_id").count() == 7
     empty = tables.load_sample(spark, str(tmp_path), "none.csv", APPLICATION_SCHEMA)
     assert empty.isEmpty() and empty.schema == APPLICATION_SCHEMA
 

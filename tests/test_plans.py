@@ -11,13 +11,19 @@ from evenhand.operators import cube, fairness, impact, mitigation, whatif
 from evenhand.operators.models import LinearScore
 from evenhand.plans.audit import run_audit
 from evenhand.session import work_dir
-from evenhand.sources.applications import PROTECTED, applications
+from evenhand.sources.applications import PROTECTED, applications, store_applications
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 ORACLE = driver.oracle_sql()
 QUERIES = driver.queries()
 
 
+@pytest.fixture(autouse=True)
+def uncached(spark):
+    """Plans are those of the stored tables, not of what another test has cached."""
+    spark.catalog.clearCache()
+
+
 def plan(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -62,6 +68,14 @@ def test_filters_reach_the_scan(spark, base):
     assert "EqualTo(o_orderpriority,1-URGENT)" in text
 
 
+def test_stored_applications_are_pruned_by_month(spark, sample, tmp_path):
+    stored = spark.read.parquet(store_applications(sample, f"{tmp_path}/t"))
+    assert stored.count() == sample.count()
+    month = stored.select(F.min("application_month")).first()[0]
+    text = plan(cube.rate_cube(stored.where(F.col("application_month") == month), ["race"]))
+    assert re.search(r"PartitionFilters: \[[^\]]*application_month", text)
+
+
 def skewed(spark, n=60_000):
     """A third of all rows in one group and segment."""
     hot = F.col("id") % 3 == 0
