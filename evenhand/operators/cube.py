@@ -112,6 +112,32 @@ def rate_cube(
     return cells_to_groups(cell_table, attributes, COUNTERS, by)
 
 
+def model_cube(
+    df: DataFrame,
+    attributes: Sequence[str],
+    outcomes: Mapping[str, str],
+    by: Sequence[str] = (),
+    **counter_options,
+) -> DataFrame:
+    """Cube of several models' decisions (``{model: outcome column}``) with a leading model column.
+
+    All models are counted in the same scan; a row without one model's outcome still counts for
+    the others.
+    """
+    sums = {}
+    for i, outcome in enumerate(outcomes.values()):
+        known = F.col(outcome).isNotNull()
+        for name, counter in decision_counters(df, outcome, **counter_options).items():
+            sums[f"{name}__{i}"] = F.when(known, counter)
+    table = cells(df, attributes, sums, by)
+    rows = [
+        F.struct(F.lit(model).alias("model"), *[F.col(f"{c}__{i}").alias(c) for c in COUNTERS])
+        for i, model in enumerate(outcomes)
+    ]
+    per_model = table.select(*by, *attributes, F.inline(F.array(*rows))).where(F.col("n") > 0)
+    return cells_to_groups(per_model, attributes, COUNTERS, ["model", *by])
+
+
 def intersection_cube(
     df: DataFrame,
     attributes: Sequence[str],

@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.stats import chi_square_p_value, ratio, yates_chi_square
-from evenhand.operators.cube import intersection_cube, rate_cube
+from evenhand.operators.cube import intersection_cube, model_cube, rate_cube
 
 # Metric keys, display names, thresholds and regulations.
 METRICS = {
@@ -283,6 +283,20 @@ def all_metrics(
     return metric_table(cube, by, references, thresholds)
 
 
+def audit_models(
+    df: DataFrame,
+    attributes: Sequence[str],
+    outcomes: Mapping[str, str],
+    by: Sequence[str] = (),
+    references: Mapping[str, str] | None = None,
+    thresholds: Mapping[str, Mapping] | None = None,
+    **counter_options,
+) -> DataFrame:
+    """``all_metrics`` of several models at once, keyed by model, from one scan."""
+    cube = model_cube(df, attributes, outcomes, by, **counter_options)
+    return metric_table(cube, ["model", *by], references, thresholds)
+
+
 def intersectional_metrics(
     df: DataFrame,
     attributes: Sequence[str],

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.joins import null_safe_on
-from evenhand.functions.lending import all_present
 from evenhand.functions.stats import ratio
 from evenhand.operators.cube import cells, cells_to_groups
 
@@ -53,9 +52,10 @@ def intersection_impact(
     Combinations nobody belongs to are listed too, with a NULL ratio. They come from exploding the
     attributes' value lists, which are read off the cells: the output has one row per combination
     by definition, and no two tables are crossed. The first attribute's values are spread over the
-    cluster before the others are expanded.
+    cluster before the others are expanded. The cells, a small aggregate, are cached because both
+    the value lists and the rates come from them.
     """
-    cell_table = _approval_cells(df, attributes, outcome, by)
+    cell_table = _approval_cells(df, attributes, outcome, by).persist()
     totals = cell_table.groupBy(*by).agg(
         F.sum("approvals").alias("all_approvals"),
         F.sum("n").alias("all_n"),
@@ -67,9 +67,7 @@ def intersection_impact(
         if i == 0:
             combos = combos.repartition(*by, a)
     keys = [*by, *attributes]
-    rates = cell_table.where(all_present(attributes)).select(
-        *keys, ratio(F.col("approvals"), F.col("n")).alias("group_rate")
-    )
+    rates = cell_table.select(*keys, ratio(F.col("approvals"), F.col("n")).alias("group_rate"))
     joined = combos.join(rates, null_safe_on(combos, rates, keys), "left")
     impact = F.when(F.col("overall_rate") == 0, F.lit(0.0)).otherwise(
         F.try_divide(F.col("group_rate"), F.col("overall_rate"))

@@ -5,10 +5,8 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from evenhand.operators import fairness, risk
-from evenhand.operators.cube import rate_cube
 from evenhand.sources.exports import flatten_metrics, write_export
 
 
@@ -24,19 +22,14 @@ def run_audit(
     """Audit one or more outcome columns (``{model name: column}``) and write the results.
 
     The metrics are stored first and everything else is derived from that small table, so the
-    applications are read once per outcome. Returns the path of each table; ``flat`` is the csv
+    applications are read once. Returns the path of each table; ``flat`` is the csv
     export.
     """
     outcomes = dict(outcomes or {"history": "approved"})
     folder = folder.rstrip("/")
     paths = {name: f"{folder}/{name}" for name in ("metrics", "risk", "rules", "alerts", "flat")}
-    audits = [
-        fairness.metric_table(rate_cube(applications, attributes, column, by), by, references, thresholds).withColumn(
-            "model", F.lit(model)
-        )
-        for model, column in outcomes.items()
-    ]
-    fairness.union_metrics(*audits).write.mode("overwrite").parquet(paths["metrics"])
+    audit = fairness.audit_models(applications, attributes, outcomes, by, references, thresholds)
+    audit.write.mode("overwrite").parquet(paths["metrics"])
     metrics = applications.sparkSession.read.parquet(paths["metrics"])
     keys = ["model", *by]
     risk.risk_score(metrics, keys).write.mode("overwrite").parquet(paths["risk"])

@@ -445,14 +445,14 @@ severity, regulation FROM both_models""",
 CASE WHEN p > 0.5e0 THEN 1 ELSE 0 END AS prediction, {rnd('p', 'prediction_probability')}, approved AS actual,
 (CASE WHEN p > 0.5e0 THEN 1 ELSE 0 END) = approved AS correct FROM (SELECT *, {P_SCORE} AS p FROM applications)"""
     )
-    q["age_bands"] = sql(f"SELECT application_id, age, {AGE_BAND} AS band FROM applications")
-    q["approval_scores"] = sql(f"SELECT application_id, {rnd('predicted_probability', 'score')} FROM applications")
+    q["age_band"] = sql(f"SELECT application_id, age, {AGE_BAND} AS band FROM applications")
+    q["approval_score"] = sql(f"SELECT application_id, {rnd('predicted_probability', 'score')} FROM applications")
     q["bias_modifiers"] = sql(
         f"""SELECT application_id, {rnd('''predicted_probability * (CASE WHEN gender = 'F' THEN 0.85e0 ELSE 1e0 END)
   * (CASE WHEN race IN ('BUILDING', 'FURNITURE') THEN 0.75e0 ELSE 1e0 END)''', 'two_switches', 12)},
 {rnd('approval_probability', 'all_switches', 12)} FROM applications"""
     )
-    q["intersection_keys"] = sql("SELECT application_id, race || '_' || gender || '_' || age AS intersection FROM flawed", FLAWED)
+    q["intersection_key"] = sql("SELECT application_id, race || '_' || gender || '_' || age AS intersection FROM flawed", FLAWED)
     flawed_columns = (
         "application_id race gender age annual_income credit_score employment_years debt_to_income loan_type "
         "loan_amount approved approved_amount"

@@ -8,13 +8,7 @@ from pyspark.ml import PipelineModel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.functions.lending import (
-    age_band,
-    approval_score,
-    biased_probability,
-    feature_category,
-    intersection_key,
-)
+from evenhand.functions import lending
 from evenhand.operators import (
     attribution,
     counterfactual,
@@ -133,13 +127,13 @@ def model_roundtrip(spark, base):
 
 
 @query
-def age_bands(spark, base):
-    return applications(spark, base).select("application_id", "age", age_band(F.col("age")).alias("band"))
+def age_band(spark, base):
+    return applications(spark, base).select("application_id", "age", lending.age_band(F.col("age")).alias("band"))
 
 
 @query
-def approval_scores(spark, base):
-    score = approval_score(F.col("credit_score"), F.col("debt_to_income"))
+def approval_score(spark, base):
+    score = lending.approval_score(F.col("credit_score"), F.col("debt_to_income"))
     return rounded(applications(spark, base).select("application_id", score.alias("score")))
 
 
@@ -149,17 +143,17 @@ def bias_modifiers(spark, base):
     return rounded(
         applications(spark, base).select(
             "application_id",
-            biased_probability(base_score, ("gender", "race"), ROLES).alias("two_switches"),
-            biased_probability(base_score, roles=ROLES).alias("all_switches"),
+            lending.biased_probability(base_score, ("gender", "race"), ROLES).alias("two_switches"),
+            lending.biased_probability(base_score, roles=ROLES).alias("all_switches"),
         ),
         12,
     )
 
 
 @query
-def intersection_keys(spark, base):
+def intersection_key(spark, base):
     return flawed_applications(spark, base).select(
-        "application_id", intersection_key("race", "gender", "age").alias("intersection")
+        "application_id", lending.intersection_key("race", "gender", "age").alias("intersection")
     )
 
 
@@ -169,7 +163,7 @@ def feature_categories(spark, base):
     table = flawed_applications(spark, base)
     counts = [F.count_if(F.col(c).isNull()).alias(c) for c in table.columns]
     long = table.agg(*counts).unpivot([], table.columns, "feature", "missing")
-    return long.select("feature", feature_category(F.col("feature")).alias("category"), "missing")
+    return long.select("feature", lending.feature_category(F.col("feature")).alias("category"), "missing")
 
 
 @query
@@ -434,17 +428,20 @@ def worst_intersection(spark, base):
 
 
 def _two_models(spark, base) -> DataFrame:
+    outcomes = {"history": "approved", "score": "predicted"}
+    return fairness.audit_models(applications(spark, base), AUDITED, outcomes)
+
+
+@query
+def union_metrics(spark, base):
+    """Metrics of the decisions and of the score, audited apart and accumulated."""
     rows = applications(spark, base)
     audits = [
         fairness.all_metrics(rows, AUDITED, outcome).withColumn("model", F.lit(name))
         for name, outcome in (("history", "approved"), ("score", "predicted"))
     ]
-    return fairness.union_metrics(*audits)
-
-
-@query
-def union_metrics(spark, base):
-    return rounded(_two_models(spark, base).select("model", "attribute", "metric", "value", "passed", "severity"))
+    table = fairness.union_metrics(*audits)
+    return rounded(table.select("model", "attribute", "metric", "value", "passed", "severity"))
 
 
 @query
@@ -532,7 +529,7 @@ def forest_rules(spark, base):
 @query
 def fairness_improvement(spark, base):
     """Metrics of the recorded decisions against those of the plain score."""
-    both = _two_models(spark, base)
+    both = _two_models(spark, base).persist()
     before, after = (both.where(F.col("model") == m).drop("model") for m in ("history", "score"))
     return rounded(fairness.compare_metrics(before, after))
 

@@ -196,3 +196,13 @@ def test_compare_metrics(spark):
 def test_segment_cannot_be_an_attribute(spark):
     with pytest.raises(ValueError):
         cube.rate_cube(simple(spark, [("a", 1)]), ["race"], by=["race"])
+
+
+def test_models_are_audited_together_as_they_are_apart(spark):
+    rows = random_rows(9)
+    df = frame(spark, rows).withColumn("other", F.when(F.col("credit_score") > 640, 1).when(F.col("race") == "a", 0))
+    together = fairness.audit_models(df, ["race", "gender"], {"one": "approved", "two": "other"}, by=["seg"])
+    for model, outcome in (("one", "approved"), ("two", "other")):
+        apart = fairness.all_metrics(df, ["race", "gender"], outcome, by=["seg"])
+        mine = together.where(F.col("model") == model).drop("model").select(apart.columns)
+        assert sorted(map(str, mine.collect())) == sorted(map(str, apart.collect()))

@@ -45,6 +45,7 @@ def test_every_metric_comes_from_one_narrow_scan(spark, base):
 def test_intersections_cross_no_tables(spark, base):
     text = plan(impact.intersection_impact(applications(spark, base), ["race", "gender"]))
     assert "CartesianProduct" not in text and "BroadcastNestedLoopJoin" not in text
+    assert text.count("InMemoryTableScan") == 2
 
 
 def test_what_if_scans_once(spark, base):
