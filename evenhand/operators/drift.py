@@ -18,11 +18,12 @@ from evenhand.operators.cube import COUNTERS, cells, cells_to_groups, decision_c
 from evenhand.operators.fairness import metric_table
 from evenhand.operators.models import confusion_columns, performance_columns
 
-# Drift limits (reported above the first, high above the second) and smoothing.
+# Drift limits (reported above the first, high above the second), smoothing and alert text.
 APPROVAL_DRIFT = (0.05, 0.1)
 SHARE_DRIFT = (0.1, 0.15)
 FAIRNESS_DRIFT = (0.1, 0.15)
 SMOOTHING = 0.1
+ALERT_MESSAGE = "%s detected: %s drift detected in %d metrics"
 
 WINDOW = ("window_start",)
 KEYS = ("family", "attribute", "key")
@@ -235,7 +236,7 @@ def drift_alerts(summary: DataFrame, by: Sequence[str] = WINDOW) -> DataFrame:
     """Alert for every drift type that is high or critical."""
     label = F.when(F.col("type") == "fairness_drift", "Fairness").otherwise("Statistical")
     message = F.format_string(
-        "%s detected: %s drift detected in %d metrics", F.col("type"), label, F.col("n_drifts")
+        ALERT_MESSAGE, F.col("type"), label, F.col("n_drifts")
     )
     return summary.where(F.col("severity").isin("high", "critical")).select(
         *by, F.lit("DRIFT_DETECTED").alias("type"), "severity", message.alias("message"), F.col("type").alias("drift")

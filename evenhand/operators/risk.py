@@ -23,7 +23,23 @@ WEIGHTS = {
 MEDIUM_FROM, HIGH_FROM = 0.33, 0.66
 ALERT_HIGH, ALERT_MEDIUM, ALERT_METRIC = 0.7, 0.4, 0.6
 
-_TEXT = "string"
+# Rule codes in their order.
+RULE_CODES = (
+    "URGENT_REVIEW",
+    "REVIEW_CRITERIA",
+    "MITIGATE",
+    "INVESTIGATE_QUALIFIED",
+    "ANALYZE_FACTORS",
+    "RETRAIN_BALANCED",
+    "MONITOR_FAIRNESS",
+)
+# Violation and alert texts.
+IMPACT_VIOLATION = ("ECOA", "Failed Four-Fifths Rule")
+PARITY_VIOLATION = ("Fair Housing Act", "Demographic Parity violation")
+HIGH_MESSAGE = "High bias risk detected (score: %.2f)"
+MEDIUM_MESSAGE = "Medium bias risk detected (score: %.2f)"
+VIOLATION_MESSAGE = "Regulatory compliance violations detected: %d issues"
+METRIC_MESSAGE = "Multiple fairness metrics failing: %d metrics"
 
 
 def metric_risk(metric: Column, value: Column, threshold: Column) -> Column:
@@ -80,25 +96,20 @@ def assessment(
         }
     )
     level = F.col("overall_risk_score")
-    violation = "struct<regulation:string,violation:string,severity:string>"
+    breaches = (("impact", IMPACT_VIOLATION), ("parity", PARITY_VIOLATION))
     violations = F.array_compact(
         F.array(
-            F.when(
-                F.col("impact_failed"),
-                F.struct(
-                    F.lit("ECOA").alias("regulation"),
-                    F.lit("Failed Four-Fifths Rule").alias("violation"),
-                    F.col("impact_severity").alias("severity"),
-                ),
-            ).cast(violation),
-            F.when(
-                F.col("parity_failed"),
-                F.struct(
-                    F.lit("Fair Housing Act").alias("regulation"),
-                    F.lit("Demographic Parity violation").alias("violation"),
-                    F.col("parity_severity").alias("severity"),
-                ),
-            ).cast(violation),
+            *[
+                F.when(
+                    F.col(f"{name}_failed"),
+                    F.struct(
+                        F.lit(regulation).alias("regulation"),
+                        F.lit(text).alias("violation"),
+                        F.col(f"{name}_severity").alias("severity"),
+                    ),
+                )
+                for name, (regulation, text) in breaches
+            ]
         )
     )
     return facts.withColumns(
@@ -120,13 +131,13 @@ def _rules(level: Column) -> Column:
     urgent, elevated = level > HIGH_FROM, level > MEDIUM_FROM
     group = F.coalesce("impact_group", F.lit("minority groups"))
     conditions = (
-        ("URGENT_REVIEW", urgent, None),
-        ("REVIEW_CRITERIA", F.col("impact_failed"), group),
-        ("MITIGATE", F.col("parity_strong"), None),
-        ("INVESTIGATE_QUALIFIED", F.col("opportunity_failed"), None),
-        ("ANALYZE_FACTORS", elevated, None),
-        ("RETRAIN_BALANCED", elevated, None),
-        ("MONITOR_FAIRNESS", elevated, None),
+        urgent,
+        F.col("impact_failed"),
+        F.col("parity_strong"),
+        F.col("opportunity_failed"),
+        elevated,
+        elevated,
+        elevated,
     )
     entries = [
         F.when(
@@ -134,10 +145,10 @@ def _rules(level: Column) -> Column:
             F.struct(
                 F.lit(i).alias("ordinal"),
                 F.lit(code).alias("code"),
-                (F.lit(None).cast(_TEXT) if target is None else target).alias("grp"),
+                (group if code == "REVIEW_CRITERIA" else F.lit(None).cast("string")).alias("grp"),
             ),
         )
-        for i, (code, condition, target) in enumerate(conditions, 1)
+        for i, (code, condition) in enumerate(zip(RULE_CODES, conditions, strict=True), 1)
     ]
     return F.array_compact(F.array(*entries))
 
@@ -202,25 +213,25 @@ def portfolio_alerts(
     high = alert(
         "HIGH_RISK",
         "CRITICAL",
-        F.format_string("High bias risk detected (score: %.2f)", level),
+        F.format_string(HIGH_MESSAGE, level),
         F.slice(codes, 1, 3),
     )
     medium = alert(
         "MEDIUM_RISK",
         "HIGH",
-        F.format_string("Medium bias risk detected (score: %.2f)", level),
+        F.format_string(MEDIUM_MESSAGE, level),
         F.slice(codes, 1, 2),
     )
     violation = alert(
         "COMPLIANCE_VIOLATION",
         "CRITICAL",
-        F.format_string("Regulatory compliance violations detected: %d issues", F.size("violations")),
+        F.format_string(VIOLATION_MESSAGE, F.size("violations")),
         F.transform("violations", lambda v: F.concat_ws(": ", v["regulation"], v["violation"], v["severity"])),
     )
     metric = alert(
         "METRIC_FAILURE",
         "HIGH",
-        F.format_string("Multiple fairness metrics failing: %d metrics", F.size(risky)),
+        F.format_string(METRIC_MESSAGE, F.size(risky)),
         F.transform(risky, lambda s: s["metric"]),
     )
     alerts = F.array_compact(

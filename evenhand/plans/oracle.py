@@ -835,12 +835,11 @@ WHERE family <> 'fairness'""",
         WINDOWED,
     )
     q["stream_snapshots_complete"] = sql(f"{STREAMED} {grouped}", WINDOWED)
-    q["late_events"] = f"""WITH {EVENTS}, arrivals AS (SELECT *, CASE WHEN ts >= TIMESTAMP '2024-01-21' THEN 3 WHEN event_id % 10 = 0 THEN 2
-    WHEN ts >= TIMESTAMP '2024-01-11' THEN 1 ELSE 0 END AS batch,
+    q["late_events"] = f"""WITH {EVENTS}, arrivals AS (SELECT *, CASE WHEN ts >= TIMESTAMP '2024-01-21' THEN 2 WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS batch,
   date_trunc('day', ts) AS w FROM timed)
 SELECT strftime(w, '%Y-%m-%d') AS window_start, strftime(w + INTERVAL '1 day', '%Y-%m-%d') AS window_end, event_type,
   count(*) AS n, CAST(sum(large) AS BIGINT) AS large_n FROM arrivals
-WHERE (batch <> 2 OR w + INTERVAL '1 day' > (SELECT max(ts) FROM arrivals WHERE batch = 0) - INTERVAL '2 days')
+WHERE (batch <> 1 OR w + INTERVAL '1 day' > (SELECT max(ts) FROM arrivals WHERE batch = 0) - INTERVAL '2 days')
   AND w + INTERVAL '1 day' <= (SELECT max(ts) FROM arrivals) - INTERVAL '2 days' GROUP BY w, event_type"""
     q["sliding_counts"] = f"""WITH {EVENTS}, slid AS (SELECT *, date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS w FROM timed, range(2) t(k))
 SELECT strftime(w, '%Y-%m-%d') AS window_start, strftime(w + INTERVAL '2 days', '%Y-%m-%d') AS window_end, event_type,

@@ -706,7 +706,7 @@ def _decision_sums() -> dict:
 
 def _application_stream(spark, base) -> DataFrame:
     static = {t: star_table(spark, base, t) for t in ("orders", "customer", "nation", "region")}
-    orders = monitor.table_stream(spark, base, "orders.parquet", static["orders"].schema)
+    orders = monitor.stored_table_stream(spark, base, "orders.parquet", static["orders"].schema)
     return applications_from(orders, static["customer"], static["nation"], static["region"])
 
 
@@ -752,22 +752,21 @@ def stream_alerts(spark, base):
 def late_events(spark, base):
     """Closed daily windows of an event stream whose tenth part arrives late.
 
-    Punctual events arrive in three batches by day, the late tenth of the first twenty days between
-    the second and the third. Spark drops a late row if its day had closed by the watermark of the
-    batch before; the other late rows are counted.
+    Three deliveries, with the stream restarted from its checkpoint for each: the punctual events
+    of the first twenty days, their late tenth, and the remaining days. Spark drops a late row if
+    its day had closed by then; the other late rows are counted.
     """
     events = star_table(spark, base, "events")
     folder = work_dir(spark, "late")
-    first = F.col("ts") < F.lit("2024-01-11").cast("timestamp_ntz")
     last = F.col("ts") >= F.lit("2024-01-21").cast("timestamp_ntz")
     late = F.col("event_id") % 10 == 0
-    for arriving in (first & ~late, ~first & ~last & ~late, ~last & late, last):
-        events.where(arriving).coalesce(1).write.mode("append").parquet(f"{folder}/arrivals")
-    stream = as_timed(monitor.table_stream(spark, f"{folder}/arrivals", "*.parquet", events.schema, 1))
-    counts = monitor.windowed_counts(
-        stream, "ts", ["event_type"], {"n": F.lit(1), "large_n": F.col("large")}, "1 day", delay="2 days"
-    )
-    return _counts_by_day(monitor.drain_append(counts, folder))
+    sums = {"n": F.lit(1), "large_n": F.col("large")}
+    for arriving in (~last & ~late, ~last & late, last):
+        events.where(arriving).write.mode("append").parquet(f"{folder}/arrivals")
+        stream = as_timed(monitor.table_stream(spark, f"{folder}/arrivals", "*.parquet", events.schema))
+        counts = monitor.windowed_counts(stream, "ts", ["event_type"], sums, "1 day", delay="2 days")
+        closed = monitor.drain_append(counts, folder)
+    return _counts_by_day(closed)
 
 
 @query

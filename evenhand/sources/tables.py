@@ -27,6 +27,13 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(hadoop_path)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    jvm = spark.sparkContext._jvm
+    hadoop_path = jvm.org.apache.hadoop.fs.Path(path)
+    file_system = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return file_system.exists(hadoop_path) and file_system.getFileStatus(hadoop_path).isDirectory()
+
+
 def find_table(spark: SparkSession, base: str, name: str) -> str:
     """Path of ``name`` below ``base`` or one of the standard sub-folders."""
     base = base.rstrip("/")

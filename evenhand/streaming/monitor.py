@@ -22,7 +22,7 @@ from evenhand.operators.drift import (
     snapshot_cells,
     snapshots_from_cells,
 )
-from evenhand.sources.tables import path_exists
+from evenhand.sources.tables import is_folder, path_exists
 
 
 def table_stream(
@@ -35,6 +35,14 @@ def table_stream(
     return reader.parquet(folder)
 
 
+def stored_table_stream(spark: SparkSession, base: str, name: str, schema: StructType) -> DataFrame:
+    """Stream of the table ``base/name``, whether that is one file or a folder of files."""
+    path = f"{base.rstrip('/')}/{name}"
+    if is_folder(spark, path):
+        return table_stream(spark, path, "*", schema)
+    return table_stream(spark, base, name, schema)
+
+
 def windowed_counts(
     rows: DataFrame,
     time: str,
