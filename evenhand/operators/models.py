@@ -312,9 +312,13 @@ def performance_columns() -> dict[str, Column]:
 
 
 def auc(scored: DataFrame, label: str = "approved", score: str = "predicted_probability") -> float:
-    """Exact area under the ROC curve: Spark sorts the distinct scores across the cluster."""
+    """Exact area under the ROC curve.
+
+    Equal scores are counted together first; Spark then sorts the distinct scores across the cluster.
+    """
     evaluator = BinaryClassificationEvaluator(
-        labelCol="label", rawPredictionCol="score", metricName="areaUnderROC", numBins=0
+        labelCol="label", rawPredictionCol="score", weightCol="weight", metricName="areaUnderROC", numBins=0
     )
     rows = scored.select(F.col(label).cast("double").alias("label"), F.col(score).cast("double").alias("score"))
-    return evaluator.evaluate(rows.dropna())
+    counted = rows.dropna().groupBy("label", "score").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    return evaluator.evaluate(counted)

@@ -8,6 +8,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, NumericType
 
+from evenhand.functions.joins import join_small
+
+# Repeated row hashes (8 bytes each) that are broadcast at most.
+REPEATED_HASHES = 1_000_000
+
 # Required and numeric columns, accepted ranges and accepted categories.
 REQUIRED = (
     "application_id",
@@ -106,11 +111,10 @@ def domain_checks(df: DataFrame, domains: Mapping[str, Sequence[str]] = DOMAINS)
         if c in df.columns:
             value = F.col(c).cast("string")
             unexpected = value.isNull() | ~value.isin(*accepted)
-            checks.append(
-                F.when(unexpected, F.struct(F.lit(c).alias("column"), value.alias("value")))
-            )
+            checks.append(F.struct(F.when(unexpected, F.lit(c)).alias("column"), value.alias("value")))
     return (
-        df.select(F.inline(F.array_compact(F.array(*checks))))
+        df.select(F.inline(F.array(*checks)))
+        .where(F.col("column").isNotNull())
         .groupBy("column", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
     )
@@ -126,6 +130,7 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
 
     A first pass exchanges only an 8-byte hash per row and keeps the hashes seen more than once;
     whole rows are compared only within those, so the count stays exact under hash collisions.
+    While such hashes are few they are broadcast and no other row is exchanged at all.
     """
     names = [F.col(f"`{c}`") for c in df.columns]
     hashed = df.select(F.struct(*names).alias("row"), F.xxhash64(*names).alias("hash"))
@@ -135,7 +140,8 @@ def duplicate_rows(df: DataFrame) -> DataFrame:
         .where(F.col("seen") > 1)
         .select("hash")
     )
-    suspects = hashed.join(repeated, "hash", "left_semi").groupBy("hash", "row").count()
+    kept = join_small(hashed, repeated, ["hash"], "left_semi", max_rows=REPEATED_HASHES)
+    suspects = kept.groupBy("hash", "row").count()
     return suspects.agg(F.coalesce(F.sum(F.col("count") - 1), F.lit(0)).alias("duplicate_rows"))
 
 

@@ -3,156 +3,129 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
-GRID = 500
-ACCURACY = 10_000
+BINS = 1_000
 SETTLE_ROWS = 200_000
 
 
 @dataclass
 class _Band:
-    """Interval that holds the wanted ranks, with what the last scan found in it."""
-
-    low: float | None = None
-    high: float | None = None
-    open: bool = False
-    ranks: tuple[int, int] | None = None
-    below: int = 0
-    inside: int = 0
-    at_low: int = 0
-    at_high: int = 0
-    next_up: float | None = None
-    next_down: float | None = None
-    grid: list[float] = field(default_factory=list)
-
-    def inside_condition(self, x: Column) -> Column:
-        inside = x.isNotNull() & ~F.isnan(x)
-        if self.low is not None:
-            above_low = x > self.low if self.open else x >= self.low
-            below_high = x < self.high if self.open else x <= self.high
-            inside = inside & above_low & below_high
-        return inside
-
-    def below_condition(self, x: Column) -> Column:
-        if self.low is None:
-            return F.lit(False)
-        return x <= self.low if self.open else x < self.low
+    """Interval of values known to hold the wanted ranks."""
+
+    low: float
+    high: float
+    below: int
+    inside: int
+    ranks: tuple[int, int]
+
+    def contains(self, x: Column) -> Column:
+        return (x >= self.low) & (x <= self.high)
+
+    def bin_of(self, x: Column) -> Column:
+        """Equal-width bin of a value; monotone in x, so bins are ranges of ranks."""
+        position = (x - self.low) / F.lit(self.high - self.low) * BINS
+        return F.least(F.floor(position), F.lit(BINS - 1)).cast("int")
+
+
+def _number(column: str) -> Column:
+    """The column as double, NaN as NULL."""
+    x = F.col(column).cast("double")
+    return F.when(~F.isnan(x), x)
 
 
 def exact_medians(
-    df: DataFrame, columns: Sequence[str], settle_rows: int = SETTLE_ROWS
+    df: DataFrame, columns: Sequence[str], settle_rows: int = SETTLE_ROWS, max_rounds: int = 20
 ) -> dict[str, float | None]:
     """Median of each column, interpolated between the two middle values.
 
-    A first scan only counts, which is enough for small columns. Each further round is one scan
-    that counts the values below and inside the band around every unfinished median and takes a
-    grid of approximate percentiles inside it; only these few numbers reach the driver. Two grid points, moved outward by more than the percentiles' error
-    bound, form the next band, so it shrinks by more than a hundred times per round and always
-    holds the middle. Where frequent values at both ends stop it from shrinking, the ends are
-    resolved by their counts and the band goes on without them. Once a band is small, its distinct
-    values are counted and ranked exactly.
+    A first scan takes count, minimum and maximum. Each further scan counts the values of every
+    unfinished column per bin of the band around its median; the bin with the middle becomes the
+    next band. Only these counts reach the driver, at most ``BINS`` per column. A column is finished
+    when the two middle values lie in different bins or the bin holds one value, however frequent;
+    a band with few rows left is ranked exactly.
     """
-    bands = {c: _Band() for c in columns}
+    bands: dict[str, _Band] = {}
     medians: dict[str, float | None] = {}
-    first = True
-    while pending := [c for c in columns if c not in medians]:
-        _measure(df, pending, bands, with_grid=not first)
-        settle = []
-        for c in pending:
-            band = bands[c]
-            if band.ranks is None:
-                band.ranks = ((band.inside - 1) // 2, band.inside // 2)
-            if band.inside == 0:
-                medians[c] = None
-            elif band.inside <= settle_rows:
-                settle.append(c)
-            elif not first and not _narrow(band):
-                resolved = _resolve_ends(band)
-                if resolved is None:
-                    band.open = True
-                else:
-                    medians[c] = resolved
-        first = False
-        if settle:
-            medians.update(_settle(df, settle, bands))
+    first = _extremes(df, columns)
+    for i, c in enumerate(columns):
+        count, low, high = first[f"n_{i}"], first[f"low_{i}"], first[f"high_{i}"]
+        if count == 0 or low == high:
+            medians[c] = low
+        else:
+            bands[c] = _Band(low, high, 0, count, ((count - 1) // 2, count // 2))
+    for _ in range(max_rounds):
+        wide = [c for c in bands if c not in medians and bands[c].inside > settle_rows]
+        if not wide:
+            break
+        counted = _count_bins(df, wide, bands)
+        for c in wide:
+            medians |= _narrow(c, bands[c], [r for r in counted if r["feature"] == c])
+    rest = [c for c in bands if c not in medians]
+    if rest:
+        medians |= _settle(df, rest, bands)
     return medians
 
 
-def _measure(df: DataFrame, columns: Sequence[str], bands: dict[str, _Band], with_grid: bool) -> None:
-    fractions = [i / GRID for i in range(GRID + 1)]
+def _extremes(df: DataFrame, columns: Sequence[str]) -> Row:
     wanted = []
     for i, c in enumerate(columns):
-        band, x = bands[c], F.col(c).cast("double")
-        inside = band.inside_condition(x)
-        low, high = F.lit(band.low).cast("double"), F.lit(band.high).cast("double")
-        wanted += [
-            F.count_if(band.below_condition(x)).alias(f"below_{i}"),
-            F.count_if(inside).alias(f"inside_{i}"),
-        ]
-        if not with_grid:
-            continue
-        wanted += [
-            F.count_if(inside & (x == low)).alias(f"at_low_{i}"),
-            F.count_if(inside & (x == high)).alias(f"at_high_{i}"),
-            F.min(F.when(inside & (x > low), x)).alias(f"next_up_{i}"),
-            F.max(F.when(inside & (x < high), x)).alias(f"next_down_{i}"),
-            F.percentile_approx(F.when(inside, x), fractions, ACCURACY).alias(f"grid_{i}"),
-        ]
-    row = df.agg(*wanted).first()
-    names = ["below", "inside"]
-    if with_grid:
-        names += ["at_low", "at_high", "next_up", "next_down", "grid"]
+        x = _number(c)
+        wanted += [F.count(x).alias(f"n_{i}"), F.min(x).alias(f"low_{i}"), F.max(x).alias(f"high_{i}")]
+    return df.agg(*wanted).first()
+
+
+def _in_bands(df: DataFrame, columns: Sequence[str], bands: dict[str, _Band], binned: bool) -> DataFrame:
+    """Rows (feature, x[, bin]) of the values inside their column's band.
+
+    The bands are tested after the expansion: as a filter on the table they would be pushed down
+    and repeat every column's expression for each comparison.
+    """
+    numbers = df.select(*[_number(c).alias(f"x_{i}") for i, c in enumerate(columns)])
+    entries = []
     for i, c in enumerate(columns):
-        for name in names:
-            setattr(bands[c], name, row[f"{name}_{i}"])
-
-
-def _narrow(band: _Band) -> bool:
-    """Move the band to the grid points around the wanted ranks; False if that gains nothing."""
-    lower, upper = ((r - band.below) / band.inside * GRID for r in band.ranks)
-    low = band.grid[max(0, int(lower) - 1)]
-    high = band.grid[min(GRID, int(upper) + 2)]
-    if (low, high) == (band.low, band.high):
-        return False
-    band.low, band.high, band.open = low, high, False
-    return True
-
-
-def _resolve_ends(band: _Band) -> float | None:
-    """Median if a wanted rank falls on an end of the band, None if both lie strictly inside."""
-    first_inner = band.below + band.at_low
-    first_high = band.below + band.inside - band.at_high
-    values = []
-    for r in band.ranks:
-        values.append(band.low if r < first_inner else band.high if r >= first_high else None)
-    lower, upper = values
-    if lower is None and upper is None:
-        return None
-    if upper is None:
-        upper = band.next_up
-    if lower is None:
-        lower = band.next_down
-    return (lower + upper) / 2.0
+        x = F.col(f"x_{i}")
+        inside = bands[c].contains(x)
+        fields = [F.lit(c).alias("feature"), F.when(inside, x).alias("x")]
+        if binned:
+            fields.append(F.when(inside, bands[c].bin_of(x)).alias("bin"))
+        entries.append(F.struct(*fields))
+    return numbers.select(F.inline(F.array(*entries))).where(F.col("x").isNotNull())
+
+
+def _count_bins(df: DataFrame, columns: Sequence[str], bands: dict[str, _Band]) -> list[Row]:
+    return (
+        _in_bands(df, columns, bands, binned=True)
+        .groupBy("feature", "bin")
+        .agg(F.count(F.lit(1)).alias("n"), F.min("x").alias("low"), F.max("x").alias("high"))
+        .collect()
+    )
+
+
+def _narrow(column: str, band: _Band, counted: list[Row]) -> dict[str, float]:
+    """Move the band to the bin of the middle; the median itself if that settles it."""
+    at = band.below
+    holding = {}
+    for r in sorted(counted, key=lambda r: r["bin"]):
+        for rank in band.ranks:
+            if at <= rank < at + r["n"]:
+                holding[rank] = (r, at)
+        at += r["n"]
+    (lower, below), (upper, _) = (holding[rank] for rank in band.ranks)
+    if lower["bin"] != upper["bin"]:
+        return {column: (lower["high"] + upper["low"]) / 2.0}
+    if lower["low"] == lower["high"]:
+        return {column: lower["low"]}
+    band.low, band.high, band.below, band.inside = lower["low"], lower["high"], below, lower["n"]
+    return {}
 
 
 def _settle(df: DataFrame, columns: Sequence[str], bands: dict[str, _Band]) -> dict[str, float]:
     """Rank the values left in small bands; equal values are counted together first."""
-    in_band = []
-    for c in columns:
-        x = F.col(c).cast("double")
-        in_band.append(
-            F.struct(F.lit(c).alias("feature"), F.when(bands[c].inside_condition(x), x).alias("x"))
-        )
-    counts = (
-        df.select(F.inline(F.array(*in_band)))
-        .where(F.col("x").isNotNull())
-        .groupBy("feature", "x")
-        .agg(F.count(F.lit(1)).alias("n"))
-    )
+    counts = _in_bands(df, columns, bands, binned=False).groupBy("feature", "x").agg(F.count(F.lit(1)).alias("n"))
     running = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, 0)
     hit = F.lit(False)
     for c in columns:

@@ -125,12 +125,6 @@ def _changes(df, key, features, before, after, minimum) -> DataFrame:
     pairs = []
     for f in features:
         x, y = before(f).cast("double"), after(f).cast("double")
-        pairs.append(
-            F.when(
-                F.abs(y - x) > minimum,
-                F.struct(
-                    F.lit(f).alias("feature"), x.alias("before"), y.alias("after"), (y - x).alias("delta")
-                ),
-            )
-        )
-    return df.select(key, F.inline(F.array_compact(F.array(*pairs))))
+        pairs.append(F.struct(F.lit(f).alias("feature"), x.alias("before"), y.alias("after")))
+    delta = F.col("after") - F.col("before")
+    return df.select(key, F.inline(F.array(*pairs))).withColumn("delta", delta).where(F.abs("delta") > minimum)
