@@ -5,8 +5,24 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import packing
-from evenhand.llm.common import documents, stored
+from evenhand.llm import mixing, packing, sharding
+from evenhand.llm.common import documents, stored, text_or_empty
+
+
+def op3_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(
+        "doc_id",
+        (F.octet_length(text_or_empty("text")) + 1).cast("long").alias("size"),
+        F.crc32(text_or_empty("text")).alias("text_crc32"),
+    )
+    return sharding.shard(stored(docs, "shard-keys"), shards=8, tie_cols=("text_crc32", "size")).select(
+        "*", F.lit("rows").alias("law"), F.lit(None).cast("int").alias("grown_shard")
+    )
+
+
+def op7_pareto_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sized = documents(spark, sf_dir).select("doc_id", "source", mixing.words().alias("size"))
+    return mixing.mix(stored(sized, "mix-sizes")).drop("source")
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -15,6 +31,8 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op3_bounded_ring": op3_bounded_ring,
+    "op7_pareto_mixture": op7_pareto_mixture,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
