@@ -5,10 +5,16 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import mixing, packing, sharding
+from evenhand.llm import mixing, packing, quality, sharding
 from evenhand.llm.common import documents, stored, text_or_empty
 
 
+def op1_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    trusted = quality.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return quality.assess(docs, quality.model(docs, trusted)).drop("text")
+
+
 def op3_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(
         "doc_id",
@@ -31,6 +37,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_llr_quality": op1_llr_quality,
     "op3_bounded_ring": op3_bounded_ring,
     "op7_pareto_mixture": op7_pareto_mixture,
     "op9_best_fit_packing": op9_best_fit_packing,
