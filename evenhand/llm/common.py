@@ -76,5 +76,6 @@ def window_hashes(hashes: np.ndarray, n: int) -> np.ndarray:
         return np.zeros(0, np.uint64)
     out = hashes[:count].copy()
     for i in range(1, n):
-        out = mix(out) + hashes[i : i + count]
+        out *= np.uint64(0x9E3779B97F4A7C15)
+        out += hashes[i : i + count]
     return mix(out)

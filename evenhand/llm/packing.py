@@ -21,7 +21,7 @@ from evenhand.llm.tokens import Encoder
 
 WINDOW = 4096
 END = 2
-SALTS = 256
+SALTS = 64
 
 
 def tokenise(
@@ -163,10 +163,9 @@ def place(pieces: DataFrame, id_col: str = "doc_id", window: int = WINDOW) -> Da
         [(length, json.dumps(runs)) for length, runs in by_length.items()], "length long, runs string"
     ).select("length", F.from_json("runs", "array<array<long>>").alias("_runs"))
     within = Window.partitionBy("length", "_salt").orderBy(F.col(id_col), "start", "doc_tokens")
-    # At most window x SALTS rows of bases and window rows of runs: both are bounded whatever the corpus.
-    ranked = salted.withColumn("_rank", F.row_number().over(within) - 1).join(
-        F.broadcast(base.drop("n")), ["length", "_salt"]
-    )
+    # Pieces are partitioned by (length, salt) already, so joining the bases does not move them again.
+    ranked = salted.withColumn("_rank", F.row_number().over(within) - 1).join(base.drop("n"), ["length", "_salt"])
+    # The plan has a row per length, whatever the corpus, and its runs follow from the lengths alone.
     ranked = ranked.withColumn("_rank", F.col("_rank") + F.col("_base")).join(F.broadcast(plan), "length")
     hit = F.filter("_runs", lambda r: (r[0] <= F.col("_rank")) & (F.col("_rank") < r[1]))[0]
     return (

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import mixing, packing, quality, sharding
+from evenhand.llm import jaccard, mixing, packing, quality, sharding
 from evenhand.llm.common import documents, stored, text_or_empty
 
 
@@ -26,6 +26,10 @@ def op3_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op6_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.similar(documents(spark, sf_dir), n=4, num=85, den=100)
+
+
 def op7_pareto_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = documents(spark, sf_dir).select("doc_id", "source", mixing.words().alias("size"))
     return mixing.mix(stored(sized, "mix-sizes")).drop("source")
@@ -39,6 +43,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_llr_quality": op1_llr_quality,
     "op3_bounded_ring": op3_bounded_ring,
+    "op6_trie_jaccard": op6_trie_jaccard,
     "op7_pareto_mixture": op7_pareto_mixture,
     "op9_best_fit_packing": op9_best_fit_packing,
 }

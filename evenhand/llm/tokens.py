@@ -31,7 +31,7 @@ def _byte_letters() -> dict[int, str]:
 class Encoder:
     """Ids of words, remembered: ``most`` words and ``most`` pre-tokens at any time."""
 
-    def __init__(self, path: str | None = None, most: int = 400_000):
+    def __init__(self, path: str | None = None, most: int = 300_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
