@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import jaccard, mixing, packing, quality, sharding
+from evenhand.llm import jaccard, mixing, packing, pii, quality, sharding
 from evenhand.llm.common import documents, stored, text_or_empty
 
 
@@ -26,6 +26,10 @@ def op3_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op4_mapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.find(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
+
+
 def op6_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(documents(spark, sf_dir), n=4, num=85, den=100)
 
@@ -43,6 +47,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_llr_quality": op1_llr_quality,
     "op3_bounded_ring": op3_bounded_ring,
+    "op4_mapped_pii": op4_mapped_pii,
     "op6_trie_jaccard": op6_trie_jaccard,
     "op7_pareto_mixture": op7_pareto_mixture,
     "op9_best_fit_packing": op9_best_fit_packing,
