@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import jaccard, mixing, packing, pii, quality, sharding
+from evenhand.llm import jaccard, lm, mixing, packing, pii, quality, sharding
 from evenhand.llm.common import documents, stored, text_or_empty
 
 
@@ -39,6 +39,12 @@ def op7_pareto_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(stored(sized, "mix-sizes")).drop("source")
 
 
+def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text").withColumn("held_out", lm.is_held_out())
+    model = lm.train(docs.filter(~F.col("held_out")))
+    return lm.score(docs, model)
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenise(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.place(stored(pieces, "pack-digests"))
@@ -50,6 +56,7 @@ QUERIES = {
     "op4_mapped_pii": op4_mapped_pii,
     "op6_trie_jaccard": op6_trie_jaccard,
     "op7_pareto_mixture": op7_pareto_mixture,
+    "op8_bloom_lm": op8_bloom_lm,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 
