@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import jaccard, lm, mixing, packing, pii, quality, sharding
+from evenhand.llm import fingerprints, jaccard, lm, mixing, packing, pii, quality, sharding
 from evenhand.llm.common import documents, stored, text_or_empty
 
 
@@ -30,6 +30,34 @@ def op4_mapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.find(documents(spark, sf_dir).select("doc_id", "text")).drop("text")
 
 
+def op5_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    text = text_or_empty("text")
+    docs = documents(spark, sf_dir).select("doc_id", text.alias("text"), F.xxhash64(text).alias("_hash"))
+    marked = fingerprints.with_anchors(docs, F.col("text"), "_positions", "_anchors").drop("_positions")
+    chained = fingerprints.with_next(marked, ["text", "_anchors"])
+    half = F.floor(F.length("text") / 2).cast("int")
+    edited = F.concat(
+        F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)
+    )
+    edits = chained.select(
+        "doc_id",
+        F.length("text").cast("long").alias("n_chars"),
+        edited.alias("_edited"),
+        "_anchors",
+        fingerprints.likeness(F.col("_anchors"), F.col("next__anchors")).alias("near_next"),
+    )
+    both = fingerprints.with_anchors(edits, F.col("_edited"), "_positions", "_edited_anchors")
+    return both.select(
+        "doc_id",
+        "n_chars",
+        F.sha2("_edited", 256).alias("edited_sha256"),
+        fingerprints.as_string(F.col("_anchors")).alias("fingerprint"),
+        fingerprints.as_string(F.col("_edited_anchors")).alias("edited_fingerprint"),
+        fingerprints.likeness(F.col("_anchors"), F.col("_edited_anchors")).alias("near_edited"),
+        "near_next",
+    )
+
+
 def op6_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar(documents(spark, sf_dir), n=4, num=85, den=100)
 
@@ -54,6 +82,7 @@ QUERIES = {
     "op1_llr_quality": op1_llr_quality,
     "op3_bounded_ring": op3_bounded_ring,
     "op4_mapped_pii": op4_mapped_pii,
+    "op5_closed_syncmers": op5_closed_syncmers,
     "op6_trie_jaccard": op6_trie_jaccard,
     "op7_pareto_mixture": op7_pareto_mixture,
     "op8_bloom_lm": op8_bloom_lm,
