@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pandas as pd
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +32,22 @@ def stored(df: DataFrame, purpose: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small_batches(spark: SparkSession, rows: int = 1000) -> None:
+    """Hands texts to Python workers in batches of at most ``rows``; Spark's own bound on bytes holds as well."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(name))
+    if now <= 0 or now > rows:
+        spark.conf.set(name, rows)
+
+
+def slices(batch: pd.DataFrame, column: str, most: int = 8_000_000) -> Iterator[pd.DataFrame]:
+    """Consecutive rows of a batch whose texts have at most ``most`` characters together, or a single longer one."""
+    group = (batch[column].str.len().cumsum() // most).to_numpy()
+    starts = np.flatnonzero(np.concatenate([[True], group[1:] != group[:-1]])) if len(group) else []
+    for start, stop in zip(starts, [*starts[1:], len(batch)], strict=True):
+        yield batch.iloc[start:stop]
+
+
 def text_or_empty(column: str) -> Column:
     return F.coalesce(F.col(column).cast("string"), F.lit(""))
 

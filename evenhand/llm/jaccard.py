@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.joins import join_small
-from evenhand.llm.common import WordHashes, lower_words_of, stored, text_or_empty, window_hashes
+from evenhand.llm.common import WordHashes, lower_words_of, small_batches, stored, text_or_empty, window_hashes
 from evenhand.llm.graph import components
 
 #: Share of all possible n-grams, by hash, that the first test looks at; sets up to SHORT are looked at whole.
@@ -221,6 +221,7 @@ def similar(
     An empty table gives no rows.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     base = docs.select(F.col(id_col).alias("_id"), _key(id_col, text_col).alias("_key"), text_or_empty(text_col).alias("_text"))
     limit = int(PART * 2**64 - 2**63)
 
