@@ -7,10 +7,35 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import packing
+from evenhand.llm import jaccard, mixing, packing, pii, quality
 from evenhand.llm.common import documents, stored
 
 
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass the base rules and look like the trusted ones (log-likelihood ratio)."""
+    trusted = quality.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    judged = quality.assess(docs, quality.model(docs.select("doc_id", "text"), trusted))
+    return judged.filter("kept").select(*docs.columns)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group linked by shingles of five words at a similarity of 0.8 or more."""
+    return jaccard.keep_one(docs, n=5, num=80, den=100)
+
+
+def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with identifiers, plain or disguised, replaced by their kind; n_chars follows the text."""
+    found = pii.find(docs, redact=True)
+    changed = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast(dict(docs.dtypes)["n_chars"])}
+    return found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mixture takes them (Pareto order sampling)."""
+    mixed = mixing.mix(docs).filter("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+
+
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as pieces of training sequences (best-fit decreasing)."""
     pieces = packing.tokenise(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
@@ -18,10 +43,14 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("quality rules", keep_good),
+    ("n-gram Jaccard join", keep_one_of_each),
+    ("PII", hide_personal_data),
+    ("mixing sources", mix_sources),
     ("packing", pack),
 ]
 
-#: Token ids come from a tokenizer's file, which SQL cannot express; tests compare with brute force.
+#: Shingle hashes and token ids cannot be had in SQL; tests compare each stage and the whole with brute force.
 ORACLE_SQL = None
 
 

@@ -210,6 +210,7 @@ def similar(
     id_col: str = "doc_id",
     text_col: str = "text",
     group: int = GROUP,
+    keys: bool = False,
 ) -> DataFrame:
     """One row per document: ``id_col``, n_shingles, class_id, n_links, component_id.
 
@@ -218,7 +219,8 @@ def similar(
     least id reachable by links. A null or empty text has an empty set, links with nothing and is its
     own class and component. Repeated rows share a class; a null id is never the least unless all are null.
     ``docs`` is read twice and must be a table or stored rows. Other columns are left out.
-    An empty table gives no rows.
+    An empty table gives no rows. With ``keys`` two columns follow: _key, equal for rows equal in id and text, and
+    _root, equal within a component and null for empty sets.
     """
     spark = docs.sparkSession
     small_batches(spark)
@@ -331,10 +333,31 @@ def similar(
     linked = classes.filter("n > 0").join(roots, "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     linked = stored(linked.select("n", "d1", "d2", "class_id", "root", F.coalesce("links", F.lit(0)).alias("n_links")), "jaccard-roots")
     least = linked.groupBy("root").agg(F.min("class_id").alias("component_id"))
-    by_class = linked.join(least, "root").drop("root")
-    narrow = signed.select("_id", "n", "d1", "d2")
+    by_class = linked.join(least, "root")
+    narrow = signed.select("_id", "_key", "n", "d1", "d2")
     with_text = narrow.filter("n > 0").join(by_class, ["n", "d1", "d2"])
-    without = narrow.filter("n = 0").select("*", F.col("_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"))
+    without = narrow.filter("n = 0").select("*", F.col("_id").alias("class_id"), F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"))
+    more = ["_key", F.col("root").alias("_root")] if keys else []
     return with_text.unionByName(without).select(
-        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "n_links", "component_id"
+        F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "n_links", "component_id", *more
     )
+
+
+def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with one row of each component of :func:`similar`: the least id, of equal ids one text, of equal rows one.
+
+    Rows with an empty set are all kept. All columns are kept. ``docs`` must be a table or stored rows. The keys of rows
+    that go are broadcast where they are few, else joined; texts move in the second case only.
+    """
+    marked = stored(similar(docs, n, num, den, id_col, text_col, keys=True).filter(F.col("_root").isNotNull()), "jaccard-marked")
+    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_key").alias("key"))
+    first = marked.groupBy("_root").agg(F.min(order).alias("_first"))
+    gone = marked.join(first, "_root").filter(F.col("_key") != F.col("_first.key")).select("_key").distinct()
+    gone = stored(gone, "jaccard-gone")
+    again = stored(marked.groupBy("_key").count().filter("count > 1").select("_key"), "jaccard-repeats")
+    left = join_small(docs.withColumn("_key", _key(id_col, text_col)), gone, ["_key"], "left_anti", SURVIVORS)
+    if not again.limit(1).count():
+        return left.drop("_key")
+    once = join_small(left, again, ["_key"], "left_anti", SURVIVORS)
+    many = join_small(left, again, ["_key"], "left_semi", SURVIVORS).dropDuplicates(["_key"])
+    return once.unionByName(many).drop("_key")

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import WordHashes, lower_words_of, mix, stored, text_or_empty
+from evenhand.llm.common import WordHashes, lower_words_of, mix, slices, small_batches, stored, text_or_empty
 
 BASE = 1.5
 BITS = 12
@@ -110,9 +110,7 @@ class Filter:
 def _count(buckets: int):
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()
-        for batch in batches:
-            if not len(batch):
-                continue
+        for batch in (part for whole in batches for part in slices(whole, "_text")):
             tokens, before, _ = tokens_of(batch["_text"], hashes)
             for kind, grams in ((WORDS, tokens), (PAIRS, pairs_of(tokens, before))):
                 keys, counts = np.unique(grams, return_counts=True)
@@ -148,6 +146,7 @@ def train(docs: DataFrame, text_col: str = "text", buckets: int | None = None) -
     Each task counts what it reads before anything moves, and the number of ranges follows the session's shuffle partitions.
     A null or empty text contributes the end token alone. An empty table gives an empty model.
     """
+    small_batches(docs.sparkSession, 3000)
     buckets = buckets or 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     parts = docs.select(text_or_empty(text_col).alias("_text")).mapInPandas(
         _count(buckets), "kind int, bucket int, keys binary, counts binary"
@@ -203,6 +202,7 @@ def score(
     rows are pre-summed per document. With an empty model every text has the same base score per token.
     """
     spark = docs.sparkSession
+    small_batches(spark, 3000)
     names = ["n_tokens", "n_known", "train_tokens", "base_score", "score"]
     kept = [c for c in docs.columns if c not in names and c != text_col]
     facts = model.groupBy("kind").agg(F.sum("grams").alias("grams"), F.sum("total").alias("total")).collect()
@@ -242,11 +242,10 @@ def score(
     def probe(bits):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hashes, filter_ = WordHashes(), bits.value
-            for batch in batches:
-                if not len(batch):
-                    continue
+            for batch in (part for whole in batches for part in slices(whole, "_text")):
                 _, _, many, _, _, word_levels, pair_levels = levels_of(batch["_text"], hashes, filter_)
                 stops = many.cumsum()
+                batch = batch.copy()
                 for column, levels in (("_words", word_levels), ("_pairs", pair_levels)):
                     new = np.maximum(levels, np.frombuffer(b"".join(batch[column]), np.uint8)) if batch[column].iloc[0] is not None else levels
                     batch[column] = [new[s - m : s].tobytes() for s, m in zip(stops, many, strict=True)]
@@ -258,9 +257,7 @@ def score(
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hashes, filter_ = WordHashes(), bits.value
             known_words, known_counts = exact.value
-            for batch in batches:
-                if not len(batch):
-                    continue
+            for batch in (part for whole in batches for part in slices(whole, "_text")):
                 tokens, before, many, words, at, word_levels, pair_levels = levels_of(batch["_text"], hashes, filter_)
                 if batch["_words"].iloc[0] is not None:
                     word_levels = np.maximum(word_levels, np.frombuffer(b"".join(batch["_words"]), np.uint8))

@@ -70,7 +70,7 @@ def mix(
 
     ``size`` defaults to the number of words. ``preference`` (positive, mean about 1; default 1 for all) scales a
     document's expected copies within its source, up to ``most``. Columns named like the results are replaced.
-    ``docs`` is read several times and must be a table or stored rows; draws hash the id, so reruns agree.
+    ``docs`` is read twice and must be a table or stored rows; draws hash the id, so reruns agree.
     Rows alike in id and size tie and are taken together at the boundary. Empty documents cost nothing and
     may get any number of copies. An empty table gives no rows.
 
@@ -82,7 +82,9 @@ def mix(
     sized = counted.drop(*names).withColumn("_source", _source_key(source_col))
     if preference is not None:
         sized = sized.withColumn("_preference", preference.cast("double"))
-    sizes = stored(sized.groupBy("_source").agg(F.sum("_size").alias("source_size")), "mix-sources")
+    own = ["_size", "_source", *(["_preference"] if preference is not None else [])]
+    lean = stored(sized.select(F.col(id_col), F.col(id_col).alias("_id"), *own), "mix-sizes")
+    sizes = stored(lean.groupBy("_source").agg(F.sum("_size").alias("source_size")), "mix-sources")
     planned = targets(sizes, weights, most)
 
     draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(id_col)), 11).cast("double") * F.lit(2.0**-53) + F.lit(2.0**-54)
@@ -101,8 +103,7 @@ def mix(
         df = df.withColumn("_rank", F.when(F.col("_p") > 0, q / (F.lit(1.0) + q)))
         return df.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(F.col("_rank") * BINS)))
 
-    own = ["_size", "_source", *(["_preference"] if preference is not None else [])]
-    narrow = ranked(join_small(sized.select(F.col(id_col), F.col(id_col).alias("_id"), *own), planned, ["_source"]))
+    narrow = ranked(join_small(lean, planned, ["_source"]))
     bins = narrow.groupBy("_source", "_bin").agg(
         F.sum(F.when(F.col("_bin").isNotNull(), F.col("_size"))).alias("_in_bin"),
         F.sum(F.col("_certain") * F.col("_size")).alias("_sure"),

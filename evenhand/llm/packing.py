@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import stored, text_or_empty
+from evenhand.llm.common import small_batches, stored, text_or_empty
 from evenhand.llm.tokens import Encoder
 
 WINDOW = 4096
@@ -37,6 +37,7 @@ def tokenise(
     Every row of ``docs`` is a document of its own, also when ids repeat or are null. A null or empty
     text has the end id alone. Cuts fall after each full window. Other columns are left out.
     """
+    small_batches(docs.sparkSession)
     piece = "array<struct<start:long,length:long,doc_tokens:long,ids:binary>>"
 
     @F.pandas_udf(piece)

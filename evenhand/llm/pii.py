@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import text_or_empty
+from evenhand.llm.common import small_batches, text_or_empty
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -237,6 +237,7 @@ def find(docs: DataFrame, text_col: str = "text", redact: bool = False) -> DataF
     plain ones alone. With ``redact`` a column named redacted holds the text without them. A null or empty text
     has no spans (and stays null or empty). Every row is searched on its own, so repeats get equal results.
     """
+    small_batches(docs.sparkSession)
     result = RESULT + (", redacted string" if redact else "")
     names = [f.split()[0] for f in result.split(", ")]
 

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from evenhand.llm.common import WordHashes, text_or_empty, window_hashes, words_of
+from evenhand.llm.common import WordHashes, small_batches, text_or_empty, window_hashes, words_of
 
 BUCKETS = 1 << 16
 N = 3
@@ -56,6 +56,7 @@ def model(
     Every document counts towards the corpus, each task sending a row per bucket at most; ``buckets``
     sums reach the driver. Without trusted documents all ratios are 0 and no document is below a threshold.
     """
+    small_batches(docs.sparkSession)
     good = trusted.select(F.col(id_col).alias("_good")).distinct()
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -132,6 +133,8 @@ def assess(
     words and fails the base rules; its score is 0. ``ratios`` has a fixed size and goes to the workers with the code.
     """
 
+    small_batches(docs.sparkSession)
+
     @F.pandas_udf(RESULT)
     def judge(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hashes = WordHashes()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import fingerprints, jaccard, lm, mixing, packing, pii, quality, sharding
+from evenhand.llm import edits, fingerprints, jaccard, lm, mixing, packing, pii, quality, revisits, sharding
 from evenhand.llm.common import documents, stored, text_or_empty
 
 
@@ -15,6 +15,21 @@ def op1_llr_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.assess(docs, quality.model(docs, trusted)).drop("text")
 
 
+def op2_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    found = revisits.resolve(revisits.captures(pages))
+    lines = F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"]))
+    return found.select(
+        F.floor(F.col("record_id") / 2).cast("long").alias("page_id"),
+        "url_key",
+        F.unix_timestamp("at").alias("at_s"),
+        F.floor(F.col("refers_to") / 2).cast("long").alias("refers_to_page"),
+        "verdict",
+        F.array_join(lines, "\n").alias("headers"),
+        "payload_digest",
+    )
+
+
 def op3_bounded_ring(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).select(
         "doc_id",
@@ -64,7 +79,7 @@ def op6_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pareto_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = documents(spark, sf_dir).select("doc_id", "source", mixing.words().alias("size"))
-    return mixing.mix(stored(sized, "mix-sizes")).drop("source")
+    return mixing.mix(sized).drop("source")
 
 
 def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +88,11 @@ def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(docs, model)
 
 
+def op10_edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    return edits.count(docs, edits.sample_edits()).drop("text")
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     pieces = packing.tokenise(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
     return packing.place(stored(pieces, "pack-digests"))
@@ -80,6 +100,7 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_llr_quality": op1_llr_quality,
+    "op2_revisit_resolution": op2_revisit_resolution,
     "op3_bounded_ring": op3_bounded_ring,
     "op4_mapped_pii": op4_mapped_pii,
     "op5_closed_syncmers": op5_closed_syncmers,
@@ -87,6 +108,7 @@ QUERIES = {
     "op7_pareto_mixture": op7_pareto_mixture,
     "op8_bloom_lm": op8_bloom_lm,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_edited_counts": op10_edited_counts,
 }
 
 ORACLE: dict[str, str] = {}
