@@ -29,7 +29,7 @@ from evenhand.llm.graph import components
 PART = 0.2
 SHORT = 128
 #: A group of more classes is cut by size and then into blocks that meet pairwise.
-GROUP = 4096
+GROUP = 1024
 LEVELS = 8
 SURVIVORS = 1_000_000
 
