@@ -111,4 +111,4 @@ QUERIES = {
     "op10_edited_counts": op10_edited_counts,
 }
 
-ORACLE: dict[str, str] = {}
+
