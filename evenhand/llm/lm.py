@@ -25,7 +25,7 @@ PROBES = 4
 #: Share of a token's probability that comes from bigrams where the history has been seen; the rest is the word model's.
 SHARE = 0.3
 #: Largest filter broadcast at once; and words whose exact counts are broadcast, the most frequent ones.
-MOST_MB = 512
+MOST_MB = 128
 HEAD = 1 << 20
 
 END = np.uint64(xxhash.xxh64_intdigest(b""))
@@ -84,12 +84,17 @@ def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
 class Filter:
     """Segments of one pass; n-grams of other segments read as level 0."""
 
-    def __init__(self, buckets: int, segments: dict[tuple[int, int], bytes]):
+    def __init__(self, buckets: int, lengths: dict[tuple[int, int], int]):
+        """Room for segments of ``lengths`` bytes by (kind, bucket); :meth:`put` fills it, one at a time."""
         self.buckets, self.kinds = buckets, {}
         for kind in (WORDS, PAIRS):
-            sizes = np.array([8 * len(segments.get((kind, b), b"")) for b in range(buckets)], np.int64)
-            data = b"".join(segments.get((kind, b), b"") for b in range(buckets))
-            self.kinds[kind] = sizes, sizes.cumsum() - sizes, np.frombuffer(data, np.uint8)
+            sizes = np.array([8 * lengths.get((kind, b), 0) for b in range(buckets)], np.int64)
+            self.kinds[kind] = sizes, sizes.cumsum() - sizes, np.zeros(sizes.sum() // 8, np.uint8)
+
+    def put(self, kind: int, bucket: int, bits: bytes) -> None:
+        _, starts, data = self.kinds[kind]
+        at = starts[bucket] // 8
+        data[at : at + len(bits)] = np.frombuffer(bits, np.uint8)
 
     def levels(self, kind: int, keys: np.ndarray) -> np.ndarray:
         sizes, starts, data = self.kinds[kind]
@@ -177,8 +182,10 @@ def _head(counts: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray, int]:
         if total > most:
             break
         least = bins[b][1]
-    head = counts.filter(F.col("n") >= least).toPandas().sort_values("word")
-    return head["word"].to_numpy(np.int64), head["n"].to_numpy(np.int64), least
+    head = counts.filter(F.col("n") >= least).toArrow()  # two flat columns; rows as objects would take far more
+    words, many = (head.column(c).to_numpy() for c in ("word", "n"))
+    order = np.argsort(words)
+    return words[order], many[order], least
 
 
 def is_held_out(id_col: str = "doc_id", folds: int = 5, fold: int = 1) -> Column:
@@ -227,7 +234,10 @@ def score(
 
     def broadcast(low: int, high: int):
         part = model.filter((F.col("bucket") >= low) & (F.col("bucket") < high)).select("kind", "bucket", "bits")
-        return spark.sparkContext.broadcast(Filter(buckets, {(r[0], r[1]): bytes(r[2]) for r in part.toLocalIterator()}))
+        filter_ = Filter(buckets, {k: v for k, v in lengths.items() if low <= k[1] < high})
+        for row in part.toLocalIterator():
+            filter_.put(*row)
+        return spark.sparkContext.broadcast(filter_)
 
     exact = spark.sparkContext.broadcast((head_words, head_counts))
     typical = typical_counts()

@@ -53,7 +53,9 @@ def test_the_filter_never_forgets_and_seldom_invents():
     rng = np.random.default_rng(1)
     keys = np.unique(rng.integers(0, 2**63, 20_000).astype(np.uint64) * np.uint64(2))
     counts = rng.geometric(0.4, len(keys))
-    filter_ = lm.Filter(1, {(lm.PAIRS, 0): lm.segment(keys, counts)})
+    bits = lm.segment(keys, counts)
+    filter_ = lm.Filter(1, {(lm.PAIRS, 0): len(bits)})
+    filter_.put(lm.PAIRS, 0, bits)
     levels = filter_.levels(lm.PAIRS, keys)
     assert (levels >= lm.level_of(counts)).all() and (levels > lm.level_of(counts)).mean() < 0.02
     assert (filter_.levels(lm.PAIRS, keys + np.uint64(1)) > 0).mean() < 0.02
