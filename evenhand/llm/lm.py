@@ -84,9 +84,11 @@ def segment(keys: np.ndarray, counts: np.ndarray) -> bytes:
 class Filter:
     """Segments of one pass; n-grams of other segments read as level 0."""
 
-    def __init__(self, buckets: int, lengths: dict[tuple[int, int], int]):
+    def __init__(self, buckets: int, lengths: dict[tuple[int, int], int], kinds: dict | None = None):
         """Room for segments of ``lengths`` bytes by (kind, bucket); :meth:`put` fills it, one at a time."""
-        self.buckets, self.kinds = buckets, {}
+        self.buckets, self.kinds = buckets, kinds or {}
+        if kinds:
+            return
         for kind in (WORDS, PAIRS):
             sizes = np.array([8 * lengths.get((kind, b), 0) for b in range(buckets)], np.int64)
             self.kinds[kind] = sizes, sizes.cumsum() - sizes, np.zeros(sizes.sum() // 8, np.uint8)
@@ -237,7 +239,7 @@ def score(
         filter_ = Filter(buckets, {k: v for k, v in lengths.items() if low <= k[1] < high})
         for row in part.toLocalIterator():
             filter_.put(*row)
-        return spark.sparkContext.broadcast(filter_)
+        return spark.sparkContext.broadcast((buckets, {}, filter_.kinds))
 
     exact = spark.sparkContext.broadcast((head_words, head_counts))
     typical = typical_counts()
@@ -251,7 +253,7 @@ def score(
 
     def probe(bits):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            hashes, filter_ = WordHashes(), bits.value
+            hashes, filter_ = WordHashes(), Filter(*bits.value)
             for batch in (part for whole in batches for part in slices(whole, "_text")):
                 _, _, many, _, _, word_levels, pair_levels = levels_of(batch["_text"], hashes, filter_)
                 stops = many.cumsum()
@@ -265,7 +267,7 @@ def score(
 
     def finish(bits):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            hashes, filter_ = WordHashes(), bits.value
+            hashes, filter_ = WordHashes(), Filter(*bits.value)
             known_words, known_counts = exact.value
             for batch in (part for whole in batches for part in slices(whole, "_text")):
                 tokens, before, many, words, at, word_levels, pair_levels = levels_of(batch["_text"], hashes, filter_)
