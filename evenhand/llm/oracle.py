@@ -45,4 +45,38 @@ SELECT page_id, url_key, again_s AS at_s, refers_to_page, verdict,
 FROM judged
 """
 
-ORACLE = {"op2_revisit_resolution": REVISITS}
+SIMILAR = r"""
+WITH RECURSIVE worded AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x20\x09-\x0D]+') AS w
+    FROM documents
+), shingled AS (
+    SELECT doc_id, list_sort(list_distinct(CASE WHEN len(w) = 0 THEN []
+        ELSE list_transform(range(1, greatest(len(w) - 3, 1) + 1), lambda i: array_to_string(w[i:i + 3], ' ')) END)) AS s
+    FROM worded
+), named AS (
+    SELECT doc_id, s, len(s) AS n, CASE WHEN len(s) = 0 THEN doc_id ELSE min(doc_id) OVER (PARTITION BY s) END AS class_id
+    FROM shingled
+), classes AS (
+    SELECT class_id, n, s FROM named WHERE doc_id = class_id AND n > 0
+), grams AS (
+    SELECT class_id, n, unnest(s) AS g FROM classes
+), links AS (
+    SELECT a.class_id AS a, b.class_id AS b
+    FROM grams a JOIN grams b ON a.g = b.g AND a.class_id <> b.class_id
+    GROUP BY a.class_id, b.class_id, a.n, b.n
+    HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))
+), reached(a, b) AS (
+    SELECT class_id, class_id FROM classes
+    UNION
+    SELECT r.a, l.b FROM reached r JOIN links l ON r.b = l.a
+), rooted AS (
+    SELECT a AS class_id, min(b) AS component_id FROM reached GROUP BY a
+)
+SELECT doc_id, n AS n_shingles, named.class_id,
+    (SELECT count(*) FROM links WHERE links.a = named.class_id) AS n_links,
+    coalesce(component_id, doc_id) AS component_id
+FROM named LEFT JOIN rooted ON named.class_id = rooted.class_id
+"""
+
+ORACLE = {"op2_revisit_resolution": REVISITS, "op6_trie_jaccard": SIMILAR}
