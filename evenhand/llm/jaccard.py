@@ -25,8 +25,9 @@ from evenhand.functions.joins import join_small
 from evenhand.llm.common import WordHashes, lower_words_of, small_batches, stored, text_or_empty, window_hashes
 from evenhand.llm.graph import components
 
-#: Share of all possible n-grams, by hash, that the first test looks at; sets up to SHORT are looked at whole.
-PART = 0.2
+#: The first test looks at so many times the share of n-grams that a partner may lack, so that a set passes only if others
+#: have over a quarter of what is looked at. Sets up to SHORT are looked at whole.
+LOOK = 4 / 3
 SHORT = 128
 #: A group of more classes is cut by size and then into blocks that meet pairwise.
 GROUP = 1024
@@ -225,7 +226,7 @@ def similar(
     spark = docs.sparkSession
     small_batches(spark)
     base = docs.select(F.col(id_col).alias("_id"), _key(id_col, text_col).alias("_key"), text_or_empty(text_col).alias("_text"))
-    limit = int(PART * 2**64 - 2**63)
+    limit = min(int(LOOK * (1 - num / den) * 2**64 - 2**63), 2**63 - 1)
 
     @F.pandas_udf("n long, d1 long, d2 long, part array<long>")
     def sign(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
@@ -275,7 +276,8 @@ def similar(
 
     picked = join_small(base, able.withColumnRenamed("cid", "_key"), ["_key"], max_rows=SURVIVORS)
     sets = picked.select(F.col("_key").alias("cid"), "n", whole("_text").alias("grams"))
-    sets = stored(sets.filter(F.size("grams") == F.col("n")), "jaccard-sets")
+    # Filtered only when stored: a filter beside the function would have it run twice.
+    sets = stored(sets, "jaccard-sets").filter(F.size("grams") == F.col("n"))
 
     # Prefixes in the order of (number of classes, hash); the same test again, now on whole sets.
     rows = sets.select("cid", "n", F.explode("grams").alias("gram"))
