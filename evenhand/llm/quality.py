@@ -150,4 +150,5 @@ def assess(
 
     names = [f.split()[0] for f in RESULT.split(", ")]
     kept: list[Column] = [F.col(c) for c in docs.columns if c not in names]
+    judge = judge.asNondeterministic()  # it is not, but a filter on the verdict would have it run twice
     return docs.select(*kept, judge(text_or_empty(text_col)).alias("_q")).select(*kept, "_q.*")
