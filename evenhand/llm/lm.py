@@ -27,6 +27,8 @@ SHARE = 0.3
 #: Largest filter broadcast at once; and words whose exact counts are broadcast, the most frequent ones.
 MOST_MB = 128
 HEAD = 1 << 20
+#: Characters scored at a time, beside which a worker holds the filter.
+SCORED = 3_000_000
 
 END = np.uint64(xxhash.xxh64_intdigest(b""))
 START = np.uint64(xxhash.xxh64_intdigest(b"", seed=1))
@@ -254,7 +256,7 @@ def score(
     def probe(bits):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hashes, filter_ = WordHashes(), Filter(*bits.value)
-            for batch in (part for whole in batches for part in slices(whole, "_text")):
+            for batch in (part for whole in batches for part in slices(whole, "_text", SCORED)):
                 _, _, many, _, _, word_levels, pair_levels = levels_of(batch["_text"], hashes, filter_)
                 stops = many.cumsum()
                 batch = batch.copy()
@@ -269,7 +271,7 @@ def score(
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             hashes, filter_ = WordHashes(), Filter(*bits.value)
             known_words, known_counts = exact.value
-            for batch in (part for whole in batches for part in slices(whole, "_text")):
+            for batch in (part for whole in batches for part in slices(whole, "_text", SCORED)):
                 tokens, before, many, words, at, word_levels, pair_levels = levels_of(batch["_text"], hashes, filter_)
                 if batch["_words"].iloc[0] is not None:
                     word_levels = np.maximum(word_levels, np.frombuffer(b"".join(batch["_words"]), np.uint8))
