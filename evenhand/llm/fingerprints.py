@@ -16,6 +16,8 @@ K = 8
 S = 2
 #: A unit is a word or a stretch of a long one, so that texts without white space have units as well.
 UNIT = r"[^\x20\x09-\x0D]{1,16}"
+#: Ranges of ids per shuffle partition; several even out what hashing ranges to partitions leaves uneven.
+RANGES = 4
 
 
 def with_anchors(df: DataFrame, text: Column, positions: str, hashes: str, k: int = K, s: int = S) -> DataFrame:
@@ -72,7 +74,7 @@ def _chunks(docs: DataFrame, id_col: str, parts: int) -> Column:
     cuts = []
     if parts > 1:
         shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-        cuts = docs.agg(F.percentile_approx(id_col, shares, F.lit(max(10_000, 20 * parts)))).first()[0] or []
+        cuts = docs.agg(F.percentile_approx(id_col, shares, F.lit(max(10_000, 5 * parts)))).first()[0] or []
     cuts = sorted(set(cuts))
     low = F.lit(-parts) + F.floor((F.col("_hash") / 2.0**64 + 0.5) * parts).cast("int")
     if not cuts:
@@ -97,7 +99,7 @@ def with_next(docs: DataFrame, carried: list[str], id_col: str = "doc_id", hash_
     Ranges follow the session's shuffle partitions; a single id should not hold a large share of rows. ``docs`` is
     read twice and must be a table or stored rows.
     """
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = docs.withColumn("_chunk", _chunks(docs, id_col, parts))
     tops = placed.groupBy("_chunk").agg(F.max(F.struct(F.col(id_col).alias("id"), F.col(hash_col).alias("hash"))).alias("_top"))
     order = Window.orderBy("_chunk")  # one row per range

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.llm.common import stored
-from evenhand.llm.fingerprints import _chunks
+from evenhand.llm.fingerprints import RANGES, _chunks
 
 # Headers of a 304 that never replace stored ones (they describe the message or the connection).
 KEPT_HEADERS = [
@@ -76,7 +76,7 @@ def resolve(records: DataFrame) -> DataFrame:
     base = stored(base.filter((F.col("kind") == "revisit") | F.col("_full")), "revisit-records")
     lost = base.filter((F.col("kind") == "revisit") & (F.col("url_key").isNull() | F.col("_at").isNull()))
     known = base.filter(F.col("url_key").isNotNull() & F.col("_at").isNotNull())
-    parts = int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = RANGES * int(records.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     known = known.withColumn("_hash", F.lit(0).cast("long")).withColumn("_stretch", _chunks(known, "_at", parts)).drop("_hash")
     full = F.when(F.col("_full"), F.struct("_at", "record_id", "_own", "_digest"))
     each = Window.partitionBy("url_key", "_stretch")
