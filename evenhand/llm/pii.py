@@ -44,23 +44,37 @@ _IP = re.compile(r"(?<![0-9])[0-9]+(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"(?<![0-9])[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
-_ODD = re.compile(
-    "[­​-‏⁠-⁤﻿Ͱ-ϿЀ-ԯ٠-٩۰-۹०-९！-～]"
-)
+DIGIT_WORDS |= {unicodedata.normalize("NFD", w): d for w, d in DIGIT_WORDS.items()}
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
 _SPELLED = re.compile(rf"(?<!\w)(?:(plus)[\s-]{{0,3}})?((?:{_WORD}|[0-9])(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9])){{6,}})(?!\w)", re.IGNORECASE)
-_SPELLED_ONE = re.compile(rf"{_WORD}|[0-9]", re.IGNORECASE)
+_ITEM = rf"(?:{_WORD}|[0-9]{{1,15}})"
+_RUN = re.compile(rf"(?<![\w+])(?:(plus|\+)[\s-]{{0,3}})?(\(?{_ITEM}(?:[\s,.()-]{{1,3}}{_ITEM})+)(?!\w)", re.IGNORECASE)
+_ITEMS = re.compile(_ITEM, re.IGNORECASE)
+_YEAR = re.compile("(?:19|20)[0-9]{2}")
+_ANY_ITEM = re.compile(rf"{_WORD}|[0-9]", re.IGNORECASE)
 _DIGIT_WORDS = frozenset(DIGIT_WORDS)
-_SEPARATORS = str.maketrans("-,.", "   ")
+_SEPARATORS = str.maketrans("-,.()", "     ")
+# Octets of digits or digit words; a dot followed but not preceded by space ends a sentence.
+_OCTET = rf"(?:{_WORD}|[0-9]{{1,3}})(?:[\s-]{{1,3}}(?:{_WORD}|[0-9]{{1,3}})){{0,2}}"
+_IP_DOT = r"(?:\.|\s{1,3}\.\s{1,3}|\s{1,3}dot\s{1,3})"
+_SPELLED_IP = re.compile(rf"(?<![\w.])({_OCTET}){_IP_DOT}({_OCTET}){_IP_DOT}({_OCTET}){_IP_DOT}({_OCTET})(?!\w)", re.IGNORECASE)
 _OPEN, _CLOSE = r"[(\[{<]", r"[)\]}>]"
-_AT = re.compile(rf"\s{{0,3}}{_OPEN}\s?(?:at|@|ät)\s?{_CLOSE}\s{{0,3}}", re.IGNORECASE)
-_DOT = re.compile(rf"\s{{0,3}}{_OPEN}\s?(?:dot|punkt|punto|point|\.)\s?{_CLOSE}\s{{0,3}}", re.IGNORECASE)
-# Without brackets both words must be there, and what stands between them must look like names.
-_BARE = re.compile(
-    r"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:(?:\.|\sdot\s)[A-Za-z0-9_%+-]+){0,3}(\sat\s)(?!(?:the|an?|this|that|my|your|our|its)\s)[A-Za-z0-9-]+(?:\sdot\s[A-Za-z0-9-]+)*\sdot\s[A-Za-z]{2,10}(?!\w)",
+_AT_IN = rf"\s{{0,3}}{_OPEN}\s?(?:at|@|ät|ät)\s?{_CLOSE}\s{{0,3}}"
+_DOT_IN = rf"\s{{0,3}}{_OPEN}\s?(?:dot|punkt|punto|point|\.)\s?{_CLOSE}\s{{0,3}}"
+_AT = re.compile(_AT_IN, re.IGNORECASE)
+_DOT = re.compile(_DOT_IN, re.IGNORECASE)
+_NO_NAME = r"(?!(?:the|an?|this|that|my|your|our|its)\s)"
+_DOT_WORD = rf"(?:{_DOT_IN}|\s{{1,3}}dot\s{{1,3}}{_NO_NAME})"
+_ANY_DOT = rf"(?:\.|{_DOT_WORD})"
+# One address, each of its dots plain, bare or in brackets. After a bare at, one of the domain's dots must be a disguised one.
+_ADDRESS = re.compile(
+    rf"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:{_ANY_DOT}[A-Za-z0-9_%+-]+){{0,8}}"
+    rf"(?:(\s{{1,3}}at\s{{1,3}}){_NO_NAME}(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT_WORD})[A-Za-z0-9-]+(?:{_ANY_DOT}[A-Za-z0-9-]+)*{_ANY_DOT}[A-Za-z]{{2,10}}(?!\w)"
+    rf"|({_AT_IN}|@|\s{{1,3}}@\s{{1,3}})[A-Za-z0-9-]+(?:{_ANY_DOT}[A-Za-z0-9-]+)+)",
     re.IGNORECASE,
 )
-_BARE_DOT = re.compile(r"\sdot\s", re.IGNORECASE)
+_DOTS = re.compile(rf"\.|{_DOT_WORD}", re.IGNORECASE)
+_DISGUISED_DOT = re.compile(_DOT_WORD, re.IGNORECASE)
 
 Span = tuple[str, int, int]
 
@@ -140,68 +154,127 @@ class Mapped:
         return self.starts[start], self.ends[end - 1]
 
 
-def _plain_char(m: re.Match) -> list[tuple[str, int, int]]:
-    char = m[0]
+def _plain_form(char: str) -> str:
+    """What a character beyond ASCII is read as; itself where that is not ASCII."""
     if unicodedata.category(char) == "Cf":
-        return []
-    if unicodedata.category(char) == "Nd":
-        char = str(unicodedata.decimal(char))
-    elif char in LOOKALIKES:
-        char = LOOKALIKES[char]
-    elif "！" <= char <= "～":  # full-width forms stand in ASCII order
-        char = chr(ord(char) - 0xFEE0)
-    return [(char, m.start(), m.end())]
+        return ""
+    form = unicodedata.normalize("NFKC", char)
+    form = "".join(str(unicodedata.decimal(c)) if unicodedata.category(c) == "Nd" else LOOKALIKES.get(c, c) for c in form)
+    return form if form.isascii() else char
+
+
+# Decimal digits, invisible characters and forms with an ASCII equivalent lie below these bounds.
+_ODD = {c: form for c in map(chr, [*range(0x80, 0xD800), *range(0xE000, 0x20000), *range(0xE0000, 0xE0080)]) if (form := _plain_form(c)) != c}
+
+
+def _plain_char(m: re.Match) -> list[tuple[str, int, int]]:
+    return [(c, m.start(), m.end()) for c in _ODD[m[0]]]
+
+
+def _same(m: re.Match) -> list[tuple[str, int, int]]:
+    return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m[0])]
 
 
 def _digits(m: re.Match) -> list[tuple[str, int, int]]:
     out = [("+", m.start(1), m.end(1))] if m[1] else []
-    for d in _SPELLED_ONE.finditer(m[2]):
-        out.append((DIGIT_WORDS.get(d[0].lower(), d[0]), m.start(2) + d.start(), m.start(2) + d.end()))
+    return out + _digits_between(m, m.start(2), m.end(2))
+
+
+def _digits_between(m: re.Match, start: int, end: int) -> list[tuple[str, int, int]]:
+    return [(DIGIT_WORDS.get(d[0].lower(), d[0]), d.start(), d.end()) for d in _ANY_ITEM.finditer(m.string, start, end)]
+
+
+def _octets(m: re.Match) -> list[tuple[str, int, int]]:
+    """An address of four numbers up to 255, where words are among its digits or dots."""
+    octets = [_digits_between(m, *m.span(i)) for i in range(1, 5)]
+    values = ["".join(d[0] for d in octet) for octet in octets]
+    if not re.search("[^0-9. ]", m[0]) or _IP.search(m[0]) or any(len(v) > 3 or int(v) > 255 for v in values):
+        return _same(m)
+    out = octets[0]
+    for i in range(1, 4):
+        out = [*out, (".", m.end(i), m.start(i + 1)), *octets[i]]
     return out
 
 
+def _phone_in(m: re.Match, known: list[Span], mapped: Mapped) -> int | None:
+    """Where in a run of digit words and groups a number of 10 to 15 digits, or a card, begins; groups before it, and years that it can do without, are left out.
+
+    One digit word is enough after a plus; without, or beside a number written plainly, two are needed.
+    """
+    items = list(_ITEMS.finditer(m.string, m.start(2), m.end(2)))
+    if all(d[0].isdigit() for d in items) or _IP.search(m[0]):
+        return None
+    s, e = mapped.source(m.start(), m.end())
+    least = 1 if m[1] and not any(k in ("card", "phone") and a < e and s < b for k, a, b in known) else 2
+    values = [DIGIT_WORDS.get(d[0].lower(), d[0]) for d in items]
+    left = sum(map(len, values))
+    for i, item in enumerate(items):
+        left -= len(values[i - 1]) if i else 0
+        if left > 19:
+            if not item[0].isdigit():
+                return None
+            continue
+        digits = "".join(values[i:])
+        is_card = 14 <= len(digits) <= 19 and _luhn(digits)
+        if (10 <= len(digits) <= 15 or is_card) and sum(not d[0].isdigit() for d in items[i:]) >= (1 if is_card else least):
+            if m[1] or not _YEAR.fullmatch(item[0]) or len(digits) < 14:
+                return item.start() if i or not m[1] else m.start()
+        if not item[0].isdigit() or len(digits) < 10:
+            return None
+    return None
+
+
 def _as(char: str) -> Callable[[re.Match], list[tuple[str, int, int]]]:
     return lambda m: [(char, m.start(), m.end())]
 
 
-def _bare(m: re.Match) -> list[tuple[str, int, int]]:
+def _address(m: re.Match) -> list[tuple[str, int, int]]:
+    mark = 1 if m[1] else 2
+    if m[mark].strip() == "@" and not _DISGUISED_DOT.search(m[0]):
+        return _same(m)
     out, at = [], m.start()
-    for w in re.finditer(r"\s(at|dot)\s", m[0], re.IGNORECASE):
-        s, e = m.start() + w.start(), m.start() + w.end()
+    dots = [(d.start(), d.end(), ".") for a, b in ((m.start(), m.start(mark)), (m.end(mark), m.end())) for d in _DOTS.finditer(m.string, a, b)]
+    for s, e, char in sorted([*dots, (*m.span(mark), "@")]):
         out += [(m.string[i], i, i + 1) for i in range(at, s)]
-        out.append(("@" if s == m.start(1) else ".", s, e))
+        out.append((char, s, e))
         at = e
     return out + [(m.string[i], i, i + 1) for i in range(at, m.end())]
 
 
-def _dot_after_at(m: re.Match) -> list[tuple[str, int, int]]:
-    if "@" in m.string[max(0, m.start() - 64) : m.start()]:
-        return [(".", m.start(), m.end())]
-    return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m[0])]
-
-
 def disguised(text: str, known: list[Span]) -> list[Span]:
     """Further identifiers, visible only in the rewritten text.
 
     One that overlaps known ones of its kind is added only if it holds all of each and more.
     """
     mapped, spelled = Mapped(text), []
-    if not text.isascii() and _ODD.search(text):
-        mapped.rewrite(_ODD, _plain_char)
+    if not text.isascii() and (odd := _ODD.keys() & set(text)):
+        mapped.rewrite(re.compile(f"[{''.join(sorted(odd))}]"), _plain_char)
+    if _DISGUISED_DOT.search(mapped.text):
+        mapped.rewrite(_ADDRESS, _address)
+    if any(map(mapped.text.__contains__, "([{<")):
+        mapped.rewrite(_DOT, _as("."))
+        mapped.rewrite(_AT, _as("@"))
     words = mapped.text.lower().translate(_SEPARATORS).split()
-    if sum(map(_DIGIT_WORDS.__contains__, words)) >= 7:
+    if not _DIGIT_WORDS.isdisjoint(words) or "dot" in words:
+        mapped.rewrite(_SPELLED_IP, _octets)
+    if not _DIGIT_WORDS.isdisjoint(words):
+
+        def number(m: re.Match) -> list[tuple[str, int, int]]:
+            start = _phone_in(m, known, mapped)
+            if start is None:
+                return _same(m)
+            digits = _digits_between(m, start, m.end())
+            if 10 <= sum(len(d[0]) for d in digits) <= 15:
+                spelled.append(("phone", *mapped.source(start if start == m.start() else digits[0][1], digits[-1][2])))
+            plus = [("+", m.start(1), m.end(1))] if m[1] and start == m.start() else []
+            return [(c, i, i + 1) for i, c in enumerate(m.string[m.start() : start], m.start())] + plus + digits
+
+        mapped.rewrite(_RUN, number)
         for m in _SPELLED.finditer(mapped.text):
-            parts = _SPELLED_ONE.findall(m[2])
+            parts = _ANY_ITEM.findall(m[2])
             if sum(not w.isdigit() for w in parts) >= 7 and 10 <= len(parts) <= 15:
                 spelled.append(("phone", *mapped.source(m.start(), m.end())))
         mapped.rewrite(_SPELLED, _digits)
-    if any(map(mapped.text.__contains__, "([{<")):
-        mapped.rewrite(_DOT, _as("."))
-        if _AT.search(mapped.text):
-            mapped.rewrite(_AT, _as("@"))
-            mapped.rewrite(_BARE_DOT, _dot_after_at)
-    if "dot" in words and "at" in words:
-        mapped.rewrite(_BARE, _bare)
     if mapped.text == text and not spelled:
         return []
     found = [(kind, *mapped.source(s, e)) for kind, s, e in plain(mapped.text)] + spelled

@@ -82,3 +82,52 @@ def test_operator(spark, docs, empty, rows):
     assert by_id[2001]["redacted"] == "<EMAIL>, <IP>"
     assert by_id[2001]["spans"] == "email:0:12,ip:14:22"
     assert pii.find(empty, redact=True).count() == 0
+
+
+@pytest.mark.parametrize(
+    ("text", "kind", "part"),
+    [
+        ("ask jane@example dot com today", "email", "jane@example dot com"),
+        ("ask jane at example [dot] com today", "email", "jane at example [dot] com"),
+        ("ask me at mail.example dot com today", "email", "me at mail.example dot com"),
+        ("ask: jane dot doe [at] example dot com, today", "email", "jane dot doe [at] example dot com"),
+        ("ask: jane (dot) doe@example.com", "email", "jane (dot) doe@example.com"),
+        ("ask: jane.doe {at} mail dot example [.] org", "email", "jane.doe {at} mail dot example [.] org"),
+        ("ring +49 one seven one five five five 1 2 3 4 now", "phone", "+49 one seven one five five five 1 2 3 4"),
+        ("ring plus 49 171 five five five 1234 now", "phone", "plus 49 171 five five five 1234"),
+        ("ring 0171 five five five 12 34, now", "phone", "0171 five five five 12 34"),
+        ("in 2020 1999 one five five five one two three four five six seven", "phone", "one five five five one two three four five six seven"),
+        ("card 4111 1111 1111 one one one one ok", "card", "4111 1111 1111 one one one one"),
+        ("host one nine two dot one six eight dot zero dot one up", "ip", "one nine two dot one six eight dot zero dot one"),
+        ("host one nine two.one six eight.zero.one up", "ip", "one nine two.one six eight.zero.one"),
+        ("host 10 dot 0 dot 0 dot seven up", "ip", "10 dot 0 dot 0 dot seven"),
+        ("no. ൪൧൧൧ 1111 1111 1111 ok", "card", "൪൧൧൧ 1111 1111 1111"),
+        ("no. 𝟒𝟏𝟏𝟏 1111 1111 1111 ok", "card", "𝟒𝟏𝟏𝟏 1111 1111 1111"),
+        ("x 𝐣𝐚𝐧𝐞@ⓔxample﹒com y", "email", "𝐣𝐚𝐧𝐞@ⓔxample﹒com"),
+        ("x jane＠ﬁsh.org y", "email", "jane＠ﬁsh.org"),
+    ],
+)
+def test_styles_of_disguise_may_be_mixed(text, kind, part):
+    start = text.index(part)
+    assert (kind, start, start + len(part)) in pii.disguised(text, pii.plain(text))
+
+
+@pytest.mark.parametrize(
+    "text",
+    [
+        "we met at example.com", "one. two. three. four. five", "1. 2. 3. 4. and 5", "in 2019, 2020 and one more", "about 1,000,000 two by two",
+        "thanks @bob dot by dot", "5 at a dot", "m² of ½ and … №", "from 1999 2000 to 2001 one",
+    ],
+)
+def test_prose_with_the_same_words_is_left_alone(text):
+    assert pii.plain(text) == pii.disguised(text, []) == []
+
+
+def test_words_after_a_plain_number_are_not_part_of_it():
+    for text in ("call +1 555 123 4567 two times", "at 192.168.0.1 one or two", "mail a@example.com dot the i"):
+        assert pii.disguised(text, pii.plain(text)) == []
+
+
+def test_long_disguises_take_linear_time():
+    for text in ("1 " * 40_000 + "one", "one " * 20_000, "a dot " * 40_000, "a." * 40_000 + " dot b", "a at " * 40_000 + " dot ", "1." * 40_000 + " one", "[dot]" * 40_000):
+        pii.disguised(text, [])
