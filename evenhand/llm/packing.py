@@ -103,35 +103,48 @@ def best_fit(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, in
         rank, left = 0, counts[length]
         while left:
             capacity = tree.least(length)
-            if capacity is None:
-                first, many = opened, left
-                opened += many
-                capacity = window
+            fresh = capacity is None
+            if fresh:
+                first, size, capacity = opened, 0, window
             else:
                 first, size = ranges[capacity].pop()
-                many = min(size, left)
-                if size > many:
-                    ranges[capacity].append((first + many, size - many))
                 if not ranges[capacity]:
                     tree.set(capacity, False)
-            # A new sequence would take further pieces of this length before the next one opens.
-            if capacity == window and capacity >= 2 * length and many > 1:
-                per = window // length
+            # A sequence with the room takes further pieces of this length before the next one is touched.
+            if capacity >= 2 * length and left > 1:
+                per, used = capacity // length, window - capacity
+                if fresh:
+                    size = -(-left // per)
+                    opened = first + size
+                    many = left
+                else:
+                    many = min(left, size * per)
                 full, rest = divmod(many, per)
-                opened = first + full + (rest > 0)
+                touched = full + (rest > 0)
+                if size > touched:
+                    ranges.setdefault(capacity, []).append((first + touched, size - touched))
+                    tree.set(capacity, True)
                 at = rank
                 for k in range(per):
                     n = full + (k < rest)
                     if n:
-                        runs.append((length, at, at + n, first, k * length))
+                        runs.append((length, at, at + n, first, used + k * length))
                         at += n
-                if full and window - per * length:
-                    ranges.setdefault(window - per * length, []).append((first, full))
-                    tree.set(window - per * length, True)
+                if full and capacity - per * length:
+                    ranges.setdefault(capacity - per * length, []).append((first, full))
+                    tree.set(capacity - per * length, True)
                 if rest:
-                    ranges.setdefault(window - rest * length, []).append((first + full, 1))
-                    tree.set(window - rest * length, True)
+                    ranges.setdefault(capacity - rest * length, []).append((first + full, 1))
+                    tree.set(capacity - rest * length, True)
             else:
+                if fresh:
+                    many = left
+                    opened += many
+                else:
+                    many = min(size, left)
+                    if size > many:
+                        ranges[capacity].append((first + many, size - many))
+                        tree.set(capacity, True)
                 runs.append((length, rank, rank + many, first, window - capacity))
                 if capacity > length:
                     ranges.setdefault(capacity - length, []).append((first, many))

@@ -85,3 +85,16 @@ def test_the_tree_finds_the_tightest_capacity():
         tree.set(c, c in open_)
         want = rng.randrange(101)
         assert tree.least(want) == min((o for o in open_ if o >= want), default=None)
+
+
+def test_used_sequences_are_filled_before_the_next_one():
+    rng = random.Random(6)
+    cases = [[33, 33, 1, 1], [40] * 5 + [7] * 11, [33, 33, 33, 10, 10, 10, 10, 10, 1, 1, 1]]
+    cases += [[rng.choice([1, 2, 3, 5, 9, 20, 33, 40]) for _ in range(rng.randrange(80))] for _ in range(400)]
+    for lengths in cases:
+        room = {}
+        for length, first, last, sequence, offset in packing.best_fit({n: lengths.count(n) for n in set(lengths)}, 64):
+            for i in range(sequence, sequence + last - first):
+                assert room.get(i, 64) == 64 - offset
+                room[i] = 64 - offset - length
+        assert sorted(room.values()) == naive_best_fit(lengths, 64)[1]
