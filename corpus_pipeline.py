@@ -4,36 +4,46 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from evenhand.llm import jaccard, mixing, packing, pii, quality
 from evenhand.llm.common import documents, stored
 
 
+def set_aside(docs: DataFrame) -> tuple[DataFrame, dict[str, Column]]:
+    """``docs`` with columns beyond id, text and source under names that no operator uses, and how to get each column back."""
+    names = {c: c if c in ("doc_id", "text", "source") else f"_given{i}" for i, c in enumerate(docs.columns)}
+    return docs.toDF(*names.values()), {c: F.col(name).alias(c) for c, name in names.items()}
+
+
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and look like the trusted ones (log-likelihood ratio)."""
     trusted = quality.trusted_ids(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    judged = quality.assess(docs, quality.model(docs.select("doc_id", "text"), trusted))
-    return judged.filter("kept").select(*docs.columns)
+    seen, given = set_aside(docs)
+    judged = quality.assess(seen, quality.model(docs.select("doc_id", "text"), trusted))
+    return judged.filter("kept").select(*given.values())
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group linked by shingles of five words at a similarity of 0.8 or more."""
-    return jaccard.keep_one(docs, n=5, num=80, den=100)
+    seen, given = set_aside(docs)
+    return jaccard.keep_one(seen, n=5, num=80, den=100).select(*given.values())
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with identifiers, plain or disguised, replaced by their kind; n_chars follows the text."""
-    found = pii.find(docs, redact=True)
+    seen, given = set_aside(docs)
+    found = pii.find(seen, redact=True)
     changed = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast(dict(docs.dtypes)["n_chars"])}
-    return found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    return found.select(*[changed[c].alias(c) if c in changed else column for c, column in given.items()])
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents as often as the mixture takes them (Pareto order sampling)."""
-    mixed = mixing.mix(docs).filter("copies > 0")
-    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*docs.columns)
+    seen, given = set_aside(docs)
+    mixed = mixing.mix(seen).filter("copies > 0")
+    return mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).select(*given.values())
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -78,7 +78,7 @@ def mix(
     the target falls, and only that bin's documents, about one in ``BINS``, are ordered.
     """
     names = ["size", "source_size", "target", "copies", "taken"]
-    counted = docs.withColumn("_size", F.col("size") if size is None and "size" in docs.columns else (words(text_col) if size is None else size))
+    counted = docs.withColumn("_size", words(text_col) if size is None else size)
     sized = counted.drop(*names).withColumn("_source", _source_key(source_col))
     if preference is not None:
         sized = sized.withColumn("_preference", preference.cast("double"))

@@ -79,7 +79,7 @@ def op6_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_pareto_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     sized = documents(spark, sf_dir).select("doc_id", "source", mixing.words().alias("size"))
-    return mixing.mix(sized).drop("source")
+    return mixing.mix(sized, size=F.col("size")).drop("source")
 
 
 def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -72,3 +72,9 @@ def test_degenerate_tables(spark, empty):
     assert [(r["size"], r["target"], r["taken"]) for r in mixing.mix(blank).collect()] == [(0, 0.0, 0)] * 2
     one = spark.createDataFrame([(1, "x y", None, "a", None), (2, "z", None, "b", None)], empty.schema)
     assert {r["source"]: r["target"] for r in mixing.mix(one).collect()} == {"a": 1.0, "b": 2.0}
+
+
+def test_a_column_named_size_is_replaced_by_the_words(spark, docs, rows):
+    got = mixing.mix(with_clashes(docs, ["size", "source_size", "taken"])).collect()
+    check(got, rows)
+    check(mixing.mix(docs.withColumn("size", F.lit(7) + F.length("lang"))).collect(), rows)

@@ -1,12 +1,14 @@
 import zlib
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from evenhand.llm import pii, quality
 from evenhand.llm.common import stored
 from evenhand.llm.tokens import Encoder
 
+from .conftest import with_clashes
 from .test_jaccard import sets_of
 from .test_mixing import target_of
 
@@ -80,3 +82,22 @@ def test_all_stages_take_nulls_and_empty_tables(spark, docs, empty, base):
             frame = stored(stage(spark, frame, base), "test-stage")
         assert "sequence_id" in frame.columns
     assert frame.count() == 0
+
+
+def test_stages_carry_columns_named_like_results(spark, base):
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    names = [f.split()[0] for f in (quality.RESULT + ", " + pii.RESULT).split(", ")]
+    names += ["redacted", "size", "source_size", "target", "copies", "taken", "_key", "a.b"]
+    extra = with_clashes(docs, names)
+    extra = extra.withColumn("size", F.octet_length("text"))
+    extra, docs = stored(extra, "test-extra"), stored(docs, "test-plain")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        got = stored(stage(spark, extra, base), "test-stage")
+        assert got.columns == extra.columns and got.count()
+        given = ["doc_id", "text", "lang", "source", "n_chars"]
+        expected = stage(spark, docs, base).select(given).collect()
+        assert sorted(map(repr, got.select(given).collect())) == sorted(map(repr, expected))
+        kept = {tuple(r) for r in got.select(*[f"`{n}`" for n in names if n != "size"]).collect()}
+        assert kept == {("clash",) * (len(names) - 1)}
+        sizes = {(r["doc_id"], r["size"]) for r in got.collect()}
+        assert sizes <= {(r["doc_id"], r["size"]) for r in extra.collect()}
