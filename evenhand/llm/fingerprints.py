@@ -16,18 +16,23 @@ K = 8
 S = 2
 #: A unit is a word or a stretch of a long one, so that texts without white space have units as well.
 UNIT = r"[^\x20\x09-\x0D]{1,16}"
+#: The same with each character of a longer word on its own, so that an insertion moves no later unit.
+FINE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,16}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
+CHARACTER = r"(?s)."
+#: Characters up to which a text also has anchors over characters: fewer than 2 K words of 16 characters are below it.
+SHORT = 2 * K * 17
 #: Ranges of ids per shuffle partition; several even out what hashing ranges to partitions leaves uneven.
 RANGES = 4
 
 
-def with_anchors(df: DataFrame, text: Column, positions: str, hashes: str, k: int = K, s: int = S) -> DataFrame:
+def with_anchors(df: DataFrame, text: Column, positions: str, hashes: str, k: int = K, s: int = S, unit: str = UNIT) -> DataFrame:
     """``df`` with the anchors' positions (in units, from 1) and hashes (non-negative 31 bit), both in text order.
 
     A text of 1 to ``k - 1`` units has one anchor, all of it; one without units, or missing, has none. A text so
     short that none of its runs qualifies keeps all of its at most ``k - s`` runs.
     """
     inner = k - s + 1
-    df = df.withColumn("_units", F.transform(F.regexp_extract_all(text, F.lit(UNIT), F.lit(0)), lambda u: F.xxhash64(u)))
+    df = df.withColumn("_units", F.transform(F.regexp_extract_all(text, F.lit(unit), F.lit(0)), lambda u: F.xxhash64(u)))
     run = F.col("_units")
     for i in range(1, s):
         # Runs grow by one unit a step: the hash so far joined with the unit i places on.
@@ -49,6 +54,17 @@ def with_anchors(df: DataFrame, text: Column, positions: str, hashes: str, k: in
     return df.drop("_units", "_inner", "_kept")
 
 
+def with_fine_anchors(df: DataFrame, text: Column, hashes: str) -> DataFrame:
+    """``df`` with the hashes of anchors over :data:`FINE` units and, for a text of at most ``SHORT`` characters, over characters.
+
+    An edited text is told to be like its source also where fewer than ``K`` whole words are left. Both kinds
+    are kept, so a short text still shares its anchors over words with a long one.
+    """
+    df = with_anchors(df, text, "_at", "_over_words", unit=FINE)
+    df = with_anchors(df, F.when(F.length(text) <= SHORT, text).otherwise(""), "_at", "_over_characters", unit=CHARACTER)
+    return df.withColumn(hashes, F.concat("_over_words", "_over_characters")).drop("_at", "_over_words", "_over_characters")
+
+
 def likeness(a: Column, b: Column) -> Column:
     """Shared share of two anchor lists' distinct hashes; 1 where neither has any."""
     both = F.size(F.array_intersect(a, b))

@@ -84,3 +84,25 @@ def test_query_edits_and_likeness(spark, base):
         a, b, c = (set(f.split()) for f in (out["fingerprint"], out["edited_fingerprint"], got[after["doc_id"]]["fingerprint"]))
         for near, other in ((out["near_edited"], b), (out["near_next"], c)):
             assert abs(near - (len(a & other) / len(a | other) if a | other else 1.0)) < 1e-12
+
+
+def test_short_edited_and_shifted_unspaced_texts_are_like_their_source(spark, tmp_path):
+    rng = random.Random(5)
+    unspaced = "".join(chr(0x4E00 + rng.randrange(5000)) for _ in range(600))
+    words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+    texts = [
+        "a sentence of six words only",
+        " ".join(words[:12]),
+        unspaced,
+        unspaced[:50] + "x" + unspaced[50:],
+        " ".join(words[:12]) + " " + " ".join(words[20:]),
+        "",
+    ]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    frame.write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r["doc_id"]: r for r in op5_closed_syncmers(spark, str(tmp_path)).collect()}
+    assert got[0]["near_edited"] > 0.1 and got[1]["near_edited"] > 0.1
+    assert got[3]["near_next"] > 0.8  # the next one down, without the inserted character
+    short, long = (set(got[i]["fingerprint"].split()) for i in (1, 4))
+    assert short & long  # a passage of 12 words
+    assert got[5]["fingerprint"] == ""
