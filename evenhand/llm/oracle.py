@@ -79,4 +79,80 @@ SELECT doc_id, n AS n_shingles, named.class_id,
 FROM named LEFT JOIN rooted ON named.class_id = rooted.class_id
 """
 
-ORACLE = {"op2_revisit_resolution": REVISITS, "op6_trie_jaccard": SIMILAR}
+#: Shortest path over the role grammar, row by row; each state holds its cost, its edits and the rows that they leave.
+REPAIR = """
+WITH RECURSIVE bits AS (
+    SELECT CAST(range AS BIGINT) AS i, CAST(range AS BIGINT) AS v, 0 AS n FROM range(256)
+    UNION ALL
+    SELECT i, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END, n + 1 FROM bits WHERE n < 8
+), crc AS (
+    SELECT list(v ORDER BY i) AS t FROM bits WHERE n = 8
+), given AS (
+    SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+        coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS key
+    FROM conversations
+), summed AS (
+    SELECT given.*, xor(4294967295, list_reduce(
+        list_transform(range(1, len(key) + 1), lambda i: CAST(ascii(substr(key, i, 1)) AS BIGINT)),
+        lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295)) % 20 AS kind
+    FROM given, crc
+), harmed AS (
+    SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+        CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(CASE WHEN kind = 3 THEN [1, 2] ELSE [1] END) AS copy
+    FROM summed WHERE kind <> 0
+), numbered AS (
+    SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+        row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) AS again,
+        lag(role[1]) OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS before
+    FROM harmed
+), marked AS (
+    SELECT *, role[1] AS initial,
+        CASE WHEN NOT regexp_matches(text, '[^\\x20\\x09-\\x0D]') THEN 'blank' WHEN again > 1 THEN 'duplicate'
+            WHEN NOT regexp_matches(text, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' ELSE '' END AS fault
+    FROM numbered
+), ids AS (
+    SELECT row_number() OVER () AS conv, conv_id FROM (SELECT DISTINCT conv_id FROM conversations)
+), steps AS (
+    SELECT ids.conv, m.* FROM marked m JOIN ids ON ids.conv_id IS NOT DISTINCT FROM m.conv_id
+), search AS (
+    SELECT conv, CAST(0 AS BIGINT) AS i, {'c': CAST(0 AS BIGINT), 'a': '', 't': ''} AS e, {'c': CAST(1000000000 AS BIGINT), 'a': '', 't': ''} AS s,
+        {'c': CAST(2 AS BIGINT), 'a': 'I', 't': 'user:'} AS u, {'c': CAST(4 AS BIGINT), 'a': 'II', 't': 'user:' || chr(10) || 'assistant:'} AS a
+    FROM ids
+    UNION ALL
+    SELECT conv, i, e, s, least(u, {'c': a.c + 2, 'a': a.a || 'I', 't': a.t || chr(10) || 'user:'},
+            {'c': s.c + 2, 'a': s.a || 'I', 't': s.t || chr(10) || 'user:'}, {'c': e.c + 2, 'a': e.a || 'I', 't': 'user:'}),
+        least(a, {'c': u.c + 2, 'a': u.a || 'I', 't': u.t || chr(10) || 'assistant:'},
+            {'c': s.c + 4, 'a': s.a || 'II', 't': s.t || chr(10) || 'user:' || chr(10) || 'assistant:'},
+            {'c': e.c + 4, 'a': e.a || 'II', 't': 'user:' || chr(10) || 'assistant:'})
+    FROM (
+        SELECT r.conv, p.i, {'c': e.c + 3, 'a': e.a || 'D', 't': e.t} AS e,
+            least({'c': s.c + 3, 'a': s.a || 'D', 't': s.t}, {'c': e.c + stays + CASE WHEN initial = 's' THEN 0 ELSE 1000000000 END, 'a': e.a || 'K', 't': own}) AS s,
+            least({'c': u.c + 3, 'a': u.a || 'D', 't': u.t},
+                {'c': a.c + stays + keeps_u, 'a': a.a || CASE keeps_u WHEN 0 THEN 'K' ELSE 'R' END, 't': a.t || chr(10) || as_u},
+                {'c': s.c + stays + keeps_u, 'a': s.a || CASE keeps_u WHEN 0 THEN 'K' ELSE 'R' END, 't': s.t || chr(10) || as_u},
+                {'c': e.c + stays + keeps_u, 'a': e.a || CASE keeps_u WHEN 0 THEN 'K' ELSE 'R' END, 't': as_u}) AS u,
+            least({'c': a.c + 3, 'a': a.a || 'D', 't': a.t},
+                {'c': u.c + stays + keeps_a, 'a': u.a || CASE keeps_a WHEN 0 THEN 'K' ELSE 'R' END, 't': u.t || chr(10) || as_a}) AS a
+        FROM search r JOIN (
+            SELECT conv, i, initial, CASE fault WHEN 'truncated' THEN 1 WHEN '' THEN 0 ELSE 1000000000 END AS stays, role || ':' || text AS own,
+                CASE WHEN initial = 'u' THEN 0 ELSE 2 END AS keeps_u, CASE WHEN initial = 'a' THEN 0 ELSE 2 END AS keeps_a,
+                CASE WHEN initial = 'u' THEN role ELSE 'user' END || ':' || text AS as_u,
+                CASE WHEN initial = 'a' THEN role ELSE 'assistant' END || ':' || text AS as_a
+            FROM steps
+        ) p ON p.conv = r.conv AND p.i = r.i + 1
+    )
+), ended AS (
+    SELECT conv, least(arg_max(e, i), arg_max(a, i)) AS best FROM search GROUP BY conv
+), counted AS (
+    SELECT conv, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+        count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (before || initial NOT IN ('su', 'ua', 'au')) AS illegal,
+        coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps
+    FROM steps GROUP BY conv
+)
+SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate,
+    coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(best.c AS BIGINT) AS cost, best.a AS audit, sha256(best.t) AS repaired_sha256
+FROM ids JOIN ended ON ended.conv = ids.conv LEFT JOIN counted ON counted.conv = ids.conv
+"""
+
+ORACLE = {"op2_revisit_resolution": REVISITS, "op6_trie_jaccard": SIMILAR, "op12_conversation_repair": REPAIR}
