@@ -79,6 +79,44 @@ SELECT doc_id, n AS n_shingles, named.class_id,
 FROM named LEFT JOIN rooted ON named.class_id = rooted.class_id
 """
 
+#: Every phrase of up to five words, counted outright.
+PHRASES = """
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+        'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\\x0A-\\x0D]')) AS piece
+    FROM documents
+), worded AS (
+    SELECT lang, regexp_extract_all(piece, '[^\\x20\\x09]+') AS w FROM pieces
+), totals AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM worded GROUP BY lang
+), sizes AS (
+    SELECT unnest([1, 2, 3, 4, 5]) AS k
+), found AS (
+    SELECT lang, k, unnest(list_transform(range(1, len(w) - k + 2), lambda i: w[i:i + k - 1])) AS p FROM worded, sizes WHERE len(w) >= k
+), counted AS (
+    SELECT lang, k, p, count(*) AS f FROM found GROUP BY lang, k, p HAVING count(*) >= 100
+), inner_phrases AS (
+    SELECT lang, p, max(f) AS f FROM (
+        SELECT lang, p[1:k - 1] AS p, f FROM counted WHERE k > 2 UNION ALL SELECT lang, p[2:k] AS p, f FROM counted WHERE k > 2
+    ) GROUP BY lang, p
+), kept AS (
+    SELECT c.* FROM counted c LEFT JOIN inner_phrases i ON i.lang = c.lang AND i.p = c.p WHERE c.k > 1 AND coalesce(i.f, 0) < c.f
+), cuts AS (
+    SELECT lang, p, f, unnest(range(1, k)) AS cut FROM kept
+), scored AS (
+    SELECT c.lang, c.p, c.cut, c.f AS a, x.f AS l, y.f AS r, n,
+        CAST(CAST(1000 AS HUGEINT) * c.f * n // (CAST(x.f AS HUGEINT) * y.f) AS BIGINT) AS score
+    FROM cuts c JOIN counted x ON x.lang = c.lang AND x.p = c.p[1:cut] JOIN counted y ON y.lang = c.lang AND y.p = c.p[cut + 1:]
+    JOIN totals t ON t.lang = c.lang
+), least AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, cut) = 1
+), named AS (
+    SELECT *, array_to_string(p, ' ') AS phrase FROM least
+)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank, phrase, a, l, r, n, score
+FROM named QUALIFY rank <= 2000
+"""
+
 #: Shortest path over the role grammar, row by row; each state holds its cost, its edits and the rows that they leave.
 REPAIR = """
 WITH RECURSIVE bits AS (
@@ -155,4 +193,4 @@ SELECT ids.conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coal
 FROM ids JOIN ended ON ended.conv = ids.conv LEFT JOIN counted ON counted.conv = ids.conv
 """
 
-ORACLE = {"op2_revisit_resolution": REVISITS, "op6_trie_jaccard": SIMILAR, "op12_conversation_repair": REPAIR}
+ORACLE = {"op2_revisit_resolution": REVISITS, "op6_trie_jaccard": SIMILAR, "op11_toivonen_phrases": PHRASES, "op12_conversation_repair": REPAIR}

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import edits, fingerprints, jaccard, lm, mixing, packing, pii, quality, revisits, sharding, turns
+from evenhand.llm import edits, fingerprints, jaccard, lm, mixing, packing, phrases, pii, quality, revisits, sharding, turns
 from evenhand.llm.common import documents, stored, text_or_empty
 
 
@@ -98,6 +98,10 @@ def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.place(stored(pieces, "pack-digests"))
 
 
+def op11_toivonen_phrases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(documents(spark, sf_dir).select("doc_id", "text", "lang"))
+
+
 def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     conversations = spark.read.parquet(f"{sf_dir}/conversations.parquet")
     return turns.repair(turns.damaged(conversations), present=F.col("present"))
@@ -114,5 +118,6 @@ QUERIES = {
     "op8_bloom_lm": op8_bloom_lm,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_edited_counts": op10_edited_counts,
+    "op11_toivonen_phrases": op11_toivonen_phrases,
     "op12_conversation_repair": op12_conversation_repair,
 }
