@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from evenhand.llm import edits, fingerprints, jaccard, lm, mixing, packing, phrases, pii, quality, revisits, sharding, turns
+from evenhand.llm import edits, fingerprints, jaccard, lm, mixing, packing, phrases, pii, quality, revisits, sharding, toxicity, turns
 from evenhand.llm.common import documents, stored, text_or_empty
 
 
@@ -107,6 +107,12 @@ def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return turns.repair(turns.damaged(conversations), present=F.col("present"))
 
 
+def op13_factorised_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select("doc_id", "text")
+    machine = toxicity.fit(toxicity.labelled(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+    return toxicity.score(docs.withColumn("held_out", lm.is_held_out(fold=0)), machine).drop("text")
+
+
 QUERIES = {
     "op1_llr_quality": op1_llr_quality,
     "op2_revisit_resolution": op2_revisit_resolution,
@@ -120,4 +126,5 @@ QUERIES = {
     "op10_edited_counts": op10_edited_counts,
     "op11_toivonen_phrases": op11_toivonen_phrases,
     "op12_conversation_repair": op12_conversation_repair,
+    "op13_factorised_toxicity": op13_factorised_toxicity,
 }
