@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from evenhand.llm.common import small_batches, text_or_empty
-from evenhand.llm.tokens import Encoder, split_words
+from evenhand.llm.tokens import Encoder, encoder_of, split_words
 
 
 class CountTree:
@@ -119,7 +119,7 @@ def count(
 
     @F.pandas_udf(result)
     def run(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(tokenizer)
+        encoder = encoder_of(tokenizer)
         for texts, lists in batches:
             rows = []
             for text, todo in zip(texts, lists, strict=True):

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.llm.common import small_batches, stored, text_or_empty
-from evenhand.llm.tokens import Encoder
+from evenhand.llm.tokens import encoder_of
 
 WINDOW = 4096
 END = 2
@@ -31,35 +32,40 @@ def tokenise(
     window: int = WINDOW,
     end: int = END,
     tokenizer: str | None = None,
+    digest: bool = False,
 ) -> DataFrame:
     """Pieces of at most ``window`` ids: ``id_col``, start, length, doc_tokens, ids (binary, little-endian 32 bit).
 
     Every row of ``docs`` is a document of its own, also when ids repeat or are null. A null or empty
-    text has the end id alone. Cuts fall after each full window. Other columns are left out.
+    text has the end id alone. Cuts fall after each full window. Other columns are left out. With ``digest``
+    a piece brings ids_crc32, the checksum of its ids, in their place.
     """
     small_batches(docs.sparkSession)
-    piece = "array<struct<start:long,length:long,doc_tokens:long,ids:binary>>"
 
-    @F.pandas_udf(piece)
-    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        encoder = Encoder(tokenizer)
+    @F.pandas_udf(f"doc_tokens long, pieces array<{'long' if digest else 'binary'}>")
+    def cut(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        encoder = encoder_of(tokenizer)
         for texts in batches:
-            rows = []
+            totals, pieces = [], []
             for text in texts:
                 two = encoder.encode(text)
                 ids = np.empty(len(two) // 2 + 1, "<u4")
                 ids[:-1] = np.frombuffer(two, "<u2")
                 ids[-1] = end
-                total = len(ids)
-                rows.append(
-                    [
-                        {"start": s, "length": min(window, total - s), "doc_tokens": total, "ids": ids[s : s + window].tobytes()}
-                        for s in range(0, total, window)
-                    ]
-                )
-            yield pd.Series(rows)
-
-    return docs.select(F.col(id_col), F.explode(cut(text_or_empty(text_col))).alias("_piece")).select(id_col, "_piece.*")
+                cuts = [ids[s : s + window] for s in range(0, len(ids), window)]
+                totals.append(len(ids))
+                pieces.append([crc32(c) for c in cuts] if digest else [c.tobytes() for c in cuts])
+            yield pd.DataFrame({"doc_tokens": totals, "pieces": pieces})
+
+    whole = docs.select(F.col(id_col), cut(text_or_empty(text_col)).alias("_doc"))
+    start = (F.col("_at") * window).cast("long")
+    return whole.select(id_col, "_doc.doc_tokens", F.posexplode("_doc.pieces").alias("_at", "_piece")).select(
+        id_col,
+        start.alias("start"),
+        F.least(F.lit(window).cast("long"), F.col("doc_tokens") - start).alias("length"),
+        "doc_tokens",
+        F.col("_piece").alias("ids_crc32" if digest else "ids"),
+    )
 
 
 class Capacities:

@@ -94,7 +94,7 @@ def op10_edited_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pieces = packing.tokenise(documents(spark, sf_dir)).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
+    pieces = packing.tokenise(documents(spark, sf_dir), digest=True)
     return packing.place(stored(pieces, "pack-digests"))
 
 

@@ -7,12 +7,15 @@ Ids are kept as two bytes each, which holds for vocabularies of up to 65,536 ent
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import re
+import sys
+import types
+from collections.abc import Callable
 
-import regex
-
-#: The tokenizer's own split into pre-tokens, as its file states it.
-PRETOKEN = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+#: The tokenizer's own split into pre-tokens, as its file states it, for lower-cased Latin-1: its letters, digits and white space spelled out.
+PRETOKEN = re.compile(
+    r"[a-zªµºß-öø-ÿ]+|'(?:s|t|re|ve|m|ll|d)|[0-9²³¹¼½¾]|[^\t-\r\x20\x85\xa0a-zªµºß-öø-ÿ0-9²³¹¼½¾]+"
+)
 
 
 def default_path() -> str:
@@ -28,10 +31,24 @@ def _byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
 
 
+class Memory(dict):
+    """Ids of strings; short ones are remembered, up to a bound."""
+
+    def __init__(self, ids: Callable[[str], bytes], most: int):
+        super().__init__()
+        self.ids, self.most = ids, most
+
+    def __missing__(self, string: str) -> bytes:
+        found = self.ids(string)
+        if len(string) <= 64 and len(self) < self.most:
+            self[string] = found
+        return found
+
+
 class Encoder:
-    """Ids of words, remembered: ``most`` words and ``most`` pre-tokens at any time."""
+    """Ids of texts from remembered pre-tokens; ``most`` pre-tokens and ``most`` words at any time."""
 
-    def __init__(self, path: str | None = None, most: int = 300_000):
+    def __init__(self, path: str | None = None, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path or default_path())
@@ -39,44 +56,51 @@ class Encoder:
             raise ValueError("ids of this vocabulary do not fit into two bytes")
         self.model = self.tokenizer.model
         self.letters = _byte_letters()
-        self.most = most
-        self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces = Memory(self._piece, most)
+        self.words = Memory(self._word, most)
 
     def _piece(self, piece: str) -> bytes:
-        got = self.pieces.get(piece)
-        if got is None:
-            mapped = piece if piece.isascii() else piece.encode().decode("latin-1").translate(self.letters)
-            got = b"".join(t.id.to_bytes(2, "little") for t in self.model.tokenize(mapped))
-            if len(self.pieces) >= self.most:
-                self.pieces.clear()
-            self.pieces[piece] = got
-        return got
+        plain = piece.isascii() and piece.isprintable()
+        mapped = piece if plain else piece.encode().decode("latin-1").translate(self.letters)
+        return b"".join(t.id.to_bytes(2, "little") for t in self.model.tokenize(mapped))
+
+    def _latin(self, text: str) -> bytes | None:
+        """Ids of a text in Latin-1, which needs no composing and has one lower-case letter per letter; special tokens start with ``<|``."""
+        if "<|" in text:
+            return None
+        if not text.isascii():
+            try:
+                text.encode("latin-1")
+            except UnicodeEncodeError:
+                return None
+        return b"".join(map(self.pieces.__getitem__, PRETOKEN.findall(text.lower())))
 
     def _word(self, word: str) -> bytes:
-        # Latin-1 needs no composing and has one lower-case letter per letter; special tokens start with "<|".
-        if word and word[-1] <= "ÿ" and max(word) <= "ÿ" and "<|" not in word:
-            return b"".join(map(self._piece, PRETOKEN.findall(word.lower())))
-        ids = self.tokenizer.encode(word.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
-        return b"".join(i.to_bytes(2, "little") for i in ids)
+        found = self._latin(word)
+        if found is None:
+            ids = self.tokenizer.encode(word.encode("utf-8", "replace").decode(), add_special_tokens=False).ids
+            found = b"".join(i.to_bytes(2, "little") for i in ids)
+        return found
 
-    def parts(self, words: list[str]) -> Iterable[bytes]:
+    def parts(self, words: list[str]) -> list[bytes]:
         """The ids of each word, two bytes each."""
-        known = self.words
-        for word in set(words).difference(known):
-            if len(word) <= 64:
-                if len(known) >= self.most:
-                    known.clear()
-                    return [self._word(w) for w in words]
-                known[word] = self._word(word)
-        try:
-            return list(map(known.__getitem__, words))
-        except KeyError:  # long words are not kept
-            return [known[w] if w in known else self._word(w) for w in words]
+        return list(map(self.words.__getitem__, words))
 
     def encode(self, text: str | None) -> bytes:
         """Ids of a whole text, two bytes each, the same as the tokenizer's own."""
-        return b"".join(self.parts(split_words(text))) if text else b""
+        if not text:
+            return b""
+        found = self._latin(text)
+        return b"".join(self.parts(split_words(text))) if found is None else found
+
+
+def encoder_of(path: str | None) -> Encoder:
+    """The Python worker's encoder for a tokenizer file, kept between its tasks with the words that it remembers."""
+    kept = vars(sys.modules.setdefault("_evenhand_encoders", types.ModuleType("_evenhand_encoders")))
+    name = path or default_path()
+    if name not in kept:
+        kept[name] = Encoder(name)
+    return kept[name]
 
 
 def split_words(text: str) -> list[str]:

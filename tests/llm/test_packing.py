@@ -23,6 +23,17 @@ def test_ids_equal_the_tokenizers(rows):
         assert got == whole.encode(text, add_special_tokens=False).ids, text[:50]
 
 
+@pytest.mark.parametrize("form", ["a{}b", "{}b", "a{}", "x a {} b"])
+def test_every_character_encodes_as_the_tokenizer_does(form):
+    from tokenizers import Tokenizer
+
+    whole, encoder = Tokenizer.from_file(default_path()), Encoder()
+    texts = [form.format(chr(c)) for c in range(0x20000) if not 0xD800 <= c < 0xE000]
+    expected = [e.ids for e in whole.encode_batch(texts, add_special_tokens=False)]
+    wrong = [t for t, ids in zip(texts, expected) if np.frombuffer(encoder.encode(t), "<u2").tolist() != ids]
+    assert not wrong, [hex(ord(c)) for t in wrong[:20] for c in t]
+
+
 def naive_best_fit(lengths, window):
     room, placed = [], []
     for length in sorted(lengths, reverse=True):
