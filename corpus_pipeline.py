@@ -48,8 +48,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as pieces of training sequences (best-fit decreasing)."""
-    pieces = packing.tokenise(docs).withColumn("ids_crc32", F.crc32("ids")).drop("ids")
-    return packing.place(stored(pieces, "pack-digests"))
+    return packing.place(stored(packing.tokenise(docs, digest=True), "pack-digests"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
