@@ -1,26 +1,25 @@
 """Document fingerprints from closed syncmers, in built-in expressions throughout.
 
-A text is a sequence of units (words, long ones cut). Of all runs of ``k`` units, those are kept whose least
-inner run of ``s`` units, by hash, is the first or the last one. Whether a run is kept depends on the run alone, so equal
-passages have equal anchors wherever they stand, and no stretch of more than ``k - s`` runs is without one.
+A text is a sequence of units: stretches of up to three characters of its words, single characters of very long words. Of all
+runs of ``k`` units, those are kept whose least inner run of ``s`` units, by hash, is the first or the last one. Whether a run is
+kept depends on the run alone, so equal passages have equal anchors wherever they stand, and no stretch of more than
+``k - s`` runs is without one. Texts of all lengths are treated alike.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from evenhand.llm.common import stored, text_or_empty
 
-K = 8
+K = 6
 S = 2
-#: A unit is a word or a stretch of a long one, so that texts without white space have units as well.
-UNIT = r"[^\x20\x09-\x0D]{1,16}"
-#: The same with each character of a longer word on its own, so that an insertion moves no later unit.
-FINE = r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,16}(?![^\x20\x09-\x0D])|[^\x20\x09-\x0D]"
-CHARACTER = r"(?s)."
-#: Characters up to which a text also has anchors over characters: fewer than 2 K words of 16 characters are below it.
-SHORT = 2 * K * 17
+#: Three characters from a word's start on; characters with 16 or more of their word before or after them are units of their own, so that
+#: an insertion into text without white space moves no later unit.
+UNIT = r"[^\x20\x09-\x0D](?=[^\x20\x09-\x0D]{16})|(?<=[^\x20\x09-\x0D]{16})[^\x20\x09-\x0D]|[^\x20\x09-\x0D]{1,3}"
 #: Ranges of ids per shuffle partition; several even out what hashing ranges to partitions leaves uneven.
 RANGES = 4
 
@@ -28,41 +27,32 @@ RANGES = 4
 def with_anchors(df: DataFrame, text: Column, positions: str, hashes: str, k: int = K, s: int = S, unit: str = UNIT) -> DataFrame:
     """``df`` with the anchors' positions (in units, from 1) and hashes (non-negative 31 bit), both in text order.
 
-    A text of 1 to ``k - 1`` units has one anchor, all of it; one without units, or missing, has none. A text so
-    short that none of its runs qualifies keeps all of its at most ``k - s`` runs.
+    A text counts as if ``k - 1`` equal units stood before it: runs that begin there have positions up to 0, and its first units are in
+    as many runs as others. One without units, or missing, has no anchors. A text so short that none of its runs qualifies keeps them all.
     """
-    inner = k - s + 1
-    df = df.withColumn("_units", F.transform(F.regexp_extract_all(text, F.lit(unit), F.lit(0)), lambda u: F.xxhash64(u)))
+    before = k - 1
+    given = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(unit), F.lit(0)), lambda u: F.xxhash64(u))
+    df = df.withColumn("_units", F.when(F.size(given) > 0, F.concat(F.array_repeat(F.lit(0).cast("long"), before), given)))
     run = F.col("_units")
     for i in range(1, s):
         # Runs grow by one unit a step: the hash so far joined with the unit i places on.
-        rest = F.greatest(F.size("_units") - i, F.lit(0))
+        rest = F.size("_units") - i
         run = F.zip_with(F.slice(run, 1, rest), F.slice("_units", i + 1, rest), lambda a, b: F.xxhash64(a, b))
     df = df.withColumn("_inner", run)
-    kept = F.filter(
-        F.sequence(F.lit(1), F.size("_units") - (k - 1)),
-        lambda i: F.array_min(F.slice("_inner", i, inner)).isin(
-            F.element_at("_inner", i), F.element_at("_inner", i + F.lit(inner - 1))
-        ),
-    )
-    short = F.when(F.size("_units") > 0, F.array(F.lit(1))).otherwise(F.array().cast("array<int>"))
-    df = df.withColumn("_kept", F.when(F.size("_units") >= k, kept).otherwise(short))
-    every = F.sequence(F.lit(1), F.size("_units") - (k - 1))
-    df = df.withColumn(positions, F.when((F.size("_kept") == 0) & (F.size("_units") >= k), every).otherwise(F.col("_kept")))
-    mask = F.lit(0x7FFFFFFF)
-    df = df.withColumn(hashes, F.transform(positions, lambda i: F.hash(F.slice("_units", i, k)).bitwiseAND(mask)))
-    return df.drop("_units", "_inner", "_kept")
+    every = F.sequence(F.lit(1), F.size("_units") - before)
 
+    def closed(i: Column) -> Column:
+        inner = [F.element_at("_inner", i + F.lit(j)) for j in range(k - s + 1)]
+        edge = F.least(inner[0], inner[-1]) if len(inner) > 1 else inner[0]
+        return edge <= F.least(*inner[1:-1]) if len(inner) > 3 else (edge <= inner[1] if len(inner) == 3 else F.lit(True))
 
-def with_fine_anchors(df: DataFrame, text: Column, hashes: str) -> DataFrame:
-    """``df`` with the hashes of anchors over :data:`FINE` units and, for a text of at most ``SHORT`` characters, over characters.
-
-    An edited text is told to be like its source also where fewer than ``K`` whole words are left. Both kinds
-    are kept, so a short text still shares its anchors over words with a long one.
-    """
-    df = with_anchors(df, text, "_at", "_over_words", unit=FINE)
-    df = with_anchors(df, F.when(F.length(text) <= SHORT, text).otherwise(""), "_at", "_over_characters", unit=CHARACTER)
-    return df.withColumn(hashes, F.concat("_over_words", "_over_characters")).drop("_at", "_over_words", "_over_characters")
+    df = df.withColumn("_kept", F.filter(every, closed))
+    kept = F.when(F.size("_kept") > 0, F.col("_kept")).otherwise(every)
+    nothing = F.array().cast("array<int>")
+    df = df.withColumn("_kept", F.when(F.col("_units").isNotNull(), kept).otherwise(nothing))
+    mask = F.lit(0x7FFFFFFF)
+    df = df.withColumn(hashes, F.transform("_kept", lambda i: F.hash(F.slice("_units", i, k)).bitwiseAND(mask)))
+    return df.withColumn(positions, F.transform("_kept", lambda i: i - F.lit(before))).drop("_units", "_inner", "_kept")
 
 
 def likeness(a: Column, b: Column) -> Column:
@@ -107,13 +97,16 @@ def _chunks(docs: DataFrame, id_col: str, parts: int) -> Column:
     return F.when(F.col(id_col).isNull(), low).otherwise(found)
 
 
-def with_next(docs: DataFrame, carried: list[str], id_col: str = "doc_id", hash_col: str = "_hash") -> DataFrame:
+def with_next(
+    docs: DataFrame, carried: list[str], id_col: str = "doc_id", hash_col: str = "_hash", prepare: Callable[[DataFrame], DataFrame] | None = None
+) -> DataFrame:
     """``docs`` with next_<c> for each carried column: its value in the next row by descending id, after the last the first.
 
     Rows of equal id follow each other by descending hash, rows without an id come last. Nothing is sorted in one
     place: ids are cut into ranges, and each range's top row is also sent to the range above, whose last row it follows.
     Ranges follow the session's shuffle partitions; a single id should not hold a large share of rows. ``docs`` is
-    read twice and must be a table or stored rows.
+    read twice and must be a table or stored rows. ``prepare`` adds columns to the rows after they have moved, so
+    that what it adds is not moved itself.
     """
     parts = RANGES * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = docs.withColumn("_chunk", _chunks(docs, id_col, parts))
@@ -131,6 +124,8 @@ def with_next(docs: DataFrame, carried: list[str], id_col: str = "doc_id", hash_
         .withColumns({"_in": F.col("_sent.chunk"), "_extra": F.col("_sent.extra")})
         .drop("_sent")
     )
+    if prepare is not None:
+        sent = prepare(sent.repartition("_in"))
     down = Window.partitionBy("_in").orderBy("_extra", F.col(id_col).desc_nulls_last(), F.col(hash_col).desc())
     follows = F.lead(F.struct(*carried)).over(down)
     out = sent.withColumn("_next", follows).filter(~F.col("_extra"))

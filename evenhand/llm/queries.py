@@ -48,8 +48,11 @@ def op4_mapped_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = text_or_empty("text")
     docs = documents(spark, sf_dir).select("doc_id", text.alias("text"), F.xxhash64(text).alias("_hash"))
-    marked = fingerprints.with_fine_anchors(docs, F.col("text"), "_anchors")
-    chained = fingerprints.with_next(marked, ["text", "_anchors"])
+
+    def anchored(rows: DataFrame) -> DataFrame:
+        return fingerprints.with_anchors(rows, F.col("text"), "_at", "_anchors").drop("_at")
+
+    chained = fingerprints.with_next(docs, ["text", "_anchors"], prepare=anchored)
     half = F.floor(F.length("text") / 2).cast("int")
     edited = F.concat(
         F.substring(F.col("text"), F.lit(1), F.length("text") - half), F.substring(F.col("next_text"), F.lit(1), half)
@@ -61,7 +64,7 @@ def op5_closed_syncmers(spark: SparkSession, sf_dir: str) -> DataFrame:
         "_anchors",
         fingerprints.likeness(F.col("_anchors"), F.col("next__anchors")).alias("near_next"),
     )
-    both = fingerprints.with_fine_anchors(edits, F.col("_edited"), "_edited_anchors")
+    both = fingerprints.with_anchors(edits, F.col("_edited"), "_edited_at", "_edited_anchors")
     return both.select(
         "doc_id",
         "n_chars",
