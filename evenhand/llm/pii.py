@@ -11,7 +11,8 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from bisect import bisect_right
+from collections.abc import Callable, Iterable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -46,13 +47,24 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 
 DIGIT_WORDS |= {unicodedata.normalize("NFD", w): d for w, d in DIGIT_WORDS.items()}
 _WORD = "|".join(sorted(DIGIT_WORDS, key=len, reverse=True))
-_SPELLED = re.compile(rf"(?<!\w)(?:(plus)[\s-]{{0,3}})?((?:{_WORD}|[0-9])(?:[\s,.-]{{1,3}}(?:{_WORD}|[0-9])){{6,}})(?!\w)", re.IGNORECASE)
 _ITEM = rf"(?:{_WORD}|[0-9]{{1,15}})"
-_RUN = re.compile(rf"(?<![\w+])(?:(plus|\+)[\s-]{{0,3}})?(\(?{_ITEM}(?:[\s,.()-]{{1,3}}{_ITEM})+)(?!\w)", re.IGNORECASE)
+# Commas, and dots before a space, separate the entries of lists and sentences, not the digits of a number.
+_RUN = re.compile(rf"(?<![\w+])(?:(plus|\+)[\s-]{{0,3}})?(\(?{_ITEM}(?:(?:[\s()-]{{1,3}}|\.){_ITEM})+)(?!\w)", re.IGNORECASE)
+# Words before a number that say what it is, in the languages of the corpus.
+_CUE = re.compile(
+    r"\b(?:call|ring|dial|phone|telephone|tel|mobile|cell|fax|sms|whatsapp|card|visa|mastercard|telefon|handy|rufen?|anrufen|karte|"
+    r"tel[eé]fono|m[oó]vil|llam[ae]|tarjeta|t[eé]l[eé]phone|portable|appele[rz]|carte)\W{1,3}(?:\w{1,8}\W{1,3}){0,2}$",
+    re.IGNORECASE,
+)
+_CUE_REACH = 48
+#: Digit words in a row from which no other sign of a number is asked for.
+_MANY = 7
 _ITEMS = re.compile(_ITEM, re.IGNORECASE)
 _YEAR = re.compile("(?:19|20)[0-9]{2}")
 _ANY_ITEM = re.compile(rf"{_WORD}|[0-9]", re.IGNORECASE)
 _DIGIT_WORDS = frozenset(DIGIT_WORDS)
+# Fixed values: "null" is a digit only beside these, as tables and programs are full of it.
+_GERMAN = frozenset(unicodedata.normalize(f, w) for f in ("NFC", "NFD") for w in ("eins", "zwei", "drei", "vier", "fünf", "sechs", "sieben", "acht", "neun"))
 _SEPARATORS = str.maketrans("-,.()", "     ")
 # Octets of digits or digit words; a dot followed but not preceded by space ends a sentence.
 _OCTET = rf"(?:{_WORD}|[0-9]{{1,3}})(?:[\s-]{{1,3}}(?:{_WORD}|[0-9]{{1,3}})){{0,2}}"
@@ -66,13 +78,13 @@ _DOT = re.compile(_DOT_IN, re.IGNORECASE)
 _NO_NAME = r"(?!(?:the|an?|this|that|my|your|our|its)\s)"
 _DOT_WORD = rf"(?:{_DOT_IN}|\s{{1,3}}dot\s{{1,3}}{_NO_NAME})"
 _ANY_DOT = rf"(?:\.|{_DOT_WORD})"
-# One address, each of its dots plain, bare or in brackets. After a bare at, one of the domain's dots must be a disguised one.
-_ADDRESS = re.compile(
-    rf"(?<![\w.%+-])[A-Za-z0-9_%+-]+(?:{_ANY_DOT}[A-Za-z0-9_%+-]+){{0,8}}"
-    rf"(?:(\s{{1,3}}at\s{{1,3}}){_NO_NAME}(?=[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*{_DOT_WORD})[A-Za-z0-9-]+(?:{_ANY_DOT}[A-Za-z0-9-]+)*{_ANY_DOT}[A-Za-z]{{2,10}}(?!\w)"
-    rf"|({_AT_IN}|@|\s{{1,3}}@\s{{1,3}})[A-Za-z0-9-]+(?:{_ANY_DOT}[A-Za-z0-9-]+)+)",
-    re.IGNORECASE,
-)
+# What may stand for the sign between a local part and a domain; the second form is a bare word and asks for a disguised dot in the domain.
+_MARK = re.compile(rf"{_AT_IN}|\s{{1,3}}@\s{{1,3}}|@|(?P<bare>\s{{1,3}}at\s{{1,3}}){_NO_NAME}", re.IGNORECASE)
+_NAME = re.compile(rf"[A-Za-z0-9-]+(?:{_ANY_DOT}[A-Za-z0-9-]+)+", re.IGNORECASE)
+_LOCAL_DOT = re.compile(rf"{_ANY_DOT}$", re.IGNORECASE)
+_LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789_%+-")
+#: Longest form of a disguised dot.
+_DOT_REACH = 18
 _DOTS = re.compile(rf"\.|{_DOT_WORD}", re.IGNORECASE)
 _DISGUISED_DOT = re.compile(_DOT_WORD, re.IGNORECASE)
 
@@ -134,16 +146,20 @@ class Mapped:
 
     def rewrite(self, pattern: re.Pattern, emit: Callable[[re.Match], list[tuple[str, int, int]]]) -> None:
         """Replaces matches by characters, each with its first and last + 1 character in the present text."""
+        self.replace((m.start(), m.end(), emit(m)) for m in pattern.finditer(self.text))
+
+    def replace(self, passages: Iterable[tuple[int, int, list[tuple[str, int, int]]]]) -> None:
+        """The same for passages given by start, end and characters, from left to right."""
         out, starts, ends, at = [], [], [], 0
-        for m in pattern.finditer(self.text):
-            out.append(self.text[at : m.start()])
-            starts += self.starts[at : m.start()]
-            ends += self.ends[at : m.start()]
-            for char, s, e in emit(m):
+        for start, end, chars in passages:
+            out.append(self.text[at:start])
+            starts += self.starts[at:start]
+            ends += self.ends[at:start]
+            for char, s, e in chars:
                 out.append(char)
                 starts.append(self.starts[s])
                 ends.append(self.ends[e - 1])
-            at = m.end()
+            at = end
         if at:
             out.append(self.text[at:])
             starts += self.starts[at:]
@@ -175,11 +191,6 @@ def _same(m: re.Match) -> list[tuple[str, int, int]]:
     return [(c, m.start() + i, m.start() + i + 1) for i, c in enumerate(m[0])]
 
 
-def _digits(m: re.Match) -> list[tuple[str, int, int]]:
-    out = [("+", m.start(1), m.end(1))] if m[1] else []
-    return out + _digits_between(m, m.start(2), m.end(2))
-
-
 def _digits_between(m: re.Match, start: int, end: int) -> list[tuple[str, int, int]]:
     return [(DIGIT_WORDS.get(d[0].lower(), d[0]), d.start(), d.end()) for d in _ANY_ITEM.finditer(m.string, start, end)]
 
@@ -188,6 +199,8 @@ def _octets(m: re.Match) -> list[tuple[str, int, int]]:
     """An address of four numbers up to 255, where words are among its digits or dots."""
     octets = [_digits_between(m, *m.span(i)) for i in range(1, 5)]
     values = ["".join(d[0] for d in octet) for octet in octets]
+    if not _words_agree(_ANY_ITEM.findall(m[0])):
+        return _same(m)
     if not re.search("[^0-9. ]", m[0]) or _IP.search(m[0]) or any(len(v) > 3 or int(v) > 255 for v in values):
         return _same(m)
     out = octets[0]
@@ -196,30 +209,64 @@ def _octets(m: re.Match) -> list[tuple[str, int, int]]:
     return out
 
 
-def _phone_in(m: re.Match, known: list[Span], mapped: Mapped) -> int | None:
+def _words_agree(items: list[str]) -> bool:
+    words = {i.lower() for i in items}
+    return "null" not in words or not _GERMAN.isdisjoint(words)
+
+
+def _in_a_row(items: list[str]) -> int:
+    """Most digit words that follow each other."""
+    most = now = 0
+    for item in items:
+        now = 0 if item.isdigit() else now + 1
+        most = max(most, now)
+    return most
+
+
+class Spans:
+    """Spans of one kind that do not overlap, to be asked which of them meet a stretch."""
+
+    def __init__(self, spans: list[tuple[int, int]]):
+        self.spans = sorted(spans)
+        self.ends = [e for _, e in self.spans]
+
+    def met(self, start: int, end: int) -> list[tuple[int, int]]:
+        first = last = bisect_right(self.ends, start)
+        while last < len(self.spans) and self.spans[last][0] < end:
+            last += 1
+        return self.spans[first:last]
+
+
+def _number_in(m: re.Match, known: dict[str, Spans], mapped: Mapped) -> int | None:
     """Where in a run of digit words and groups a number of 10 to 15 digits, or a card, begins; groups before it, and years that it can do without, are left out.
 
-    One digit word is enough after a plus; without, or beside a number written plainly, two are needed.
+    A run is a number only if something says so: a plus, a word like "call" or "card" before it, seven digit words in a row, or digit words
+    throughout; cards pass Luhn and may also come in groups of four and more. One digit word is enough after a plus; without, or
+    beside a number written plainly, two are needed.
     """
-    items = list(_ITEMS.finditer(m.string, m.start(2), m.end(2)))
-    if all(d[0].isdigit() for d in items) or _IP.search(m[0]):
+    items = [(d[0], d.start()) for d in _ITEMS.finditer(m.string, m.start(2), m.end(2))]
+    texts = [t for t, _ in items]
+    if all(t.isdigit() for t in texts) or not _words_agree(texts) or _IP.search(m[0]):
         return None
     s, e = mapped.source(m.start(), m.end())
-    least = 1 if m[1] and not any(k in ("card", "phone") and a < e and s < b for k, a, b in known) else 2
-    values = [DIGIT_WORDS.get(d[0].lower(), d[0]) for d in items]
+    least = 1 if m[1] and not any(known[k].met(s, e) for k in ("card", "phone")) else 2
+    told = bool(m[1]) or _CUE.search(m.string[max(0, m.start() - _CUE_REACH) : m.start()]) is not None
+    values = [DIGIT_WORDS.get(t.lower(), t) for t in texts]
     left = sum(map(len, values))
-    for i, item in enumerate(items):
+    for i, (text, start) in enumerate(items):
         left -= len(values[i - 1]) if i else 0
         if left > 19:
-            if not item[0].isdigit():
+            if not text.isdigit():
                 return None
             continue
-        digits = "".join(values[i:])
-        is_card = 14 <= len(digits) <= 19 and _luhn(digits)
-        if (10 <= len(digits) <= 15 or is_card) and sum(not d[0].isdigit() for d in items[i:]) >= (1 if is_card else least):
-            if m[1] or not _YEAR.fullmatch(item[0]) or len(digits) < 14:
-                return item.start() if i or not m[1] else m.start()
-        if not item[0].isdigit() or len(digits) < 10:
+        rest, digits = texts[i:], "".join(values[i:])
+        words = sum(not t.isdigit() for t in rest)
+        shown = told or words == len(rest) or _in_a_row(rest) >= _MANY
+        is_card = 14 <= len(digits) <= 19 and _luhn(digits) and (shown or all(len(t) >= 4 for t in rest if t.isdigit()))
+        if is_card or (shown and 10 <= len(digits) <= 15 and words >= least):
+            if m[1] or not _YEAR.fullmatch(text) or len(digits) < 14:
+                return start if i or not m[1] else m.start()
+        if not text.isdigit() or len(digits) < 10:
             return None
     return None
 
@@ -228,17 +275,41 @@ def _as(char: str) -> Callable[[re.Match], list[tuple[str, int, int]]]:
     return lambda m: [(char, m.start(), m.end())]
 
 
-def _address(m: re.Match) -> list[tuple[str, int, int]]:
-    mark = 1 if m[1] else 2
-    if m[mark].strip() == "@" and not _DISGUISED_DOT.search(m[0]):
-        return _same(m)
-    out, at = [], m.start()
-    dots = [(d.start(), d.end(), ".") for a, b in ((m.start(), m.start(mark)), (m.end(mark), m.end())) for d in _DOTS.finditer(m.string, a, b)]
-    for s, e, char in sorted([*dots, (*m.span(mark), "@")]):
-        out += [(m.string[i], i, i + 1) for i in range(at, s)]
-        out.append((char, s, e))
-        at = e
-    return out + [(m.string[i], i, i + 1) for i in range(at, m.end())]
+def _addresses(text: str) -> Iterator[tuple[int, int, list[tuple[str, int, int]]]]:
+    """Addresses in which a sign is disguised, with each of their characters in place. A text is walked once, whatever it holds."""
+    last = 0
+    for mark in _MARK.finditer(text):
+        if mark.start() <= last:
+            continue
+        name = _NAME.match(text, mark.end())
+        if not name:
+            continue
+        hidden = _DISGUISED_DOT.search(name[0])
+        if mark["bare"] and not (hidden and re.search(r"[^A-Za-z0-9-][A-Za-z]{2,}$", name[0]) and text[name.end() : name.end() + 1] != "_"):
+            continue
+        start = at = mark.start()
+        while True:
+            while at > last and text[at - 1] in _LOCAL:
+                at -= 1
+            if at == start:
+                break
+            start = at
+            dot = _LOCAL_DOT.search(text[max(last, at - _DOT_REACH) : at])
+            if not dot:
+                break
+            at -= len(dot[0])
+        if start == mark.start() or (start and (text[start - 1].isalnum() or text[start - 1] == ".")):
+            continue
+        end, local = name.end(), text[start : mark.start()]
+        last = end
+        if mark[0].strip() != "@" or mark[0] != "@" or hidden or _DISGUISED_DOT.search(local):
+            dots = [(d.start(), d.end(), ".") for a, b in ((start, mark.start()), (mark.end(), end)) for d in _DOTS.finditer(text, a, b)]
+            out, at = [], start
+            for s, e, char in sorted([*dots, (*mark.span(), "@")]):
+                out += [(text[i], i, i + 1) for i in range(at, s)]
+                out.append((char, s, e))
+                at = e
+            yield start, end, out + [(text[i], i, i + 1) for i in range(at, end)]
 
 
 def disguised(text: str, known: list[Span]) -> list[Span]:
@@ -250,17 +321,18 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
     if not text.isascii() and (odd := _ODD.keys() & set(text)):
         mapped.rewrite(re.compile(f"[{''.join(sorted(odd))}]"), _plain_char)
     if _DISGUISED_DOT.search(mapped.text):
-        mapped.rewrite(_ADDRESS, _address)
+        mapped.replace(_addresses(mapped.text))
     if any(map(mapped.text.__contains__, "([{<")):
         mapped.rewrite(_DOT, _as("."))
         mapped.rewrite(_AT, _as("@"))
     words = mapped.text.lower().translate(_SEPARATORS).split()
     if not _DIGIT_WORDS.isdisjoint(words) or "dot" in words:
         mapped.rewrite(_SPELLED_IP, _octets)
+    of_kind = {kind: Spans([(s, e) for k, s, e in known if k == kind]) for kind in KINDS}
     if not _DIGIT_WORDS.isdisjoint(words):
 
         def number(m: re.Match) -> list[tuple[str, int, int]]:
-            start = _phone_in(m, known, mapped)
+            start = _number_in(m, of_kind, mapped)
             if start is None:
                 return _same(m)
             digits = _digits_between(m, start, m.end())
@@ -270,19 +342,22 @@ def disguised(text: str, known: list[Span]) -> list[Span]:
             return [(c, i, i + 1) for i, c in enumerate(m.string[m.start() : start], m.start())] + plus + digits
 
         mapped.rewrite(_RUN, number)
-        for m in _SPELLED.finditer(mapped.text):
-            parts = _ANY_ITEM.findall(m[2])
-            if sum(not w.isdigit() for w in parts) >= 7 and 10 <= len(parts) <= 15:
-                spelled.append(("phone", *mapped.source(m.start(), m.end())))
-        mapped.rewrite(_SPELLED, _digits)
     if mapped.text == text and not spelled:
         return []
     found = [(kind, *mapped.source(s, e)) for kind, s, e in plain(mapped.text)] + spelled
     new: list[Span] = []
+    # Of the new spans of a kind: the farthest end, and that of those which begin where the present one does.
+    reach, here = dict.fromkeys(KINDS, (-1, -1)), dict.fromkeys(KINDS, (-1, -1))
     for kind, start, end in in_order(found):
-        met = [(s, e) for k, s, e in [*known, *new] if k == kind and s < end and start < e]
+        if here[kind][0] != start:
+            reach[kind] = max(reach[kind], (here[kind][1], here[kind][1]))
+            here[kind] = (start, -1)
+        if reach[kind][0] > start or here[kind][1] >= end:
+            continue
+        met = of_kind[kind].met(start, end)
         if all(start <= s and e <= end and (s, e) != (start, end) for s, e in met):
             new.append((kind, start, end))
+            here[kind] = (start, end)
     return new
 
 
