@@ -3,10 +3,11 @@
 A share of the documents proposes the phrases that are probably frequent (a lowered threshold). One pass over all documents then
 counts exactly these and their negative border: the phrases that are not proposed although all of their words but the last, and
 all but the first, are. A border phrase that turns out to be frequent is a failure; it may have frequent extensions that nothing
-counted, so a further pass counts those, until no pass finds a failure. The frequent phrases are then complete, with exact counts.
+counted. A further pass counts every phrase around a failure whose parts are frequent or counted by that same pass, which closes the search:
+all frequent phrases are then found, with exact counts.
 
 The border is never listed: whether an occurrence belongs to it follows from the proposed phrases, which workers hold as a filter of
-bounded size. A wrong yes of the filter only makes a pass count a phrase too many. Phrases are identified by 128 bit hashes.
+bounded size. A wrong yes of the filter only makes a pass count a phrase too many. Phrases are identified by hashes of 95 bits.
 """
 
 from __future__ import annotations
@@ -29,8 +30,13 @@ SHARE = 0.1
 EASE = 0.6
 #: Bits of the filter per phrase, up to the most bits that it may have (32 MB); probes per phrase.
 BITS, MOST_BITS, PROBES = 16, 1 << 28, 4
-#: Counts that a task holds before it hands them on.
-HELD = 3_000_000
+#: Words of a language that a task remembers at a time.
+MOST_WORDS = 500_000
+#: Counts that a task holds before it sums them up; characters that it handles at a time.
+HELD = 1_500_000
+CHARACTERS = 1_000_000
+#: Occurrences per range of hashes; the ranges' number follows the words in the sample.
+PER_RANGE = 3_000_000
 STEP = np.uint64(0x9E3779B97F4A7C15)
 STEP2 = np.uint64(0xD6E8FEB86659FD93)
 
@@ -38,25 +44,46 @@ STEP2 = np.uint64(0xD6E8FEB86659FD93)
 _BYTES = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ,;:!?\n\x0b\x0c\r\t", b"abcdefghijklmnopqrstuvwxyz......... ")
 
 
-class Vocabulary(dict):
-    """Numbers of the words met so far, with two 64 bit hashes each; the mark between pieces is number 0."""
+def words_of(texts: list[str]) -> list[bytes]:
+    """Lower-cased words of texts, with a full stop on its own wherever a piece ends."""
+    whole = ".".join(texts).encode("utf-8", "replace")
+    return whole.translate(_BYTES).replace(b".", b" . ").split()
 
-    def __init__(self, most: int = 500_000):
+
+class Words(dict):
+    """Numbers of a language's words, with two 64 bit hashes and the occurrences of each, and whether filters have it; number 0 marks the end of a piece."""
+
+    def __init__(self, lang: str, *filters: Membership | None):
         super().__init__({b".": 0})
-        self.most = most
-        self.first, self.second = [0], [0]
+        self.filters = filters
+        self.salt = lang.encode("utf-8", "replace") + b" "
+        self.fresh: list[int] = []
+        self.first, self.second, self.counts = np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.zeros(1, np.int64)
+        self.inside = [np.zeros(1, bool) for _ in filters]
 
     def __missing__(self, word: bytes) -> int:
-        both = xxhash.xxh3_128_intdigest(word)
-        self.first.append(both & 0xFFFFFFFFFFFFFFFF)
-        self.second.append(both >> 64)
-        number = self[word] = len(self.first) - 1
+        self.fresh.append(xxhash.xxh3_128_intdigest(self.salt + word))
+        number = self[word] = len(self)
         return number
 
+    def numbers(self, tokens: list[bytes]) -> np.ndarray:
+        ids = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if self.fresh:
+            low = np.array([h & 0xFFFFFFFFFFFFFFFF for h in self.fresh], np.uint64)
+            self.first = np.concatenate([self.first, low])
+            self.second = np.concatenate([self.second, np.array([h >> 64 for h in self.fresh], np.uint64)])
+            for i, members in enumerate(self.filters):
+                here = np.ones(len(low), bool) if members is None else members.has(low)
+                self.inside[i] = np.concatenate([self.inside[i], here])
+            self.counts = np.concatenate([self.counts, np.zeros(len(low), np.int64)])
+            self.fresh = []
+        return ids
+
 
-def words_of(text: str) -> list[bytes]:
-    """Lower-cased words, with a full stop on its own wherever a piece ends."""
-    return text.encode("utf-8", "replace").translate(_BYTES).replace(b".", b" . ").split()
+def _by_lang(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[str, list[str]]]:
+    for batch in (part for whole in batches for part in slices(whole, "_text", CHARACTERS)):
+        for lang, rows in batch.groupby("_lang", sort=False):
+            yield lang, rows["_text"].tolist()
 
 
 class Membership:
@@ -111,148 +138,182 @@ def membership(keys: DataFrame, column: str = "g") -> Membership:
     return Membership(bits)
 
 
-class Counts:
-    """Occurrences by hash pair, summed up whenever enough have come together."""
-
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        self.rows = 0
-
-    def add(self, g: np.ndarray, e: np.ndarray, n: np.ndarray | None = None) -> None:
-        if len(g):
-            part = _summed(g, e, np.ones(len(g), np.int64) if n is None else n)
-            self.parts.append(part)
-            self.rows += len(part[0])
-
-    def merged(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        if len(self.parts) > 1:
-            self.parts = [_summed(*map(np.concatenate, zip(*self.parts, strict=True)))]
-            self.rows = len(self.parts[0][0])
-        return self.parts[0] if self.parts else (np.zeros(0, np.uint64),) * 2 + (np.zeros(0, np.int64),)
-
-
-def _summed(g: np.ndarray, e: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _groups(g: np.ndarray, e: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """An order that brings equal hash pairs together, and where in it each distinct pair begins."""
     order = np.argsort(g)
-    g, e, n = g[order], e[order], n[order]
-    new = np.concatenate([[True], g[1:] != g[:-1]])
-    if np.any(~new[1:] & (e[1:] != e[:-1])):  # equal in the first hash, not in the second
+    in_order, other = g[order], e[order]
+    new = np.concatenate([[True], in_order[1:] != in_order[:-1]])
+    if np.any(~new[1:] & (other[1:] != other[:-1])):  # equal in the first hash, not in the second
         order = np.lexsort((e, g))
-        g, e, n = g[order], e[order], n[order]
-        new = np.concatenate([[True], (g[1:] != g[:-1]) | (e[1:] != e[:-1])])
-    first = np.flatnonzero(new)
-    return g[first], e[first], np.add.reduceat(n, first)
+        new = np.concatenate([[True], (g[order][1:] != g[order][:-1]) | (e[order][1:] != e[order][:-1])])
+    return order, np.flatnonzero(new)
 
 
-OCCURRENCES = "g long, e long, n long, lang string, phrase string"
+def _tag(second: np.ndarray) -> np.ndarray:
+    """What is kept of the second hash: 31 bits, never 0."""
+    return second.astype(np.uint32) | np.uint32(1)
 
 
-def _pass(shortest: int, longest: int, probed: int, known: object, fresh: object, naming: object, total: bool):
-    """Counts the phrases of ``shortest`` to ``longest`` words, each task its own documents.
+class Counts:
+    """Occurrences by hash pair, summed up whenever enough have come together and handed on in ranges of the first hash."""
 
-    Of a phrase longer than one word, both parts that lack an end word must be in ``known`` if they have at most ``probed``
-    words, and one of them in ``fresh`` where that is given. Of phrases in ``naming``, some occurrences also bring
-    the words. With ``total`` a row of hashes 0 per language has its number of words.
+    def __init__(self, ranges: int) -> None:
+        self.ranges = ranges
+        self.parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        self.rows = 0
+
+    def add(self, g: np.ndarray, e: np.ndarray, n: np.ndarray) -> None:
+        self.parts.append((g, e, n))
+        self.rows += len(g)
+
+    def out(self, most: int) -> Iterator[pd.DataFrame]:
+        """What is held, if that is more than ``most`` also after summing up."""
+        if self.rows <= most:
+            return
+        g, e, n = map(np.concatenate, zip(*self.parts, strict=True))
+        order, first = _groups(g, e)
+        g, e, n = g[order[first]], e[order[first]], np.add.reduceat(n[order], first)
+        self.parts, self.rows = [(g, e, n)], len(g)
+        if self.rows > most // 2:
+            self.parts, self.rows = [], 0
+            n = n.astype(np.uint32)
+            bounds = np.searchsorted((g >> np.uint64(32)) * np.uint64(self.ranges) >> np.uint64(32), np.arange(self.ranges + 1, dtype=np.uint64))
+            filled = np.flatnonzero(np.diff(bounds))
+            for some in np.array_split(filled, max(1, len(filled) // 1000)):
+                cuts = [slice(bounds[r], bounds[r + 1]) for r in some]
+                yield pd.DataFrame({"range": some, "g": [g[c].tobytes() for c in cuts], "e": [e[c].tobytes() for c in cuts], "n": [n[c].tobytes() for c in cuts]})
+
+
+def _merging(least: int):
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        g, e, n = (np.frombuffer(b"".join(group[c]), t) for c, t in (("g", np.uint64), ("e", np.uint32), ("n", np.uint32)))
+        order, first = _groups(g, e)
+        sums = np.add.reduceat(n[order], first, dtype=np.int64)
+        enough = first[sums >= least]
+        return pd.DataFrame({"g": g[order[enough]].view(np.int64), "e": e[order[enough]].view(np.int32), "n": sums[sums >= least]})
+
+    return merge
+
+
+def _counting(shortest: int, longest: int, probed: int, known: object, ranges: int):
+    """Counts phrases of ``shortest`` to ``longest`` words, each task those of its own documents.
+
+    Both parts of a phrase that lack one end word must be in ``known`` if they have at most ``probed`` words. Words are all
+    counted where ``shortest`` is 1, and a row of a language's hash and 0 then holds their sum.
     """
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        members = known and known.value
-        newly = fresh and fresh.value
-        named = naming and naming.value
-        vocabulary, counts = Vocabulary(), Counts()
-        words_by_lang: dict[str, int] = {}
-        recent = np.zeros(1 << 18, np.uint64)
-
-        def out() -> pd.DataFrame:
-            g, e, n = counts.merged()
-            counts.parts, counts.rows = [], 0
-            nothing = np.full(len(g), None, object)
-            return pd.DataFrame({"g": g.view(np.int64), "e": e.view(np.int64), "n": n, "lang": nothing, "phrase": nothing})
-
-        for batch in (part for whole in batches for part in slices(whole, "_text")):
-            if len(vocabulary) > vocabulary.most:
-                vocabulary = Vocabulary()
-            texts = [words_of(t) + [b"."] for t in batch["_text"]]
-            lengths = np.fromiter(map(len, texts), np.int64, len(texts))
-            tokens = [w for t in texts for w in t]
-            ids = np.fromiter(map(vocabulary.__getitem__, tokens), np.int64, len(tokens))
-            langs = batch["_lang"].tolist()
-            salts = np.array([xxhash.xxh3_128_intdigest(s.encode("utf-8", "replace")) & 0xFFFFFFFFFFFFFFFF for s in langs], np.uint64)
-            salt = np.repeat(salts, lengths)
-            w1, w2 = (np.array(h, np.uint64)[ids] for h in (vocabulary.first, vocabulary.second))
-            real = ids != 0
-            if total:
-                ends = lengths.cumsum()
-                for lang, n in zip(langs, np.add.reduceat(real, ends - lengths) if len(ends) else [], strict=True):
-                    words_by_lang[lang] = words_by_lang.get(lang, 0) + int(n)
-            at = np.flatnonzero(real)
-            g, e = mix(w1[at] ^ salt[at]), mix(w2[at] + salt[at] * STEP)
-            for k in range(1, longest + 1):
-                if k > 1:
-                    # Windows of one word less that begin at the next position, in the order of `at`.
-                    follows = np.searchsorted(at, at + 1)
-                    near = (follows < len(at)) & (at[np.minimum(follows, len(at) - 1)] == at + 1) if len(at) else np.zeros(0, bool)
-                    ok = near & inside
-                    ok[ok] &= inside[follows[ok]]
-                    first = np.flatnonzero(ok)
-                    if newly is not None:
-                        use = novel[first] | novel[follows[first]]
-                    at, last = at[first], at[first] + k - 1
-                    g, e = mix(g[first] * STEP + w1[last]), mix(e[first] * STEP2 + w2[last])
+        members = known and Membership(known.value)
+        vocabularies: dict[str, Words] = {}
+        counts = Counts(ranges)
+
+        def words_seen(lang: str, words: Words) -> None:
+            if shortest == 1:
+                seen = np.flatnonzero(words.counts)
+                counts.add(words.first[seen], _tag(words.second[seen]), words.counts[seen])
+                key = xxhash.xxh64_intdigest(lang.encode("utf-8", "replace"), seed=42)  # as Spark hashes a string
+                counts.add(np.array([key], np.uint64), np.zeros(1, np.uint32), words.counts.sum(keepdims=True))
+
+        for lang, texts in _by_lang(batches):
+            words = vocabularies.setdefault(lang, Words(lang, members if probed else None))
+            ids = words.numbers(words_of(texts))
+            words.counts += np.bincount(ids, minlength=len(words.counts))
+            words.counts[0] = 0
+            g, e, inside = words.first[ids], words.second[ids], words.inside[0][ids]
+            for k in range(2, longest + 1):
+                at = np.flatnonzero(inside[:-1] & inside[1:])
+                last = ids[at + k - 1]
+                g[at] = here = mix(g[at] * STEP + words.first[last])
+                e[at] = there = mix(e[at] * STEP2 + words.second[last])
                 if k >= shortest:
-                    if newly is not None and k > 1:
-                        counts.add(g[use], e[use])
-                    elif newly is None:
-                        counts.add(g, e)
-                inside = members.has(g) if members is not None and k <= probed else np.ones(len(g), bool)
-                novel = newly.has(g) if newly is not None and k < longest else None
-                if named is not None:
-                    hit = np.flatnonzero(named.has(g))
-                    slot = (g[hit] & np.uint64(len(recent) - 1)).astype(np.int64)
-                    hit, slot = hit[recent[slot] != g[hit]], slot[recent[slot] != g[hit]]
-                    if len(hit):
-                        recent[slot] = g[hit]
-                        _, one = np.unique(g[hit], return_index=True)
-                        hit = hit[one]
-                        rows = np.searchsorted(lengths.cumsum(), at[hit], "right")
-                        yield pd.DataFrame(
-                            {
-                                "g": g[hit].view(np.int64),
-                                "e": e[hit].view(np.int64),
-                                "n": np.zeros(len(hit), np.int64),
-                                "lang": [langs[r] for r in rows],
-                                "phrase": [b" ".join(tokens[i : i + k]).decode() for i in at[hit]],
-                            }
-                        )
-            if counts.rows > HELD:
-                counts.merged()
-                if counts.rows > HELD // 2:
-                    yield out()
-        if counts.parts:
-            yield out()
-        if words_by_lang:
-            many = len(words_by_lang)
-            yield pd.DataFrame({"g": [0] * many, "e": [0] * many, "n": list(words_by_lang.values()), "lang": list(words_by_lang), "phrase": [None] * many})
+                    counts.add(here, _tag(there), np.ones(len(at), np.int64))
+                if k < longest:
+                    inside = np.zeros(len(ids), bool)
+                    inside[at] = members.has(here) if k <= probed else True
+            if len(words) > MOST_WORDS:
+                words_seen(lang, vocabularies.pop(lang))
+            yield from counts.out(HELD)
+        for lang, words in vocabularies.items():
+            words_seen(lang, words)
+        yield from counts.out(0)
 
     return count
 
 
-def _counted(docs: DataFrame, least: int, shortest: int, longest: int, probed: int, known=None, fresh=None, naming=None, total=False) -> DataFrame:
-    """Phrases found at least ``least`` times, and rows that only bring a phrase's words, stored: g, e, n, lang, phrase."""
-    context = docs.sparkSession.sparkContext
-    shared = [None if m is None else context.broadcast(m) for m in (known, fresh, naming)]
-    rows = docs.mapInPandas(_pass(shortest, longest, probed, *shared, total), OCCURRENCES)
-    summed = rows.groupBy("g", "e", F.when((F.col("g") == 0) & (F.col("e") == 0), F.col("lang")).alias("_of")).agg(
-        F.sum("n").alias("n"), F.max("lang").alias("lang"), F.max("phrase").alias("phrase")
+def _naming(longest: int, known: object, fresh: object):
+    """Counts and spells out the phrases of ``fresh``. With ``known``, also every longer phrase around one of them whose
+    parts that lack one end word are in ``known`` or counted here themselves."""
+
+    def name(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        members, new = known and Membership(known.value), Membership(fresh.value)
+        vocabularies: dict[str, Words] = {}
+        for lang, texts in _by_lang(batches):
+            words = vocabularies.setdefault(lang, Words(lang, new, members))
+            tokens = words_of(texts)
+            ids = words.numbers(tokens)
+            g, e, novel, usable = words.first[ids], words.second[ids], words.inside[0][ids], (words.inside[0] | words.inside[1])[ids]
+            found = [(1, np.flatnonzero(novel))]
+            hashes = [(g[found[0][1]], e[found[0][1]])]
+            for k in range(2, longest + 1):
+                at = np.flatnonzero(usable[:-1] & usable[1:])
+                last = ids[at + k - 1]
+                g[at] = here = mix(g[at] * STEP + words.first[last])
+                e[at] = there = mix(e[at] * STEP2 + words.second[last])
+                hit = new.has(here)
+                if members is not None:
+                    hit |= novel[at] | novel[at + 1]
+                found.append((k, at[hit]))
+                hashes.append((here[hit], there[hit]))
+                if k < longest:
+                    novel, usable = np.zeros(len(ids), bool), np.zeros(len(ids), bool)
+                    novel[at] = hit
+                    usable[at] = True if members is None else hit | members.has(here)
+            for (k, at), (here, there) in zip(found, hashes, strict=True):
+                if len(at):
+                    there = _tag(there)
+                    order, first = _groups(here, there)
+                    one, n = order[first], np.diff([*first, len(at)])
+                    spelled = [b" ".join(tokens[i : i + k]).decode() for i in at[one]]
+                    yield pd.DataFrame({"g": here[one].view(np.int64), "e": there[one].view(np.int32), "n": n, "lang": lang, "phrase": spelled})
+            if len(words) > MOST_WORDS:
+                vocabularies.pop(lang)
+
+    return name
+
+
+def _shared(docs: DataFrame, filter_: Membership | None):
+    return None if filter_ is None else docs.sparkSession.sparkContext.broadcast(filter_.bits)
+
+
+def _counted(docs: DataFrame, least: int, shortest: int, longest: int, probed: int, words: int, known: Membership | None = None) -> DataFrame:
+    """Phrases met at least ``least`` times, stored: g, e, n. ``words`` is about the number of words in ``docs``."""
+    ranges = max(4, -(-words // PER_RANGE))
+    count = _counting(shortest, longest, probed, _shared(docs, known), ranges)
+    rows = docs.mapInPandas(count, "range int, g binary, e binary, n binary")
+    return stored(rows.groupBy("range").applyInPandas(_merging(least), "g long, e int, n long"), "phrase-counts")
+
+
+def _named(docs: DataFrame, least: int, longest: int, fresh: Membership, known: Membership | None = None) -> DataFrame:
+    """Phrases with their words, stored: g, e, n, lang, phrase."""
+    rows = docs.mapInPandas(
+        _naming(longest, _shared(docs, known), _shared(docs, fresh)), "g long, e int, n long, lang string, phrase string"
     )
-    return stored(summed.filter((F.col("n") >= least) | F.col("phrase").isNotNull() | F.col("_of").isNotNull()).drop("_of"), "phrase-counts")
+    summed = rows.groupBy("g", "e").agg(F.sum("n").alias("n"), F.min("lang").alias("lang"), F.min("phrase").alias("phrase"))
+    return stored(summed.filter(F.col("n") >= least), "phrase-names")
 
 
 def frequent(
-    docs: DataFrame, least: int = LEAST, longest: int = LONGEST, text_col: str = "text", lang_col: str = "lang", share: float = SHARE, id_col: str = "doc_id"
+    docs: DataFrame,
+    least: int = LEAST,
+    longest: int = LONGEST,
+    text_col: str = "text",
+    lang_col: str = "lang",
+    share: float = SHARE,
+    id_col: str = "doc_id",
 ) -> tuple[DataFrame, DataFrame]:
-    """All phrases of 1 to ``longest`` words that occur ``least`` times in a language: lang, phrase, f; and the languages: lang, n.
+    """All phrases of 1 to ``longest`` words that occur ``least`` times in a language: lang, phrase, f; and the languages' words: lang, n.
 
-    Exact whatever the sample holds: it only decides how many passes there are. The sample takes rows by a hash of id and text.
+    Exact whatever the sample holds: it only decides how much the passes count. The sample takes rows by a hash of id and text.
     Both tables are stored.
     """
     small_batches(docs.sparkSession, 3000)
@@ -263,34 +324,28 @@ def frequent(
     sample = stored(given.filter(chosen).drop("_id"), "phrase-sample")
     given = given.drop("_id")
     lowered = max(1, int(EASE * share * least))
+    # About as many words as the sample has characters over six; only the number of ranges depends on it.
+    words = int((sample.agg(F.sum(F.length("_text"))).first()[0] or 0) / 6) + 1
 
-    short = _counted(sample, lowered, 1, min(2, longest), 0).select("g", "e")
-    pairs = membership(short)
-    proposed = short
+    proposed = _counted(sample, lowered, 1, min(2, longest), 0, words).filter("e <> 0").select("g", "e")
     if longest > 2:
-        proposed = short.unionByName(_counted(sample, lowered, 3, longest, 2, known=pairs).select("g", "e"))
-    proposed = stored(proposed, "phrase-proposed")
-
+        longer = _counted(sample, lowered, 3, longest, 2, 2 * words, membership(proposed))
+        proposed = stored(proposed.unionByName(longer.select("g", "e")), "phrase-proposed")
     members = membership(proposed)
-    counted = [_counted(given, least, 1, longest, longest - 1, known=members, naming=members, total=True)]
-    known = proposed
-    while True:
-        found = counted[-1].filter((F.col("g") != 0) & (F.col("n") >= least)).select("g", "e")
-        failures = stored(found.join(known, ["g", "e"], "left_anti"), "phrase-failures")
-        if failures.isEmpty():
-            break
-        known = stored(known.unionByName(failures), "phrase-known")
-        both = membership(known), membership(failures)
-        counted.append(_counted(given, least, 2, longest, longest - 1, known=both[0], fresh=both[1], naming=both[1]))
-
-    every = counted[0]
-    for more in counted[1:]:
-        every = every.unionByName(more)
-    is_total = (F.col("g") == 0) & (F.col("e") == 0)
-    # A phrase has one count, from the pass that counted it, and its words from that or the next pass.
-    phrases = every.filter(~is_total).groupBy("g", "e").agg(F.max("n").alias("f"), F.max("lang").alias("lang"), F.max("phrase").alias("phrase"))
-    phrases = stored(phrases.filter(F.col("f") >= least).select("lang", "phrase", "f"), "phrases")
-    return phrases, stored(counted[0].filter(is_total).select("lang", "n"), "phrase-languages")
+    named = _named(sample, 1, longest, members).select("g", "e", "lang", "phrase")
+
+    counted = _counted(given, least, 1, longest, longest - 1, int(words / share), members)
+    found = counted.filter("e <> 0")
+    failures = stored(found.join(proposed, ["g", "e"], "left_anti").select("g", "e"), "phrase-failures")
+    known = membership(stored(proposed.unionByName(failures), "phrase-known"))
+    more = _named(given, least, longest, membership(failures), known)
+
+    # The sample named what it proposed, the last pass names whatever it counts.
+    first = found.join(named, ["g", "e"]).select("g", "e", "lang", "phrase", F.col("n").alias("f"))
+    both = first.unionByName(more.join(first, ["g", "e"], "left_anti").select("g", "e", "lang", "phrase", F.col("n").alias("f")))
+    totals = counted.filter("e = 0").select(F.col("g").alias("_key"), "n")
+    langs = given.groupBy(F.col("_lang").alias("lang")).count().select("lang", F.xxhash64("lang").alias("_key"))
+    return stored(both.select("lang", "phrase", "f"), "phrases"), stored(langs.join(totals, "_key").select("lang", "n"), "phrase-languages")
 
 
 def _whole(column: Column) -> Column:
