@@ -1,8 +1,9 @@
 """Mixing sources to target weights by Pareto order sampling.
 
-A document's expected number of copies is its source's target over its source's size. The whole part is
-given to every document for certain. The fraction is an inclusion probability: documents are ranked by
-random odds divided by inclusion odds, and the ranking's shortest prefix that comes nearest to the words
+A source's ratio is its target over its size. The ratio's whole part is given to every document for certain. What is missing
+then is drawn with unequal probabilities: a document's inclusion probability grows with a power of its size (by default the fourth
+root), scaled so that the source's expected words are those missing, and no higher than 1. Documents are
+ranked by random odds divided by inclusion odds, and the ranking's shortest prefix that comes nearest to the words
 still missing is taken. So every source hits its target up to half a document, whatever the draw.
 """
 
@@ -19,6 +20,10 @@ from evenhand.llm.common import WORD, stored
 MOST = 3.0
 BINS = 4096
 SEED = "mixing"
+#: Power of its size that a document's inclusion probability grows with.
+POWER = 0.25
+#: Inclusion probabilities take steps of an eighth of an octave, so that their scale follows from few sums per source.
+STEPS = 8
 
 
 def words(text_col: str = "text") -> Column:
@@ -56,6 +61,40 @@ def targets(sizes: DataFrame, weights: Sequence[float] = (1, 2, 3), most: float
     return weighted.withColumn("target", F.least("_cap", F.lit(share) * F.col("_weight"))).drop("_weight", "_cap")
 
 
+def _fractions(sized: DataFrame, planned: DataFrame) -> DataFrame:
+    """``planned`` with _whole, the certain copies, and per class of documents (_class, step of the preference) their probability _p.
+
+    The highest classes are certain where their scaled preference passes 1; the scale is that of the first class that stays below.
+    One row per source and class reaches the windows.
+    """
+    by_class = sized.groupBy("_source", "_class").agg(F.sum("_size").alias("_words"))
+    by_class = join_small(by_class, planned, ["_source"]).withColumn("_liked", F.pow(F.lit(2.0), F.col("_class") / STEPS))
+    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
+    by_class = by_class.withColumn("_whole", F.floor(ratio)).withColumn("_part", ratio - F.floor(ratio))
+    source = Window.partitionBy("_source")
+    higher = source.orderBy(F.desc("_class")).rowsBetween(Window.unboundedPreceding, -1)
+    here_on = source.orderBy(F.desc("_class")).rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    missing = F.col("_part") * F.col("source_size") - F.coalesce(F.sum("_words").over(higher), F.lit(0))
+    scaled = by_class.withColumn("_scale", missing / F.nullif(F.sum(F.col("_liked") * F.col("_words")).over(here_on), F.lit(0.0)))
+    fits = F.col("_scale") * F.col("_liked") <= 1.0
+    scale = F.max_by(F.when(fits, F.col("_scale")), F.when(fits, F.col("_class"))).over(source)
+    p = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(scale, F.lit(0.0)) * F.col("_liked")))
+    # Documents above the scale's class are certain; without any words nothing is drawn.
+    return scaled.withColumn("_p", F.when(F.col("_part") > 0, p).otherwise(0.0)).drop("_words", "_liked", "_scale")
+
+
+def _cut(groups: DataFrame, left: DataFrame, by: list[str], key: str) -> DataFrame:
+    """Per source, the first ``key`` at which the words of ``groups`` (_source, ``by``, ``key``, _words) pass those left (_source, ``by``, _left).
+
+    Gives _source, ``by``, ``key`` and the words then left.
+    """
+    before = Window.partitionBy("_source").orderBy(key).rowsBetween(Window.unboundedPreceding, -1)
+    upto = join_small(groups, left, ["_source", *by]).withColumn("_before", F.coalesce(F.sum("_words").over(before), F.lit(0)))
+    last = upto.filter(F.col("_before") < F.col("_left")).groupBy("_source")
+    found = last.agg(F.max_by(F.struct(*by, key, (F.col("_left") - F.col("_before")).alias("_left")), key).alias("_c"))
+    return stored(found.select("_source", "_c.*"), "mix-cuts")
+
+
 def mix(
     docs: DataFrame,
     size: Column | None = None,
@@ -65,77 +104,73 @@ def mix(
     text_col: str = "text",
     source_col: str = "source",
     preference: Column | None = None,
+    seed: str = SEED,
 ) -> DataFrame:
     """``docs`` with size, source_size, target, copies and taken (copies times size).
 
-    ``size`` defaults to the number of words. ``preference`` (positive, mean about 1; default 1 for all) scales a
-    document's expected copies within its source, up to ``most``. Columns named like the results are replaced.
-    ``docs`` is read twice and must be a table or stored rows; draws hash the id, so reruns agree.
-    Rows alike in id and size tie and are taken together at the boundary. Empty documents cost nothing and
-    may get any number of copies. An empty table gives no rows.
+    ``size`` defaults to the number of words. ``preference`` (positive; by default a power of the size) is what inclusion
+    probabilities are proportional to within a source, in steps of an eighth of an octave. Columns named like the results are replaced.
+    Draws hash the id and the text (the size where there is no text), so reruns agree; rows alike in both tie, and as many of
+    them are taken as the target needs. Null ids and repeated rows are documents like others. Empty documents cost nothing
+    and may get any number of copies. An empty table gives no rows.
 
     No source is collected or sorted whole: counts per (source, bin of the ranking) find the bin where
-    the target falls, and only that bin's documents, about one in ``BINS``, are ordered.
+    the target falls, and only that bin's ranks, about one in ``BINS``, are ordered; within one rank, input partitions
+    are counted before the rows of one of them are.
     """
     names = ["size", "source_size", "target", "copies", "taken"]
-    counted = docs.withColumn("_size", words(text_col) if size is None else size)
-    sized = counted.drop(*names).withColumn("_source", _source_key(source_col))
-    if preference is not None:
-        sized = sized.withColumn("_preference", preference.cast("double"))
-    own = ["_size", "_source", *(["_preference"] if preference is not None else [])]
-    lean = stored(sized.select(F.col(id_col), F.col(id_col).alias("_id"), *own), "mix-sizes")
-    sizes = stored(lean.groupBy("_source").agg(F.sum("_size").alias("source_size")), "mix-sources")
+    counted = docs.withColumn("_size", words(text_col) if size is None else size.cast("long"))
+    told = text_col if text_col in docs.columns else "_size"
+    counted = counted.withColumn("_draw", F.xxhash64(F.lit(seed), F.col(id_col), F.col(told).cast("string")))
+    liked = F.pow(F.greatest("_size", F.lit(1)).cast("double"), F.lit(POWER)) if preference is None else preference.cast("double")
+    step = F.when(liked > 0, F.round(F.log2(liked) * STEPS)).otherwise(0.0)
+    sized = counted.withColumn("_class", F.coalesce(step, F.lit(0.0)).cast("int")).drop(*names).withColumn("_source", _source_key(source_col))
+    # A stored number tells rows apart that are alike in everything.
+    sized = stored(sized.withColumn("_row", F.monotonically_increasing_id()), "mix-rows")
+    sizes = stored(sized.groupBy("_source").agg(F.sum("_size").alias("source_size")), "mix-sources")
     planned = targets(sizes, weights, most)
+    shares = stored(_fractions(sized, planned), "mix-shares")
 
-    draw = F.shiftrightunsigned(F.xxhash64(F.lit(SEED), F.col(id_col)), 11).cast("double") * F.lit(2.0**-53) + F.lit(2.0**-54)
-    ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(0.0)
-    part = ratio - F.floor(ratio)
+    draw = F.shiftrightunsigned("_draw", 11).cast("double") * F.lit(2.0**-53) + F.lit(2.0**-54)
 
     def odds(p: Column) -> Column:
         return p / (F.lit(1.0) - p)
 
     def ranked(df: DataFrame) -> DataFrame:
-        expected = ratio if preference is None else F.least(F.lit(float(most)), ratio * F.col("_preference"))
-        df = df.withColumn("_certain", F.floor(expected)).withColumn("_p", expected - F.floor(expected))
+        df = join_small(df, shares, ["_source", "_class"])
         # Odds are taken relative to the source's own, which keeps the order and spreads ranks over (0, 1).
-        relative = F.when(part > 0, odds(F.col("_p")) / odds(part)).otherwise(odds(F.col("_p")))
-        q = odds(draw) / relative
-        df = df.withColumn("_rank", F.when(F.col("_p") > 0, q / (F.lit(1.0) + q)))
+        q = odds(draw) * odds(F.col("_part")) / odds(F.col("_p"))
+        drawn = (F.col("_p") > 0) & (F.col("_p") < 1)
+        df = df.withColumn("_rank", F.when(drawn, q / (F.lit(1.0) + q)))
+        df = df.withColumn("_sure", F.col("_whole") + F.when(F.col("_p") >= 1, 1).otherwise(0))
         return df.withColumn("_bin", F.least(F.lit(BINS - 1), F.floor(F.col("_rank") * BINS)))
 
-    narrow = ranked(join_small(lean, planned, ["_source"]))
-    bins = narrow.groupBy("_source", "_bin").agg(
-        F.sum(F.when(F.col("_bin").isNotNull(), F.col("_size"))).alias("_in_bin"),
-        F.sum(F.col("_certain") * F.col("_size")).alias("_sure"),
-    )
-    whole = Window.partitionBy("_source")
-    upto = whole.orderBy(F.col("_bin").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    bins = stored(
-        bins.withColumn("_certain_words", F.sum("_sure").over(whole)).withColumn("_before", F.coalesce(F.sum("_in_bin").over(upto), F.lit(0))),
-        "mix-bins",
-    )
-    missing = F.col("target") - F.col("_certain_words")
-    cut = (
-        join_small(bins.filter(F.col("_bin").isNotNull()), planned, ["_source"])
-        .filter(F.col("_before") < missing)
-        .groupBy("_source")
-        .agg(F.max_by(F.struct(F.col("_bin").alias("_cut"), (missing - F.col("_before")).alias("_left")), "_bin").alias("_b"))
-        .select("_source", "_b.*")
-    )
-    cut = stored(cut, "mix-cuts")
-    inside = join_small(narrow, cut, ["_source"]).filter(F.col("_bin") == F.col("_cut"))
-    order = Window.partitionBy("_source").orderBy("_rank", "_id", "_size").rowsBetween(Window.unboundedPreceding, -1)
-    last = (
-        inside.withColumn("_words", F.coalesce(F.sum("_size").over(order), F.lit(0)))
-        .filter(F.col("_words") + F.col("_size") / 2 <= F.col("_left"))
-        .groupBy("_source")
-        .agg(F.max(F.struct("_rank", F.col("_id").alias("_id"), "_size")).alias("_last"))
-    )
-    boundary = stored(planned.join(cut.drop("_left"), "_source", "left").join(last, "_source", "left"), "mix-boundaries")
-    out = ranked(join_small(sized, boundary, ["_source"]))
-    here = F.struct(F.col("_rank").alias("_rank"), F.col(id_col).alias("_id"), F.col("_size").alias("_size"))
-    taken = (F.col("_bin") < F.col("_cut")) | ((F.col("_bin") == F.col("_cut")) & (here <= F.col("_last")))
-    copies = F.col("_certain") + F.coalesce(taken, F.lit(False)).cast("int")
+    part = F.shiftright("_row", 33)
+    narrow = ranked(sized.select("_source", "_class", "_size", "_draw", "_row"))
+    sure = narrow.groupBy("_source").agg(F.sum(F.col("_sure") * F.col("_size")).alias("_sure_words"))
+    left = join_small(sure, planned, ["_source"]).select("_source", (F.col("target") - F.col("_sure_words")).alias("_left"))
+    drawn = narrow.filter(F.col("_bin").isNotNull()).withColumn("_part_of", part)
+    total = F.sum("_size").alias("_words")
+    left = stored(left, "mix-left")
+    bins = _cut(drawn.groupBy("_source", "_bin").agg(total), left, [], "_bin")
+    ranks = _cut(join_small(drawn, bins.select("_source", "_bin"), ["_source", "_bin"]).groupBy("_source", "_bin", "_rank").agg(total), bins, ["_bin"], "_rank")
+    parts = _cut(
+        join_small(drawn, ranks.select("_source", "_rank"), ["_source", "_rank"]).groupBy("_source", "_bin", "_rank", "_part_of").agg(total),
+        ranks, ["_bin", "_rank"], "_part_of",
+    )
+    inside = join_small(drawn, parts, ["_source", "_bin", "_rank", "_part_of"])
+    order = Window.partitionBy("_source").orderBy("_row").rowsBetween(Window.unboundedPreceding, -1)
+    nearest = F.coalesce(F.sum("_size").over(order), F.lit(0)) + F.col("_size") / 2 <= F.col("_left")
+    last = inside.withColumn("_taken", nearest).groupBy("_source").agg(
+        F.first("_bin").alias("_cut_bin"), F.first("_rank").alias("_cut_rank"), F.first("_part_of").alias("_cut_part"),
+        F.max(F.when(F.col("_taken"), F.col("_row"))).alias("_cut_row"),
+    )
+    boundary = stored(last, "mix-boundaries")
+    out = join_small(ranked(sized), boundary, ["_source"], "left")
+    here = F.struct(F.col("_rank").alias("rank"), part.alias("part"), F.col("_row").alias("row"))
+    cut = F.struct(F.col("_cut_rank").alias("rank"), F.col("_cut_part").alias("part"), F.coalesce("_cut_row", F.lit(-1)).cast("long").alias("row"))
+    taken = (F.col("_bin") < F.col("_cut_bin")) | ((F.col("_bin") == F.col("_cut_bin")) & (here <= cut))
+    copies = F.col("_sure") + F.coalesce(taken, F.lit(False)).cast("int")
     kept = [c for c in docs.columns if c not in names]
     return out.select(
         *kept, F.col("_size").alias("size"), "source_size", "target", copies.cast("long").alias("copies"), (copies * F.col("_size")).cast("long").alias("taken")

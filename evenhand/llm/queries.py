@@ -81,8 +81,9 @@ def op6_trie_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_pareto_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
-    sized = documents(spark, sf_dir).select("doc_id", "source", mixing.words().alias("size"))
-    return mixing.mix(sized, size=F.col("size")).drop("source")
+    text = F.xxhash64("text").alias("text")  # stands for the text in draws
+    sized = documents(spark, sf_dir).select("doc_id", "source", text, mixing.words().alias("size"))
+    return mixing.mix(sized, size=F.col("size")).drop("source", "text")
 
 
 def op8_bloom_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

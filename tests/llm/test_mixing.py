@@ -36,7 +36,7 @@ def check(got, rows):
         taken[r["source"]] += r["taken"]
         largest[r["source"]] = max(largest[r["source"]], r["size"])
     for s in sizes:
-        assert abs(taken[s] - expected[s]) <= max(1, 2 * largest[s])
+        assert abs(taken[s] - expected[s]) <= max(1, largest[s] / 2)
     return taken, expected
 
 
@@ -78,3 +78,92 @@ def test_a_column_named_size_is_replaced_by_the_words(spark, docs, rows):
     got = mixing.mix(with_clashes(docs, ["size", "source_size", "taken"])).collect()
     check(got, rows)
     check(mixing.mix(docs.withColumn("size", F.lit(7) + F.length("lang"))).collect(), rows)
+
+
+def sequential_pareto(rows, ratio, probability, draw):
+    """Certain copies, then rows by odds of the draw over inclusion odds until the words missing are met as nearly as can be."""
+    total = sum(size for _, size in rows)
+    copies = {i: int(ratio) + (probability[size] >= 1) for i, size in rows}
+    left = ratio * total - sum(copies[i] * size for i, size in rows)
+    order = sorted(
+        ((u / (1 - u)) / (probability[size] / (1 - probability[size])), i, size) for i, size in rows if 0 < probability[size] < 1 for u in [draw[i]]
+    )
+    for _, i, size in order:
+        if size / 2 > left:
+            break
+        copies[i] += 1
+        left -= size
+    return copies
+
+
+def probabilities(rows, ratio, power=mixing.POWER, steps=mixing.STEPS):
+    """Inclusion probability per size, solved by bisection instead of class by class."""
+    import math
+
+    part = ratio - int(ratio)
+    liked = {size: 2 ** (round(math.log2(size**power) * steps) / steps) for _, size in rows}
+    words = sum(size for _, size in rows) * part
+    low, high = 0.0, 1e6
+    for _ in range(200):
+        middle = (low + high) / 2
+        low, high = (middle, high) if sum(size * min(1, middle * liked[size]) for _, size in rows) < words else (low, middle)
+    return {size: min(1.0, high * value) for size, value in liked.items()}
+
+
+def source_table(spark, count=700, seed=3):
+    """Two sources; the first one's target is a fraction of its size, the second one's more than its size."""
+    import random
+
+    rng = random.Random(seed)
+    rows = [(i, "w " * rng.choice([1, 2, 5, 9, 40, 200, 1500]), "a" if i % 3 else "b") for i in range(count)]
+    return rows, spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+
+
+def test_drawn_set_equals_a_sequential_pareto_sample(spark):
+    rows, frame = source_table(spark)
+    got = {r["doc_id"]: r for r in mixing.mix(frame).collect()}
+    bits = {r["doc_id"]: r["h"] for r in frame.select("doc_id", F.xxhash64(F.lit(mixing.SEED), "doc_id", "text").alias("h")).collect()}
+    for source in "ab":
+        mine = [(i, got[i]["size"]) for i, _, s in rows if s == source]
+        ratio = got[mine[0][0]]["target"] / got[mine[0][0]]["source_size"]
+        p = probabilities(mine, ratio)
+        assert len({round(v, 6) for v in p.values()}) > 3  # really unequal
+        draw = {i: ((bits[i] % 2**64) >> 11) * 2.0**-53 + 2.0**-54 for i, _ in mine}
+        assert {i: got[i]["copies"] for i, _ in mine} == sequential_pareto(mine, ratio, p, draw)
+
+
+def test_inclusion_frequencies_are_the_probabilities(spark):
+    rows, frame = source_table(spark, 1500, 8)
+    frame = frame.select("doc_id", "source", mixing.words().alias("size"), F.lit("t").alias("text"))
+    runs, counts = 10, collections.Counter()
+    got = []
+    for seed in range(runs):
+        got = mixing.mix(frame, size=F.col("size"), seed=f"run {seed}").collect()
+        for r in got:
+            counts[r["source"], r["size"]] += r["copies"]
+    for source in "ab":
+        mine = [(r["doc_id"], r["size"]) for r in got if r["source"] == source]
+        ratio = next(r["target"] / r["source_size"] for r in got if r["source"] == source)
+        p = probabilities(mine, ratio)
+        for size, alike in collections.Counter(size for _, size in mine).items():
+            n = runs * alike
+            error = 3 * (max(p[size] * (1 - p[size]), 0.01) / n) ** 0.5 + 0.02
+            assert abs(counts[source, size] / n - int(ratio) - p[size]) < error, (source, size, n)
+
+
+def test_null_equal_and_repeated_rows_meet_the_target(spark):
+    """Rows that differ in the text alone, and rows alike in everything, fill a source."""
+    same = [(7, "five words are in it", "a")] * 3000 + [(None, f"text {i} of five words", "b") for i in range(3000)]
+    same += [(9, f"text {i} of five words", "c") for i in range(3000)] + [(None, None, "d"), (None, "x", "d")]
+    frame = spark.createDataFrame(same, "doc_id long, text string, source string").repartition(5)
+    got = mixing.mix(frame, weights=(1, 1, 1, 1)).collect()
+    assert len(got) == len(same)
+    for source in "abcd":
+        mine = [r for r in got if r["source"] == source]
+        largest = max(r["size"] for r in mine)
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= largest / 2 + 1e-6
+    uneven = mixing.mix(frame, weights=(1, 2, 3, 4)).collect()
+    for source in "abcd":
+        mine = [r for r in uneven if r["source"] == source]
+        assert abs(sum(r["taken"] for r in mine) - mine[0]["target"]) <= max(r["size"] for r in mine) / 2 + 1e-6
+        assert 0 < len({r["copies"] for r in mine}) <= 2 + (source == "d")
