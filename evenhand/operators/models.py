@@ -15,11 +15,12 @@ from pyspark.ml.evaluation import BinaryClassificationEvaluator
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from evenhand.functions.stats import logistic
 from evenhand.operators.prep import OneHot, Standardiser
+from evenhand.session import work_dir
 
 DECISION_ABOVE = 0.5
 # Default forest settings and the full tuning grid (0 stands for unlimited depth).
@@ -322,3 +323,56 @@ def auc(scored: DataFrame, label: str = "approved", score: str = "predicted_prob
     rows = scored.select(F.col(label).cast("double").alias("label"), F.col(score).cast("double").alias("score"))
     counted = rows.dropna().groupBy("label", "score").agg(F.count(F.lit(1)).cast("double").alias("weight"))
     return evaluator.evaluate(counted)
+
+
+RANGES = 64
+
+
+def auc_by(
+    scored: DataFrame, by: Sequence[str], label: str = "approved", score: str = "predicted_probability", ranges: int = RANGES
+) -> DataFrame:
+    """Exact area under the ROC curve of each segment: by, n, positives, area_under_roc (null where a segment has one class only).
+
+    Equal scores of a segment are counted together per task before anything moves. The distinct scores are dealt in ranges of (segment, score),
+    so a segment that holds a third of all rows lies in about a third of the ranges; a range's rows are ranked within it, and what
+    the ranges before it hold is added from one row per segment and range. Ties count half. Rows without a label or score do not count;
+    a null segment is a segment.
+    """
+    by = list(by)
+    y, s = F.col(label).cast("int"), F.col(score).cast("double")
+    counted = (
+        scored.where(y.isNotNull() & s.isNotNull() & ~F.isnan(s))
+        .groupBy(*by, s.alias("_score"))
+        .agg(F.sum(F.when(y == 1, 1).otherwise(0)).alias("_pos"), F.sum(F.when(y == 1, 0).otherwise(1)).alias("_neg"))
+    )
+    dealt = counted.repartitionByRange(ranges, *by, "_score").withColumn("_range", F.spark_partition_id())
+    # Which range a row is in must not change between the two readers of the table, so it is stored.
+    path = work_dir(scored.sparkSession, "auc-ranges")
+    dealt.write.mode("overwrite").parquet(path)
+    dealt = scored.sparkSession.read.schema(dealt.schema).parquet(path)
+    per_range = dealt.groupBy(*by, "_range").agg(F.sum("_neg").alias("_held"))
+    before = Window.partitionBy(*by).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = per_range.withColumn("_below", F.coalesce(F.sum("_held").over(before), F.lit(0))).drop("_held")
+    keys = [*by, "_range"]
+    renamed = offsets.select(*[F.col(k).alias(f"_o{i}") for i, k in enumerate(keys)], "_below")
+    condition = F.lit(True)
+    for i, k in enumerate(keys):
+        condition = condition & dealt[k].eqNullSafe(renamed[f"_o{i}"])
+    within = Window.partitionBy(*by, "_range").orderBy("_score").rowsBetween(Window.unboundedPreceding, -1)
+    whole = "decimal(38,0)"
+    ranked = (
+        dealt.withColumn("_inside", F.coalesce(F.sum("_neg").over(within), F.lit(0)))
+        .join(renamed, condition)
+        # Twice the pairs won, so that halves for ties stay whole numbers.
+        .withColumn("_won", F.col("_pos").cast("decimal(19,0)") * (2 * (F.col("_below") + F.col("_inside")) + F.col("_neg")).cast("decimal(19,0)"))
+    )
+    sums = ranked.groupBy(*by).agg(
+        F.sum(F.col("_won").cast(whole)).alias("_won"), F.sum("_pos").alias("positives"), F.sum("_neg").alias("_negatives")
+    )
+    pairs = 2.0 * F.col("positives").cast("double") * F.col("_negatives").cast("double")
+    return sums.select(
+        *by,
+        (F.col("positives") + F.col("_negatives")).alias("n"),
+        "positives",
+        F.try_divide(F.col("_won").cast("double"), pairs).alias("area_under_roc"),
+    )

@@ -644,6 +644,37 @@ FROM (SELECT region, avg(CASE WHEN approved = predicted THEN 1e0 ELSE 0e0 END) A
     q["auc"] = sql(
         f"""SELECT {rnd('(sum(CASE WHEN approved = 1 THEN rnk END) - sum(approved) * (sum(approved) + 1) / 2e0) / (sum(approved) * CAST(sum(1 - approved) AS DOUBLE))', 'area_under_roc')}
 FROM (SELECT approved, rank() OVER (ORDER BY predicted_probability) + (count(*) OVER (PARTITION BY predicted_probability) - 1) / 2e0 AS rnk FROM applications)"""
+    )
+    q["auc_by_segment"] = sql(
+        " UNION ALL ".join(
+            f"""SELECT '{level}' AS level, segment, count(*) AS n, CAST(sum(approved) AS BIGINT) AS positives,
+{rnd('(sum(CASE WHEN approved = 1 THEN rnk END) - sum(approved) * (sum(approved) + 1) / 2e0) / nullif(sum(approved) * CAST(sum(1 - approved) AS DOUBLE), 0)', 'area_under_roc')}
+FROM (SELECT {level} AS segment, approved, rank() OVER (PARTITION BY {level} ORDER BY predicted_probability)
+  + (count(*) OVER (PARTITION BY {level}, predicted_probability) - 1) / 2e0 AS rnk FROM applications) GROUP BY segment"""
+            for level in ("region", "tract")
+        )
+    )
+    sketched = " UNION ALL ".join(
+        f"SELECT {segment} AS segment, '{c}' AS feature, CAST({c} AS DOUBLE) AS x FROM windowed"
+        for segment in ("window_start", "region", "'all'")
+        for c in ("age", "annual_income", "loan_amount")
+    )
+    q["segment_profile"] = sql(
+        f"""SELECT segment, feature, n, {rnd('mean', 'mean')}, {rnd('std', 'std')}, share, {rnd('low', 'low')}, {rnd('high', 'high')}, {rnd('(low + high) / 2e0', 'estimate')}
+FROM (SELECT r.segment, r.feature, any_value(r.n) AS n, any_value(mean) AS mean, any_value(std) AS std, share,
+    max(CASE WHEN i = floor((r.n - 1) * share) THEN low END) + any_value((r.n - 1) * share - floor((r.n - 1) * share))
+      * (max(CASE WHEN i = ceil((r.n - 1) * share) THEN low END) - max(CASE WHEN i = floor((r.n - 1) * share) THEN low END)) AS low,
+    max(CASE WHEN i = floor((r.n - 1) * share) THEN high END) + any_value((r.n - 1) * share - floor((r.n - 1) * share))
+      * (max(CASE WHEN i = ceil((r.n - 1) * share) THEN high END) - max(CASE WHEN i = floor((r.n - 1) * share) THEN high END)) AS high
+  FROM ranked r JOIN moments m ON m.segment = r.segment AND m.feature = r.feature, (VALUES (0.25e0), (0.5e0), (0.75e0)) AS shares(share)
+  GROUP BY r.segment, r.feature, share)""",
+        WINDOWED,
+        f"""sketched AS ({sketched}),
+moments AS (SELECT segment, feature, avg(x) AS mean, stddev_samp(x) AS std FROM sketched GROUP BY segment, feature),
+binned AS (SELECT *, CASE WHEN x = 0 THEN 0 ELSE sign(x) * (ceil(ln(abs(x)) / ln(1.02e0)) + 40000) END AS bin FROM sketched),
+ranked AS (SELECT segment, feature, min(x) OVER b AS low, max(x) OVER b AS high, count(*) OVER (PARTITION BY segment, feature) AS n,
+    row_number() OVER (PARTITION BY segment, feature ORDER BY x) - 1 AS i
+  FROM binned WINDOW b AS (PARTITION BY segment, feature, bin))""",
     )
     priced = "SELECT '{a}' AS attribute, {a} AS grp, count(*) AS n, avg(approved_interest_rate) AS avg_rate FROM applications WHERE approved = 1 GROUP BY {a}"
     q["pricing_gap"] = sql(
@@ -828,6 +859,14 @@ WHERE family <> 'fairness'""",
     q["drift_vs_previous"] = sql(
         f"SELECT {DRIFT_COLUMNS} FROM ({classified('previous')})", PREVIOUS
     )
+    passed = "CAST(seg AS DATE) <= (SELECT max(CAST(seg AS DATE)) FROM a_snapshots) - INTERVAL '60 days'"
+    q["ewma_stream"] = sql(
+        f"""SELECT seg AS window_start, family, attribute, key, {rnd('value', 'value')}, {rnd('baseline', 'baseline')} FROM smooth
+WHERE family <> 'fairness' AND {passed}""",
+        SNAPSHOTS,
+        EWMA,
+    )
+    q["stream_drift"] = sql(f"SELECT {DRIFT_COLUMNS} FROM ({classified('previous')}) WHERE {passed}", PREVIOUS)
     grouped = "GROUP BY window_start, race"
     q["stream_snapshots"] = sql(
         f"""{STREAMED} WHERE CAST(window_start AS TIMESTAMP) + INTERVAL '30 days' <= (SELECT max(application_date) FROM applications) - INTERVAL '60 days'
@@ -841,6 +880,12 @@ SELECT strftime(w, '%Y-%m-%d') AS window_start, strftime(w + INTERVAL '1 day', '
   count(*) AS n, CAST(sum(large) AS BIGINT) AS large_n FROM arrivals
 WHERE (batch <> 1 OR w + INTERVAL '1 day' > (SELECT max(ts) FROM arrivals WHERE batch = 0) - INTERVAL '2 days')
   AND w + INTERVAL '1 day' <= (SELECT max(ts) FROM arrivals) - INTERVAL '2 days' GROUP BY w, event_type"""
+    q["late_accounts"] = f"""WITH {EVENTS}, arrivals AS (SELECT *, CASE WHEN ts >= TIMESTAMP '2024-01-21' THEN 2 WHEN event_id % 10 = 0 THEN 1 ELSE 0 END AS batch,
+  date_trunc('day', ts) AS w FROM timed),
+marks AS (SELECT b AS batch, (SELECT max(ts) FROM arrivals WHERE batch < b) - INTERVAL '2 days' AS mark FROM range(3) t(b))
+SELECT strftime(w, '%Y-%m-%d') AS window_start, event_type,
+  CASE WHEN mark IS NULL OR ts >= mark THEN 'on_time' WHEN w + INTERVAL '1 day' > mark THEN 'late' ELSE 'dropped' END AS status,
+  count(*) AS n, CAST(sum(large) AS BIGINT) AS large_n FROM arrivals a JOIN marks m ON m.batch = a.batch GROUP BY ALL"""
     q["sliding_counts"] = f"""WITH {EVENTS}, slid AS (SELECT *, date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS w FROM timed, range(2) t(k))
 SELECT strftime(w, '%Y-%m-%d') AS window_start, strftime(w + INTERVAL '2 days', '%Y-%m-%d') AS window_end, event_type,
   count(*) AS n, CAST(sum(large) AS BIGINT) AS large_n FROM slid GROUP BY w, event_type"""

@@ -22,6 +22,7 @@ from evenhand.operators import (
     profile,
     quality,
     risk,
+    sketches,
     whatif,
 )
 from evenhand.plans.inputs import (
@@ -48,7 +49,7 @@ from evenhand.plans.inputs import (
 from evenhand.session import work_dir
 from evenhand.sources import exports, tables
 from evenhand.sources.applications import NUMERIC, PROTECTED, ROLES, applications, applications_from, star_table
-from evenhand.streaming import monitor
+from evenhand.streaming import baseline, late, monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -56,6 +57,7 @@ QUERIES: dict[str, Query] = {}
 AUDITED = ("race", "gender", "age_group")
 REFERENCES = {"race": "MACHINERY", "gender": "O"}
 BY_REGION = ("region",)
+SKETCHED = ("age", "annual_income", "loan_amount")
 SIMPLE = ("credit_score", "debt_to_income", "annual_income", "age")
 
 
@@ -392,6 +394,35 @@ def auc(spark, base):
     return rounded(spark.createDataFrame([(value,)], "area_under_roc double"))
 
 
+@query
+def auc_by_segment(spark, base):
+    """Area under the curve of every region and of every tract."""
+    rows = located_applications(spark, base).select("region", "tract", "approved", "predicted_probability")
+    parts = [
+        models.auc_by(rows, [level]).select(F.lit(level).alias("level"), F.col(level).alias("segment"), "n", "positives", "area_under_roc")
+        for level in ("region", "tract")
+    ]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
+@query
+def segment_profile(spark, base):
+    """Profiles of every window, every region and the whole, merged from one table of sketches by window and region."""
+    rows = windowed_applications(spark, base).withColumn("window_start", day("window_start"))
+    fine = sketches.sketch(rows, SKETCHED, ["window_start", "region"])
+    path = work_dir(spark, "sketches")
+    fine.write.mode("overwrite").parquet(path)
+    fine = spark.read.schema(fine.schema).parquet(path)
+    result = None
+    for by in (["window_start"], ["region"], []):
+        segment = F.col(by[0]) if by else F.lit("all")
+        part = sketches.profile(sketches.merge(fine, by), by).select(
+            segment.alias("segment"), "feature", "n", "mean", "std", "share", "low", "high", "estimate"
+        )
+        result = part if result is None else result.unionByName(part)
+    return rounded(result)
+
+
 @query
 def pricing_gap(spark, base):
     rows = applications(spark, base)
@@ -748,6 +779,13 @@ def stream_alerts(spark, base):
     return watcher.alerts(spark)
 
 
+def _deliveries() -> tuple:
+    """Events of the first twenty days but a tenth, that tenth, the remaining days."""
+    last = F.col("ts") >= F.lit("2024-01-21").cast("timestamp_ntz")
+    tenth = F.col("event_id") % 10 == 0
+    return ~last & ~tenth, ~last & tenth, last
+
+
 @query
 def late_events(spark, base):
     """Closed daily windows of an event stream whose tenth part arrives late.
@@ -758,10 +796,8 @@ def late_events(spark, base):
     """
     events = star_table(spark, base, "events")
     folder = work_dir(spark, "late")
-    last = F.col("ts") >= F.lit("2024-01-21").cast("timestamp_ntz")
-    late = F.col("event_id") % 10 == 0
     sums = {"n": F.lit(1), "large_n": F.col("large")}
-    for arriving in (~last & ~late, ~last & late, last):
+    for arriving in _deliveries():
         events.where(arriving).write.mode("append").parquet(f"{folder}/arrivals")
         stream = as_timed(monitor.table_stream(spark, f"{folder}/arrivals", "*.parquet", events.schema))
         counts = monitor.windowed_counts(stream, "ts", ["event_type"], sums, "1 day", delay="2 days")
@@ -769,6 +805,62 @@ def late_events(spark, base):
     return _counts_by_day(closed)
 
 
+@query
+def late_accounts(spark, base):
+    """How many events of each day and type were on time, late but counted, or dropped, for the deliveries of ``late_events``."""
+    events = star_table(spark, base, "events")
+    folder = work_dir(spark, "accounts")
+    split = late.LateSplit(f"{folder}/split", "ts", "1 day", "2 days")
+    schema = as_timed(events).schema
+    for arriving in _deliveries():
+        events.where(arriving).write.mode("append").parquet(f"{folder}/arrivals")
+        split.run(as_timed(monitor.table_stream(spark, f"{folder}/arrivals", "*.parquet", events.schema)))
+    window = F.window("ts", "1 day")["start"]
+    counted = split.rows(spark, schema).groupBy(window.alias("window_start"), "event_type", "status")
+    return counted.agg(F.count(F.lit(1)).alias("n"), F.sum("large").alias("large_n")).withColumn("window_start", day("window_start"))
+
+
+def _snapshot_feed(spark, base, folder: str):
+    """Stored snapshots, and a function that runs a stream over them in three deliveries, restarting it for each.
+
+    Group shares are delivered one window behind the other values.
+    """
+    snapshots = _snapshots(spark, base)
+    snapshots.write.mode("overwrite").parquet(f"{folder}/snapshots")
+    snapshots = spark.read.schema(snapshots.schema).parquet(f"{folder}/snapshots")
+
+    def run(rows: DataFrame, make) -> DataFrame:
+        first, last = rows.agg(F.min("window_start"), F.max("window_start")).first()
+        arrival = F.when(F.col("family") == "share", F.col("window_start") + F.expr("INTERVAL 30 DAYS")).otherwise(F.col("window_start"))
+        out = None
+        for i in range(3):
+            start, stop = (first + (last - first) * k / 3 for k in (i, i + 1))
+            arriving = (arrival >= F.lit(start) if i else F.lit(True)) & (arrival < F.lit(stop) if i < 2 else F.lit(True))
+            rows.where(arriving).write.mode("append").parquet(f"{folder}/feed")
+            stream = monitor.table_stream(spark, f"{folder}/feed", "*.parquet", rows.schema)
+            out = baseline.drain_state(make(stream), folder)
+        return out
+
+    return snapshots, run
+
+
+@query
+def ewma_stream(spark, base):
+    """The smoothed baselines of ``ewma_baseline`` kept in a stream's state, for windows that the watermark has passed."""
+    snapshots, run = _snapshot_feed(spark, base, work_dir(spark, "ewma"))
+    smooth = run(snapshots.where(F.col("family") != "fairness"), lambda stream: baseline.smoothed_stream(stream, delay="60 days"))
+    return _dated(smooth.select("window_start", *drift.KEYS, "value", "baseline"))
+
+
+@query
+def stream_drift(spark, base):
+    """The drifts of ``drift_vs_previous`` against baselines kept in a stream's state, which begins at the first window's snapshot."""
+    snapshots, run = _snapshot_feed(spark, base, work_dir(spark, "drift"))
+    first = F.col("window_start") == F.lit(snapshots.agg(F.min("window_start")).first()[0])
+    initial = snapshots.where(first)
+    return _dated(run(snapshots.where(~first), lambda stream: baseline.monitored(stream, initial, delay="60 days")))
+
+
 @query
 def sliding_counts(spark, base):
     counts = monitor.windowed_counts(

@@ -34,12 +34,15 @@ def pin_utc(spark: SparkSession) -> SparkSession:
 def work_dir(spark: SparkSession, purpose: str) -> str:
     """A new folder below the cluster's checkpoint folder.
 
-    The folder comes from ``spark.checkpoint.dir``, which every executor can reach. Only where that
-    is unset, as in a bare local session, is a temporary folder made and set as checkpoint folder.
+    The folder comes from ``spark.checkpoint.dir``, which every executor can reach. Only in a local session, where
+    executors and driver share one machine, is a temporary folder made and set where that is unset; elsewhere it is an error,
+    as executors would each write into a folder of their own.
     """
     context = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not root:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         root = tempfile.mkdtemp(prefix="evenhand-")
         context.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex}"
