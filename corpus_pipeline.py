@@ -35,7 +35,9 @@ def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
     """Documents with identifiers, plain or disguised, replaced by their kind; n_chars follows the text."""
     seen, given = set_aside(docs)
     found = pii.find(seen, redact=True)
-    changed = {"text": F.col("redacted"), "n_chars": F.length("redacted").cast(dict(docs.dtypes)["n_chars"])}
+    changed = {"text": F.col("redacted")}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.length("redacted").cast(dict(docs.dtypes)["n_chars"])
     return found.select(*[changed[c].alias(c) if c in changed else column for c, column in given.items()])
 
 
