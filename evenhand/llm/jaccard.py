@@ -52,6 +52,11 @@ def _key(id_col: str, text_col: str):
     return F.xxhash64(F.col(id_col), text_or_empty(text_col))
 
 
+def _other_key(id_col: str, text_col: str):
+    """A second hash of the same, so that rows are told apart by 128 bits where one of them goes."""
+    return F.xxhash64(F.lit("other"), text_or_empty(text_col), F.col(id_col))
+
+
 class PrefixTree:
     """Sets over local n-gram numbers as paths of ``LEVELS`` edges, each edge the set's n-grams of one stretch of the order."""
 
@@ -220,12 +225,12 @@ def similar(
     least id reachable by links. A null or empty text has an empty set, links with nothing and is its
     own class and component. Repeated rows share a class; a null id is never the least unless all are null.
     ``docs`` is read twice and must be a table or stored rows. Other columns are left out.
-    An empty table gives no rows. With ``keys`` two columns follow: _key, equal for rows equal in id and text, and
+    An empty table gives no rows. With ``keys`` three columns follow: _key and _key2, equal for rows equal in id and text, and
     _root, equal within a component and null for empty sets.
     """
     spark = docs.sparkSession
     small_batches(spark)
-    base = docs.select(F.col(id_col).alias("_id"), _key(id_col, text_col).alias("_key"), text_or_empty(text_col).alias("_text"))
+    base = docs.select(F.col(id_col).alias("_id"), _key(id_col, text_col).alias("_key"), _other_key(id_col, text_col).alias("_key2"), text_or_empty(text_col).alias("_text"))
     limit = min(int(LOOK * (1 - num / den) * 2**64 - 2**63), 2**63 - 1)
 
     @F.pandas_udf("n long, d1 long, d2 long, part array<long>")
@@ -240,7 +245,7 @@ def similar(
                 rows.append((len(grams), d1, d2, grams if len(grams) <= SHORT else grams[: np.searchsorted(grams, limit)]))
             yield pd.DataFrame(rows, columns=["n", "d1", "d2", "part"])
 
-    signed = stored(base.select("_id", "_key", sign("_text").alias("_s")).select("_id", "_key", "_s.*"), "jaccard-signatures")
+    signed = stored(base.select("_id", "_key", "_key2", sign("_text").alias("_s")).select("_id", "_key", "_key2", "_s.*"), "jaccard-signatures")
     classes = stored(
         signed.groupBy("n", "d1", "d2").agg(
             F.min("_key").alias("cid"), F.min("_id").alias("class_id"), F.count("*").alias("copies")
@@ -336,10 +341,10 @@ def similar(
     linked = stored(linked.select("n", "d1", "d2", "class_id", "root", F.coalesce("links", F.lit(0)).alias("n_links")), "jaccard-roots")
     least = linked.groupBy("root").agg(F.min("class_id").alias("component_id"))
     by_class = linked.join(least, "root")
-    narrow = signed.select("_id", "_key", "n", "d1", "d2")
+    narrow = signed.select("_id", "_key", "_key2", "n", "d1", "d2")
     with_text = narrow.filter("n > 0").join(by_class, ["n", "d1", "d2"])
     without = narrow.filter("n = 0").select("*", F.col("_id").alias("class_id"), F.lit(None).cast("long").alias("root"), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"))
-    more = ["_key", F.col("root").alias("_root")] if keys else []
+    more = ["_key", "_key2", F.col("root").alias("_root")] if keys else []
     return with_text.unionByName(without).select(
         F.col("_id").alias(id_col), F.col("n").alias("n_shingles"), "class_id", "n_links", "component_id", *more
     )
@@ -352,14 +357,20 @@ def keep_one(docs: DataFrame, n: int = 5, num: int = 80, den: int = 100, id_col:
     that go are broadcast where they are few, else joined; texts move in the second case only.
     """
     marked = stored(similar(docs, n, num, den, id_col, text_col, keys=True).filter(F.col("_root").isNotNull()), "jaccard-marked")
-    order = F.struct(F.col(id_col).isNull().alias("no_id"), F.col(id_col).alias("id"), F.col("_key").alias("key"))
-    first = marked.groupBy("_root").agg(F.min(order).alias("_first"))
-    gone = marked.join(first, "_root").filter(F.col("_key") != F.col("_first.key")).select("_key").distinct()
-    gone = stored(gone, "jaccard-gone")
-    again = stored(marked.groupBy("_key").count().filter("count > 1").select("_key"), "jaccard-repeats")
-    left = join_small(docs.withColumn("_key", _key(id_col, text_col)), gone, ["_key"], "left_anti", SURVIVORS)
+    both = ["_key", "_key2"]
+    # One row per document and task first, so that a component of copies does not meet in one task.
+    rows = marked.groupBy("_root", F.col(id_col).alias("_id"), *both).agg(F.count("*").alias("_n"))
+    rows = stored(rows, "jaccard-documents")
+    order = F.struct(F.col("_id").isNull().alias("no_id"), F.col("_id").alias("id"), *both)
+    first = rows.groupBy("_root").agg(F.min(order).alias("_first")).select(F.struct("_root", "_first._key", "_first._key2").alias("_kept"))
+    # Whether a row is its component's first is asked by root and keys together, which spreads a large component.
+    asked = rows.withColumn("_kept", F.struct("_root", *both))
+    gone = stored(asked.join(first, "_kept", "left_anti").select(*both).distinct(), "jaccard-gone")
+    again = stored(rows.filter("_n > 1").select(*both), "jaccard-repeats")
+    keyed = docs.withColumns({"_key": _key(id_col, text_col), "_key2": _other_key(id_col, text_col)})
+    left = join_small(keyed, gone, both, "left_anti", SURVIVORS)
     if not again.limit(1).count():
-        return left.drop("_key")
-    once = join_small(left, again, ["_key"], "left_anti", SURVIVORS)
-    many = join_small(left, again, ["_key"], "left_semi", SURVIVORS).dropDuplicates(["_key"])
-    return once.unionByName(many).drop("_key")
+        return left.drop(*both)
+    once = join_small(left, again, both, "left_anti", SURVIVORS)
+    many = join_small(left, again, both, "left_semi", SURVIVORS).dropDuplicates(both)
+    return once.unionByName(many).drop(*both)

@@ -22,7 +22,8 @@ from evenhand.llm.tokens import encoder_of
 
 WINDOW = 4096
 END = 2
-SALTS = 64
+#: Pieces of one length that are ranked in one window; the number of windows per length follows from its count.
+PER_SALT = 250_000
 
 
 def tokenise(
@@ -163,19 +164,22 @@ def best_fit(counts: dict[int, int], window: int = WINDOW) -> list[tuple[int, in
 def place(pieces: DataFrame, id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
     """``pieces`` with sequence_id and offset; the columns they bring are carried along.
 
-    ``pieces`` must be stored rows (:func:`stored`), as they are read twice. Only counts per length
+    ``pieces`` must be stored rows (:func:`stored`), as they are read three times. Only counts per length
     reach the driver. Ranks come from windows over (length, salt), so that a length that a third of
     all pieces share is spread; pieces that agree in id, start and length share a salt and are ranked by
     chance among themselves, as they are interchangeable. Columns named sequence_id or offset are replaced.
     """
     spark = pieces.sparkSession
     pieces = pieces.drop("sequence_id", "offset")
-    salted = pieces.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col), "start", "doc_tokens"), F.lit(SALTS)).cast("int"))
+    # At most a row per possible length reaches the driver, and goes back to the tasks.
+    counts = {r["length"]: r["n"] for r in pieces.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    salts = spark.createDataFrame([(length, -(-n // PER_SALT)) for length, n in counts.items()], "length long, _salts long")
+    salted = pieces.join(F.broadcast(salts), "length")
+    salted = salted.withColumn("_salt", F.pmod(F.xxhash64(F.col(id_col), "start", "doc_tokens"), F.col("_salts"))).drop("_salts")
     counted = salted.groupBy("length", "_salt").agg(F.count("*").alias("n"))
     per_length = Window.partitionBy("length").orderBy("_salt").rowsBetween(Window.unboundedPreceding, -1)
     base = counted.select("length", "_salt", "n", F.coalesce(F.sum("n").over(per_length), F.lit(0)).alias("_base"))
     base = stored(base, "pack-bases")
-    counts = {r["length"]: r["n"] for r in base.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     by_length: dict[int, list] = {}
     for length, first, last, sequence, offset in best_fit(counts, window):
         by_length.setdefault(length, []).append((first, last, sequence, offset))

@@ -20,10 +20,10 @@ def op2_revisit_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = revisits.resolve(revisits.captures(pages))
     lines = F.transform("headers", lambda h: F.concat(h["name"], F.lit(": "), h["value"]))
     return found.select(
-        F.floor(F.col("record_id") / 2).cast("long").alias("page_id"),
+        F.shiftright("record_id", 1).alias("page_id"),
         "url_key",
         F.unix_timestamp("at").alias("at_s"),
-        F.floor(F.col("refers_to") / 2).cast("long").alias("refers_to_page"),
+        F.shiftright("refers_to", 1).alias("refers_to_page"),
         "verdict",
         F.array_join(lines, "\n").alias("headers"),
         "payload_digest",
