@@ -434,6 +434,25 @@ FROM applications, (VALUES ('csv'), ('json'), ('parquet')) f(format) GROUP BY fo
     q["sample_rows"] = sql(
         f"""SELECT application_id, race, credit_score, approved FROM applications
 ORDER BY {hashed('application_id')}, application_id LIMIT 1000"""
+    )
+    q["sample_by_segment"] = sql(
+        f"""SELECT application_id, region, approved, credit_score FROM applications
+QUALIFY row_number() OVER (PARTITION BY region, approved ORDER BY {hashed('application_id')}, application_id) <= 200"""
+    )
+    six = ("race", "gender", "age_group", "region", "urban_rural", "loan_type")
+    label = ", ".join(f"CASE WHEN GROUPING({a}) = 0 THEN '{a}=' || {a} END" for a in six)
+    member = " + ".join(f"(1 - GROUPING({a}))" for a in six)
+    chi = """CASE WHEN n = m OR t = 0 OR t = m THEN 0e0 ELSE CAST(m AS DOUBLE) * power(greatest(abs(CAST(a AS DOUBLE) * (m - n - t + a) - CAST(n - a AS DOUBLE) * (t - a)) - m / 2e0, 0e0), 2)
+  / (CAST(n AS DOUBLE) * (m - n) * t * (m - t)) END"""
+    q["subgroup_tests"] = sql(
+        f"""SELECT subgroup, size, n, {rnd('rate', 'rate')}, {rnd('gap', 'gap')}, {rnd('p', 'p_value')}, {rnd('q', 'q_value')}, q <= 0.05e0 AS flagged
+FROM (SELECT *, least(min(p * tests / place) OVER (ORDER BY p DESC RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), 1e0) AS q FROM ranked)""",
+        f"""lattice AS (SELECT array_to_string(list_filter([{label}], lambda x: x IS NOT NULL), ' & ') AS subgroup, CAST({member} AS INT) AS size,
+  count(*) AS n, CAST(sum(approved) AS BIGINT) AS a, (SELECT count(*) FROM applications) AS m, (SELECT CAST(sum(approved) AS BIGINT) FROM applications) AS t
+  FROM applications GROUP BY CUBE ({", ".join(six)}) HAVING count(*) >= 100 AND {member} > 0),
+tested AS (SELECT *, CAST(a AS DOUBLE) / n AS rate, CAST(a AS DOUBLE) / n - CAST(t AS DOUBLE) / m AS gap, {chi} AS chi FROM lattice),
+judged AS (SELECT *, CASE WHEN chi <= 0 THEN 1e0 ELSE least({erfc('sqrt(chi / 2e0)')}, 1e0) END AS p FROM tested),
+ranked AS (SELECT *, count(*) OVER () AS tests, count(*) OVER (ORDER BY p RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS place FROM judged)""",
     )
     q["export_metrics_flat"] = sql(
         f"""SELECT model, attribute AS protected_attribute, metric_name AS metric, {rnd('value', 'value')}, threshold, passed,

@@ -16,6 +16,7 @@ from evenhand.operators import (
     drift,
     fairness,
     impact,
+    lattice,
     mitigation,
     models,
     prep,
@@ -57,6 +58,7 @@ QUERIES: dict[str, Query] = {}
 AUDITED = ("race", "gender", "age_group")
 REFERENCES = {"race": "MACHINERY", "gender": "O"}
 BY_REGION = ("region",)
+LATTICE = ("race", "gender", "age_group", "region", "urban_rural", "loan_type")
 SKETCHED = ("age", "annual_income", "loan_amount")
 SIMPLE = ("credit_score", "debt_to_income", "annual_income", "age")
 
@@ -100,6 +102,13 @@ def sample_rows(spark, base):
     return tables.sample_rows(rows, 1000, "application_id")
 
 
+@query
+def sample_by_segment(spark, base):
+    """Two hundred applications of every region and decision."""
+    rows = applications(spark, base).select("application_id", "region", "approved", "credit_score")
+    return tables.sample_by(rows, 200, "application_id", ("region", "approved"))
+
+
 @query
 def export_metrics_flat(spark, base):
     return rounded(exports.flatten_metrics(_two_models(spark, base)))
@@ -434,6 +443,12 @@ def pricing_gap(spark, base):
 # --- rankings and sets ---------------------------------------------------------------------------
 
 
+@query
+def subgroup_tests(spark, base):
+    """All subgroups of six attributes with at least a hundred applications, tested against everyone else."""
+    return rounded(lattice.subgroup_tests(applications(spark, base), LATTICE, support=100))
+
+
 @query
 def group_ranking(spark, base):
     rates = fairness.group_rates(cube.rate_cube(applications(spark, base), PROTECTED))

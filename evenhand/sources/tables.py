@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -97,6 +99,21 @@ def sample_rows(df: DataFrame, n: int, key: str) -> DataFrame:
     return df.where(low | ~enough).orderBy(hashed, F.col(key)).limit(n)
 
 
+def sample_by(df: DataFrame, n: int, key: str, by: Sequence[str], salts: int = 64) -> DataFrame:
+    """min(n, count) rows of each segment, the same ones on every run: the n smallest hashes of the key.
+
+    Bottom-n lists merge: the least n of a segment are among the least n of each of its parts. A segment is cut into ``salts`` parts by the key,
+    and tasks hand on at most n rows of each part (Spark limits ranked groups before it moves them, for n up to its threshold), so
+    no task sees a whole segment. One pass; null segments are segments, rows alike in key are ordered by it alone.
+    """
+    hashed = key_hash(F.col(key))
+    salted = df.withColumns({"_hash": hashed, "_salt": F.pmod(F.xxhash64(key), F.lit(salts))})
+    part = Window.partitionBy(*by, "_salt").orderBy("_hash", key)
+    least = salted.withColumn("_place", F.row_number().over(part)).where(F.col("_place") <= n)
+    whole = Window.partitionBy(*by).orderBy("_hash", key)
+    return least.withColumn("_place", F.row_number().over(whole)).where(F.col("_place") <= n).drop("_hash", "_salt", "_place")
+
+
 def sample_fraction(df: DataFrame, fraction: float, seed: int = 42) -> DataFrame:
     """Quick approximate sample without a sort."""
     return df.sample(fraction=fraction, seed=seed)
