@@ -18,7 +18,7 @@ from pyspark.ml.tuning import CrossValidator, ParamGridBuilder
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from evenhand.functions.stats import logistic
+from evenhand.functions.stats import logistic, ratio
 from evenhand.operators.prep import OneHot, Standardiser
 from evenhand.session import work_dir
 
@@ -239,6 +239,78 @@ def forest_rules(
     return rules
 
 
+def tree_nodes(model: RandomForestClassificationModel, spark: SparkSession) -> DataFrame:
+    """The nodes of all trees as rows: tree, id (in preorder, the root 0), left, right (null at a leaf), feature, cut."""
+    path = work_dir(spark, "forest")
+    model.write().overwrite().save(path)
+    node = F.col("nodeData")
+    inner = node["leftChild"] >= 0
+    return spark.read.parquet(f"{path}/data").select(
+        F.col("treeID").alias("tree"),
+        node["id"].alias("id"),
+        F.when(inner, node["leftChild"]).alias("left"),
+        F.when(inner, node["rightChild"]).alias("right"),
+        F.when(inner, node["split"]["featureIndex"]).alias("feature"),
+        F.when(inner, node["split"]["leftCategoriesOrThreshold"][0]).alias("cut"),
+    )
+
+
+def leaf_rules(nodes: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The rule of every leaf of every tree, however deep: tree, leaf (from the left, from 0), conditions.
+
+    conditions is an array of (feature, op, cut), from the root down. Paths grow by a recursive query, a level of all trees at a time.
+    Splits are numeric, as the features of :func:`forest_fit` are.
+    """
+    spark = nodes.sparkSession
+    features = F.array(*[F.lit(n) for n in names])
+    named = nodes.withColumn("feature", F.get(features, F.col("feature")))
+    paths = spark.sql(
+        """
+        WITH RECURSIVE path AS (
+            SELECT tree, id, left, right, feature, cut, CAST(array() AS ARRAY<STRUCT<feature: STRING, op: STRING, cut: DOUBLE>>) AS conditions
+            FROM {nodes} WHERE id = 0
+            UNION ALL
+            SELECT n.tree, n.id, n.left, n.right, n.feature, n.cut,
+                concat(p.conditions, array(named_struct('feature', p.feature, 'op', CASE WHEN n.id = p.left THEN '<=' ELSE '>' END, 'cut', p.cut)))
+            FROM path p JOIN {nodes} n ON n.tree = p.tree AND (n.id = p.left OR n.id = p.right)
+        )
+        SELECT tree, id, conditions FROM path WHERE left IS NULL
+        """,
+        nodes=named,
+    )
+    from_left = Window.partitionBy("tree").orderBy("id")
+    return paths.select("tree", (F.row_number().over(from_left) - 1).cast("int").alias("leaf"), "conditions")
+
+
+def leaf_support(df: DataFrame, model: PipelineModel, names: Sequence[str], outcome: str = "approved") -> DataFrame:
+    """Every leaf rule of a forest with the rows that fall into it: tree, leaf, rule, samples, prediction, confidence.
+
+    The model itself says into which leaf of each tree a row falls, so all rules of all trees are counted in one scan, added up per task
+    before anything moves. Rows with a missing feature or outcome belong to no leaf. A tree's samples add up to all others.
+    """
+    spark = df.sparkSession
+    forest = model.stages[-1].copy()
+    forest.setLeafCol("_leaves")
+    known = df.where(F.col(outcome).isNotNull()).withColumn("_y", F.col(outcome).cast("int"))
+    placed = PipelineModel([*model.stages[:-1], forest]).transform(known)
+    fallen = placed.select("_y", F.posexplode(vector_to_array("_leaves")).alias("tree", "_leaf"))
+    counted = fallen.groupBy("tree", F.col("_leaf").cast("int").alias("leaf")).agg(F.count(F.lit(1)).alias("samples"), F.sum("_y").alias("approvals"))
+    rules = leaf_rules(tree_nodes(model.stages[-1], spark), names)
+    text = F.array_join(F.transform("conditions", lambda c: F.concat_ws(" ", c["feature"], c["op"], c["cut"].cast("string"))), " AND ")
+    approved = F.coalesce("approvals", F.lit(0))
+    samples = F.coalesce("samples", F.lit(0))
+    rejected = samples - approved
+    return rules.join(counted, ["tree", "leaf"], "left").select(
+        (F.col("tree") + 1).alias("tree"),
+        "leaf",
+        F.size("conditions").alias("depth"),
+        text.alias("rule"),
+        samples.alias("samples"),
+        F.when(approved > rejected, "Approved").otherwise("Rejected").alias("prediction"),
+        ratio(F.greatest(approved, rejected), samples).alias("confidence"),
+    )
+
+
 def rule_support(
     df: DataFrame, rules: Mapping[str, Sequence[tuple[str, str, float]]], outcome: str = "approved"
 ) -> DataFrame:

@@ -430,6 +430,10 @@ def oracle() -> dict[str, str]:
     q["save_roundtrip"] = sql(
         f"""SELECT format, race, count(*) AS n, CAST(sum(approved) AS BIGINT) AS approvals, {rnd('avg(loan_amount)', 'avg_loan_amount')}
 FROM applications, (VALUES ('csv'), ('json'), ('parquet')) f(format) GROUP BY format, race"""
+    )
+    q["versioned_overwrite"] = sql(
+        """SELECT 'before' AS version, region, count(*) AS n, CAST(sum(approved) AS BIGINT) AS approvals FROM applications GROUP BY region
+UNION ALL SELECT 'after', region, count(*), CAST(sum(approved) AS BIGINT) FROM applications WHERE region <> 'ASIA' OR approved = 1 GROUP BY region"""
     )
     q["sample_rows"] = sql(
         f"""SELECT application_id, race, credit_score, approved FROM applications

@@ -50,6 +50,7 @@ from evenhand.plans.inputs import (
 from evenhand.session import work_dir
 from evenhand.sources import exports, tables
 from evenhand.sources.applications import NUMERIC, PROTECTED, ROLES, applications, applications_from, star_table
+from evenhand.sources.versions import VersionedTable
 from evenhand.streaming import baseline, late, monitor
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -96,6 +97,21 @@ def save_roundtrip(spark, base):
     return rounded(result)
 
 
+@query
+def versioned_overwrite(spark, base):
+    """A stored table after a partition-wise overwrite: one region's applications replaced by its approved ones, the others kept."""
+    rows = applications(spark, base).select("application_id", "region", "approved")
+    table = VersionedTable(spark, f"{work_dir(spark, 'versions')}/decisions", rows.schema, ("region",))
+    first = table.replace(rows)
+    table.replace_partitions(table.read().where((F.col("region") == "ASIA") & (F.col("approved") == 1)))
+    result = None
+    for name, version in (("before", first), ("after", None)):
+        part = table.read(version).groupBy("region").agg(F.count(F.lit(1)).alias("n"), F.sum("approved").alias("approvals"))
+        part = part.withColumn("version", F.lit(name))
+        result = part if result is None else result.unionByName(part)
+    return result
+
+
 @query
 def sample_rows(spark, base):
     rows = applications(spark, base).select("application_id", "race", "credit_score", "approved")
@@ -572,6 +588,14 @@ def forest_rules(spark, base):
     return models.rule_support(rows, models.forest_rules(model.stages[-1], names))
 
 
+@query
+def leaf_rules(spark, base):
+    """All rules of all trees of a fitted forest, with their support on the whole table."""
+    rows = applications(spark, base)
+    model, names = models.forest_fit(rows, SIMPLE, ("race",), numTrees=10, maxDepth=6)
+    return rounded(models.leaf_support(rows, model, names))
+
+
 @query
 def fairness_improvement(spark, base):
     """Metrics of the recorded decisions against those of the plain score."""
