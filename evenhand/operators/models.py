@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.ml import PipelineModel, Transformer
@@ -118,6 +119,16 @@ def _training_rows(df: DataFrame, label: str, columns: Sequence[str]) -> DataFra
     return known.select(*dict.fromkeys(columns), F.col(label).cast("double").alias("label"))
 
 
+@contextmanager
+def _held(rows: DataFrame) -> Iterator[DataFrame]:
+    """``rows``, kept while a fit reads them several times, so that what they are joined from is read once."""
+    rows = rows.persist()
+    try:
+        yield rows
+    finally:
+        rows.unpersist()
+
+
 def logistic_fit(
     df: DataFrame,
     numeric: Sequence[str],
@@ -133,16 +144,16 @@ def logistic_fit(
     the division by the total weight.
     """
     extra = [weight] if weight else []
-    rows = _training_rows(df, label, [*numeric, *categorical, *extra])
-    stage, names = _feature_stage(rows, numeric, categorical, scale=True)
-    total = rows.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
-    regression = LogisticRegression(
-        maxIter=max_iter, regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False
-    )
-    if weight:
-        regression.setWeightCol(weight)
-    assembler = _assembler(len(names))
-    fitted = regression.fit(assembler.transform(stage.transform(rows)))
+    with _held(_training_rows(df, label, [*numeric, *categorical, *extra])) as rows:
+        stage, names = _feature_stage(rows, numeric, categorical, scale=True)
+        total = rows.agg(F.sum(weight) if weight else F.count(F.lit(1))).first()[0]
+        regression = LogisticRegression(
+            maxIter=max_iter, regParam=1.0 / (c * total), elasticNetParam=0.0, standardization=False
+        )
+        if weight:
+            regression.setWeightCol(weight)
+        assembler = _assembler(len(names))
+        fitted = regression.fit(assembler.transform(stage.transform(rows)))
     return PipelineModel([stage, assembler, fitted])
 
 
@@ -154,11 +165,11 @@ def forest_fit(
     **settings,
 ) -> tuple[PipelineModel, list[str]]:
     """Random forest and the names of its features, in vector order."""
-    rows = _training_rows(df, label, [*numeric, *categorical])
-    stage, names = _feature_stage(rows, numeric, categorical, scale=False)
-    assembler = _assembler(len(names))
-    forest = RandomForestClassifier(**{**FOREST, **settings})
-    fitted = forest.fit(assembler.transform(stage.transform(rows)))
+    with _held(_training_rows(df, label, [*numeric, *categorical])) as rows:
+        stage, names = _feature_stage(rows, numeric, categorical, scale=False)
+        assembler = _assembler(len(names))
+        forest = RandomForestClassifier(**{**FOREST, **settings})
+        fitted = forest.fit(assembler.transform(stage.transform(rows)))
     return PipelineModel([stage, assembler, fitted]), names
 
 

@@ -173,10 +173,15 @@ class Preparation:
         features = self._features(df)
         numeric = columns_of_type(features, NumericType)
         categorical = columns_of_type(features, StringType)
-        self.imputer = Imputer.fit(features, numeric, categorical)
-        filled = self.imputer.transform(features)
-        self.encoder = OneHot.fit(filled, categorical, self.max_categories)
-        self.scaler = Standardiser.fit(filled, numeric)
+        # Medians, modes, categories and moments read these columns several times; what they are joined from is read once.
+        features = features.select(*[F.col(f"`{c}`") for c in [*numeric, *categorical]]).persist()
+        try:
+            self.imputer = Imputer.fit(features, numeric, categorical)
+            filled = self.imputer.transform(features)
+            self.encoder = OneHot.fit(filled, categorical, self.max_categories)
+            self.scaler = Standardiser.fit(filled, numeric)
+        finally:
+            features.unpersist()
         return self
 
     def transform(self, df: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
