@@ -111,18 +111,15 @@ def test_a_repeated_batch_replaces_itself(spark, tmp_path):
 def test_a_cluster_needs_a_shared_folder():
     from evenhand.session import work_dir
 
-    class Context:
-        master = "spark://somewhere:7077"
+    class Cluster:
+        def get(self, name, default):
+            return "spark://somewhere:7077" if name == "spark.master" else default
 
         def getCheckpointDir(self):
             return None
 
-    class Conf:
-        def get(self, name, default):
-            return default
-
     class Session:
-        conf, sparkContext = Conf(), Context()
+        conf = sparkContext = Cluster()
 
     with pytest.raises(RuntimeError):
         work_dir(Session(), "x")
