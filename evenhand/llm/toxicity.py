@@ -35,28 +35,45 @@ FACTORS, ROUNDS, RATE, PENALTY = 8, 60, 0.1, 1e-4
 _WORD = re.compile(r"[^\W\d_]+")
 
 
+def _bucket(term: str) -> int:
+    return xxhash.xxh64_intdigest(term.encode("utf-8", "replace")) % BUCKETS
+
+
+class Beginnings(dict):
+    """Buckets of the beginnings of words, by as many letters as decide them; remembered up to a bound."""
+
+    def __init__(self, numbers: dict[int, int] | None, most: int):
+        super().__init__()
+        self.numbers, self.most = numbers, most
+
+    def __missing__(self, letters: str) -> tuple[int, ...]:
+        found = [_bucket("^" + letters[:n]) for n in BEGINNINGS if len(letters) > n]
+        out = tuple(found) if self.numbers is None else tuple(self.numbers[b] for b in found if b in self.numbers)
+        if len(self) < self.most:
+            self[letters] = out
+        return out
+
+
 class Terms(dict):
     """Buckets of each word's terms, remembered up to a bound; with ``numbers``, only those that have one, as that number."""
 
     def __init__(self, numbers: dict[int, int] | None = None, most: int = 300_000):
         super().__init__()
         self.numbers, self.most = numbers, most
+        self.beginnings = Beginnings(numbers, most)
 
     def __missing__(self, word: str) -> tuple[int, ...]:
-        terms = ["=" + word, *("^" + word[:n] for n in BEGINNINGS if len(word) > n)]
-        found = {xxhash.xxh64_intdigest(t.encode("utf-8", "replace")) % BUCKETS for t in terms}
-        out = tuple(found) if self.numbers is None else tuple(self.numbers[b] for b in found if b in self.numbers)
+        own = _bucket("=" + word)
+        if self.numbers is not None:
+            own = self.numbers.get(own)
+        begun = self.beginnings[word[: BEGINNINGS[-1] + 1]]
+        out = begun if own is None else (own, *begun)
         if len(self) < self.most:
             self[word] = out
         return out
 
     def of(self, text: str) -> set[int]:
-        found: set[int] = set()
-        for word in set(_WORD.findall(text.lower())):
-            terms = self[word]
-            if terms:
-                found.update(terms)
-        return found
+        return set().union(*map(self.__getitem__, set(_WORD.findall(text.lower()))))
 
 
 @dataclass
@@ -94,23 +111,33 @@ def labelled(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_co
     return stored(texts.join(F.broadcast(chosen), F.col(id_col) == F.col("_labelled")).select("text", "label"), "toxicity-labelled")
 
 
+def _bucketed(rows: DataFrame) -> DataFrame:
+    """Labelled texts as the buckets of their terms (label, buckets), stored: texts are read once for the choice of terms and the fit."""
+
+    def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        terms = Terms()
+        for batch in batches:
+            found = [np.fromiter(terms.of(t), np.int32) for t in batch["text"]]
+            yield pd.DataFrame({"label": batch["label"], "buckets": found})
+
+    return stored(rows.mapInPandas(read, "label double, buckets array<int>"), "toxicity-buckets")
+
+
 def select_terms(rows: DataFrame, least: float = LEAST_RATIO, most: int = MOST_TERMS) -> list[int]:
-    """Buckets of the terms that tell toxic from other documents, best first; at most ``most`` reach the driver."""
+    """Buckets of the terms that tell toxic from other labelled texts (text, label), best first; at most ``most`` reach the driver."""
+    return _select(_bucketed(rows), least, most)
 
+
+def _select(rows: DataFrame, least: float = LEAST_RATIO, most: int = MOST_TERMS) -> list[int]:
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms, seen = Terms(), {}
         for batch in batches:
-            for text, label in zip(batch["text"], batch["label"], strict=True):
-                for bucket in terms.of(text):
-                    n, toxic = seen.get(bucket, (0, 0))
-                    seen[bucket] = (n + 1, toxic + int(label))
-            if len(seen) > 500_000:
-                yield _rows(seen)
-                seen = {}
-        yield _rows(seen)
-
-    def _rows(seen: dict[int, tuple[int, int]]) -> pd.DataFrame:
-        return pd.DataFrame([(b, n, t) for b, (n, t) in seen.items()], columns=["bucket", "n", "toxic"])
+            if not len(batch):
+                continue
+            lengths = batch["buckets"].str.len().to_numpy()
+            buckets, at = np.unique(np.concatenate(batch["buckets"].to_list()), return_inverse=True)
+            labels = np.repeat(batch["label"].to_numpy(), lengths)
+            toxic = np.bincount(at, labels, len(buckets)).astype(np.int64)
+            yield pd.DataFrame({"bucket": buckets, "n": np.bincount(at, minlength=len(buckets)), "toxic": toxic})
 
     counts = rows.mapInPandas(count, "bucket int, n long, toxic long").groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("toxic").alias("toxic"))
     total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
@@ -141,18 +168,23 @@ def fit(rows: DataFrame, seed: int = 7) -> Machine:
     toxic ones (counted with one more of each).
     """
     small_batches(rows.sparkSession)
-    buckets = select_terms(rows)
-    total, toxic = rows.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
+    read = _bucketed(rows)
+    buckets = _select(read)
+    total, toxic = read.agg(F.count("*"), F.coalesce(F.sum("label"), F.lit(0.0))).first()
     if not buckets:
         return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)), float(np.log((toxic + 1) / (total - toxic + 1))))
-    numbers = {b: i for i, b in enumerate(buckets)}
+    order = np.argsort(buckets)
+    in_order = np.array(buckets)[order]
 
     def terms_of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        terms = Terms(numbers)
         for batch in batches:
-            yield pd.DataFrame({"label": batch["label"], "terms": [[str(i) for i in sorted(terms.of(t))] for t in batch["text"]]})
+            numbers = []
+            for found in batch["buckets"]:
+                at = np.minimum(np.searchsorted(in_order, found), len(in_order) - 1)
+                numbers.append([str(i) for i in np.sort(order[at[in_order[at] == found]])])
+            yield pd.DataFrame({"label": batch["label"], "terms": numbers})
 
-    found = stored(rows.mapInPandas(terms_of, "label double, terms array<string>"), "toxicity-terms")
+    found = stored(read.mapInPandas(terms_of, "label double, terms array<string>"), "toxicity-terms")
     vectors = CountVectorizerModel.from_vocabulary([str(i) for i in range(len(buckets))], "terms", "features").setBinary(True)
     machine = FMClassifier(
         factorSize=FACTORS, maxIter=ROUNDS, stepSize=RATE, regParam=PENALTY, initStd=0.05, solver="adamW", seed=seed
