@@ -23,7 +23,7 @@ from evenhand.llm.tokens import encoder_of
 WINDOW = 4096
 END = 2
 #: Pieces of one length that are ranked in one window; the number of windows per length follows from its count.
-PER_SALT = 250_000
+PER_SALT = 1_000
 
 
 def tokenise(
