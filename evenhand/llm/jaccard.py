@@ -29,8 +29,8 @@ from evenhand.llm.graph import components
 #: have over a quarter of what is looked at. Sets up to SHORT are looked at whole.
 LOOK = 4 / 3
 SHORT = 128
-#: A group of more classes is cut by size and then into blocks that meet pairwise.
-GROUP = 1024
+#: N-grams in a group; one with more is cut along the sizes of its classes into blocks, which meet where their sizes allow links.
+GROUP = 500_000
 LEVELS = 8
 SURVIVORS = 1_000_000
 
@@ -181,18 +181,16 @@ def _join_groups(num: int, den: int):
 
     def one(rows: list[pd.DataFrame]) -> pd.DataFrame:
         group = pd.concat(rows).drop_duplicates("cid")
-        kind = group["kind"].iloc[0]
-        own = None if kind == 0 else (lambda a, b: max(a[0], b[0]) == band and (min(a[1], b[1]), max(a[1], b[1])) == pair)
-        band, pair = group["band"].iloc[0], (group["low"].iloc[0], group["high"].iloc[0])
-        marks = np.array(list(zip(group["own_band"], group["own_block"], strict=True)))
+        kind, pair = group["kind"].iloc[0], (group["low"].iloc[0], group["high"].iloc[0])
+        own = None if kind == 0 else (lambda a, b: (min(a, b), max(a, b)) == pair)
         ids = group["cid"].to_numpy()
-        root, links = link_group(ids, [np.asarray(s) for s in group["grams"]], marks, own, num, den)
+        root, links = link_group(ids, [np.asarray(s) for s in group["grams"]], group["block"].to_numpy(), own, num, den)
         return pd.DataFrame({"cid": ids, "root": root, "links": links, "kind": kind})
 
     def join(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         open_key, rows = None, []
         for batch in batches:
-            keys = list(zip(batch["comp"], batch["band"], batch["low"], batch["high"], strict=True))
+            keys = list(zip(batch["comp"], batch["low"], batch["high"], strict=True))
             start = 0
             for i in range(1, len(keys) + 1):
                 if i == len(keys) or keys[i] != keys[start]:
@@ -208,6 +206,20 @@ def _join_groups(num: int, den: int):
     return join
 
 
+def _in_blocks(met: DataFrame, group: int) -> DataFrame:
+    """``met`` (comp, cid, n) with block: about ``group`` n-grams of a component each, in the order of set sizes.
+
+    Counts per component and size place the blocks; a size with too many sets is dealt over several blocks by hash.
+    """
+    sizes = met.groupBy("comp", "n").agg(F.count("*").alias("_sets"))
+    before = Window.partitionBy("comp").orderBy("n").rowsBetween(Window.unboundedPreceding, -1)
+    start = F.floor(F.coalesce(F.sum(F.col("_sets") * F.col("n")).over(before), F.lit(0)) / F.lit(group)).cast("long")
+    many = F.ceil(F.col("_sets") * F.col("n") / F.lit(group)).cast("long")
+    placed = sizes.select("comp", "n", start.alias("_start"), many.alias("_many"))
+    spread = F.col("_start") + F.pmod(F.xxhash64("cid"), F.col("_many"))
+    return join_small(met, placed, ["comp", "n"]).withColumn("block", spread).drop("_start", "_many", "_grams")
+
+
 def similar(
     docs: DataFrame,
     n: int = 5,
@@ -297,33 +309,34 @@ def similar(
     heads = prefix.groupBy("gram").agg(F.min("cid").alias("head"), F.max("cid").alias("_tail")).filter("head != _tail")
     comps = components(prefix.join(heads, "gram").select(F.col("cid").alias("a"), F.col("head").alias("b")))
 
-    # Groups: candidate components. Large ones by bands of size (linked sizes differ by one band at most), then blocks.
-    met = sets.join(comps.select(F.col("node").alias("cid"), F.col("root").alias("comp")), "cid")
-    counts = comps.groupBy(F.col("root").alias("comp")).agg(F.count("*").alias("_members"))
-    met = join_small(met, counts, ["comp"]).withColumn("own_band", F.floor(F.log(F.col("n")) / F.log(F.lit(den / num)) + 1e-9).cast("int"))
-    nothing = F.lit(0).cast("int")
-    small = met.filter(F.col("_members") <= group).select(
-        "comp", nothing.alias("kind"), nothing.alias("band"), nothing.alias("low"), nothing.alias("high"),
-        nothing.alias("own_band"), nothing.alias("own_block"), "cid", "grams",
-    )
-    has_large = bool(counts.filter(F.col("_members") > group).limit(1).count())
-    groups = small
+    # Groups: candidate components, large ones in blocks. Which class goes where is settled on narrow rows; the sets move once.
+    met = sets.select("cid", "n").join(comps.select(F.col("node").alias("cid"), F.col("root").alias("comp")), "cid")
+    met = stored(met, "jaccard-met")
+    counts = stored(met.groupBy("comp").agg(F.sum("n").alias("_grams")), "jaccard-groups")
+    met = join_small(met, counts, ["comp"])
+    nothing = F.lit(0).cast("long")
+    goes = met.filter(F.col("_grams") <= group).select(
+        "cid", "comp", F.lit(0).alias("kind"), nothing.alias("low"), nothing.alias("high"), nothing.alias("block")
+    )
+    has_large = bool(counts.filter(F.col("_grams") > group).limit(1).count())
     if has_large:
-        banded = met.filter(F.col("_members") > group).withColumn(
-            "band", F.explode(F.array(F.col("own_band"), F.col("own_band") + 1))
+        cut = _in_blocks(met.filter(F.col("_grams") > group), group)
+        blocks = stored(cut.groupBy("comp", "block").agg(F.min("n").alias("least"), F.max("n").alias("most")), "jaccard-blocks")
+        low = blocks.select("comp", F.col("block").alias("low"), F.col("most").alias("_most"))
+        high = blocks.select("comp", F.col("block").alias("high"), F.col("least").alias("_least"))
+        # Higher blocks hold larger sets: two meet if the largest of the lower may link with the smallest of the higher.
+        pairs = low.join(high, "comp").filter(
+            (F.col("low") == F.col("high")) | ((F.col("low") < F.col("high")) & (den * F.col("_most") >= num * F.col("_least")))
         )
-        blocks = banded.groupBy("comp", "band").agg(F.ceil(F.count("*") * 2 / F.lit(group)).cast("int").alias("_blocks"))
-        cut = join_small(banded, blocks, ["comp", "band"]).withColumn("own_block", F.pmod(F.xxhash64("cid"), F.col("_blocks")).cast("int"))
-        cut = cut.withColumn("_other", F.explode(F.sequence(nothing, F.col("_blocks") - 1)))
-        large = cut.select(
-            "comp", F.lit(1).alias("kind"), "band", F.least("own_block", "_other").alias("low"),
-            F.greatest("own_block", "_other").alias("high"), "own_band", "own_block", "cid", "grams",
-        )
-        groups = small.unionByName(large)
+        pairs = pairs.withColumn("block", F.explode(F.array_distinct(F.array("low", "high")))).select("comp", "block", "low", "high")
+        large = join_small(cut, pairs, ["comp", "block"]).select("cid", "comp", F.lit(1).alias("kind"), "low", "high", "block")
+        goes = goes.unionByName(large)
+    goes = stored(goes, "jaccard-goes")
+    groups = join_small(sets.select("cid", "grams"), goes, ["cid"], max_rows=SURVIVORS)
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     found = (
-        groups.repartition(parts, "comp", "band", "low", "high")
-        .sortWithinPartitions("comp", "band", "low", "high")
+        groups.repartition(parts, "comp", "low", "high")
+        .sortWithinPartitions("comp", "low", "high")
         .mapInPandas(_join_groups(num, den), "cid long, root long, links long, kind int")
     )
     found = stored(found, "jaccard-links")
