@@ -31,6 +31,10 @@ DECISION_ABOVE = 0.5
 FOREST = {"numTrees": 100, "maxDepth": 10, "minInstancesPerNode": 2, "seed": 42}
 TUNING_GRID = {"numTrees": (50, 100, 200), "maxDepth": (5, 10, 15, 0), "minInstancesPerNode": (1, 2, 4)}
 DEEPEST_TREE = 30
+# Trees up to this depth are sent to the tasks again at every level; below it tasks keep the node of every row instead.
+SHALLOW_TREE = 8
+# Rows of the training table that one task of a fit reads at most, on average.
+ROWS_A_TASK = 25_000
 # Result lengths of the feature rankings.
 TOP_FEATURES = 10
 
@@ -132,6 +136,24 @@ def _held(rows: DataFrame) -> Iterator[DataFrame]:
         rows.unpersist()
 
 
+@contextmanager
+def _spread(rows: DataFrame, by: str, rows_a_task: int = ROWS_A_TASK) -> Iterator[DataFrame]:
+    """``rows``, kept; a table that was read in fewer tasks than its size asks for is first dealt out by ``by``.
+
+    A compressed file may hold millions of rows and still be read by one task, in which every pass of every fit would stay.
+    Dealt rows are sorted within their task, as bagging draws by position: reruns see the same bags.
+    """
+    with _held(rows) as kept:
+        placed = kept.select(F.spark_partition_id().alias("part"))
+        count, parts = placed.agg(F.count(F.lit(1)), F.count_distinct("part")).first()
+        needed = -(-count // rows_a_task)
+        if needed <= parts:
+            yield kept
+        else:
+            with _held(kept.repartition(needed, by).sortWithinPartitions(by, *[c for c in kept.columns if c != by])) as dealt:
+                yield dealt
+
+
 def logistic_fit(
     df: DataFrame,
     numeric: Sequence[str],
@@ -236,7 +258,7 @@ def tune_by_halving(
     defaults the rows fitted come to shares[i] * keep^i of a full search each, a ninth of it per rung.
     Returns the best setting's model, refitted on all rows, and one row per rung and setting: rung, share, settings, area_under_roc, kept.
     """
-    with _held(_training_rows(df.withColumn("_at", key_hash(F.col(key), FOREST["seed"])), label, [*numeric, *categorical, "_at"])) as rows:
+    with _spread(_training_rows(df.withColumn("_at", key_hash(F.col(key), FOREST["seed"])), label, [*numeric, *categorical, "_at"]), "_at") as rows:
         stage, names = _feature_stage(rows, numeric, categorical, scale=False)
         assembler = _assembler(len(names))
         ready = assembler.transform(stage.transform(rows)).select("features", "label", "_at")
@@ -251,8 +273,11 @@ def tune_by_halving(
             def score(setting: dict, part: DataFrame = part) -> float:
                 return evaluator.evaluate(_forest_of(setting).fit(part).transform(test))
 
+            # The longest fits begin first and one at a time, so that none is left to run alone after the others.
+            longest = sorted(range(len(left)), key=lambda i: -_work(left[i]))
             with ThreadPool(parallelism) as pool:
-                scores = pool.map(inheritable_thread_target(df.sparkSession)(score), left)
+                found = pool.map(inheritable_thread_target(df.sparkSession)(score), [left[i] for i in longest], chunksize=1)
+            scores = [s for _, s in sorted(zip(longest, found, strict=True))]
             order = sorted(range(len(left)), key=lambda i: (-scores[i], i))
             stay = order[: max(1, round(len(left) * keep))] if rung + 1 < len(shares) else order[:1]
             table += [(rung, float(share), *left[i].values(), float(scores[i]), i in stay) for i in range(len(left))]
@@ -264,8 +289,16 @@ def tune_by_halving(
 
 
 def _forest_of(setting: Mapping[str, int]) -> RandomForestClassifier:
+    """The forest of a setting. Keeping the node of every row changes no tree; without it all trees grown so far go to all tasks at every level."""
     values = {n: (v or DEEPEST_TREE) if n == "maxDepth" else v for n, v in setting.items()}
-    return RandomForestClassifier(seed=FOREST["seed"], **values)
+    forest = RandomForestClassifier(seed=FOREST["seed"], **values)
+    return forest.setCacheNodeIds(forest.getMaxDepth() > SHALLOW_TREE)
+
+
+def _work(setting: Mapping[str, int]) -> int:
+    """Levels of trees that a fit grows at most, to compare settings by."""
+    forest = _forest_of(setting)
+    return forest.getNumTrees() * forest.getMaxDepth()
 
 
 def forest_importance(spark: SparkSession, model: PipelineModel, names: Sequence[str]) -> DataFrame:
